@@ -1,0 +1,21 @@
+"""Size checks that decide between a plain plan and one that survives hot keys."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+# Up to this estimated size even one key holding every row fits a single task.
+ONE_TASK_BYTES = 64 * 1024 * 1024
+
+
+def estimated_bytes(df: DataFrame) -> int | None:
+    """Catalyst's size estimate of the optimized plan; None where it is not exposed."""
+    plan = getattr(df, "_jdf", None)
+    if plan is None:
+        return None
+    return int(str(plan.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def fits_one_task(df: DataFrame, limit: int = ONE_TASK_BYTES) -> bool:
+    size = estimated_bytes(df)
+    return size is not None and size <= limit
