@@ -50,9 +50,9 @@ typed AS (
 
 def tidied(spark: SparkSession, sf_dir: str) -> DataFrame:
     """txn_id, p: raw fields, t: trimmed fields without null words; lines of the right arity."""
-    parts = T.raw_lines(spark, sf_dir).select("txn_id", X.split_fields(F.col("value")).alias("p"))
-    good = parts.where(F.size("p") == len(T.RAW_FIELDS))
-    return good.withColumn("t", X.tidy_fields(F.col("p")))
+    parts = E.computed_once(T.raw_lines(spark, sf_dir), p=X.split_fields(F.col("value")))
+    good = parts.where(F.size("p") == len(T.RAW_FIELDS)).select("txn_id", "p")
+    return E.computed_once(good, t=X.tidy_fields(F.col("p")))
 
 
 def field(column: str, i: int):

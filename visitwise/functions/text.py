@@ -28,20 +28,28 @@ def split_fields(line: Column, sep: str = ",") -> Column:
     )
 
 
-def trim_blanks(value: Column) -> Column:
-    return F.btrim(value, F.lit(BLANKS))
+def has_controls(line: Column) -> Column:
+    return line.rlike(r"[\x00-\x1f]")
+
+
+def trim_blanks(value: Column, controls: Column | None = None) -> Column:
+    """Trim every character up to U+0020 at both ends.
+
+    ``controls`` tells, once per line, whether there are control characters at all;
+    without any, the much faster trim of spaces does the same.
+    """
+    every = F.btrim(value, F.lit(BLANKS))
+    return every if controls is None else F.when(controls, every).otherwise(F.trim(value))
 
 
 def null_words(value: Column, words: tuple[str, ...] = NULL_WORDS) -> Column:
-    return F.when(~F.lower(value).isin(*words), value)
+    """Null where the text is one of the words in any case; longer text is not even lower-cased."""
+    longest = max(len(w.encode()) for w in words)
+    return F.when((F.octet_length(value) > longest) | ~F.lower(value).isin(*words), value)
 
 
 def tidy_fields(fields: Column) -> Column:
-    """Trim and null-word rules over the whole field array at once.
-
-    One small lambda for the array, instead of the same text repeated for each
-    column, keeps the generated code of a wide schema under the JVM method limit.
-    """
+    """Trim and null-word rules over a whole field array at once."""
     return F.transform(F.transform(fields, lambda x: trim_blanks(x)), lambda x: null_words(x))
 
 
@@ -76,33 +84,23 @@ def zero_is_missing(value: Column) -> Column:
     return F.when(value != "0", value)
 
 
-def _parts(value: Column, sep: str) -> Column:
-    return F.transform(F.split(value, sep), lambda x: x.try_cast("int"))
-
-
 def _dashed(value: Column, strict: bool) -> Column:
     """``yyyy-[m]m-[d]d``, whole text; days 29-31 past the month's end roll over."""
-    ymd = _parts(value, "-")
-    year, month, day = (F.get(ymd, F.lit(i)) for i in range(3))
-    valid = (
-        value.rlike(r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$")
-        & year.between(1, 9999)
-        & month.between(1, 12)
-        & day.between(1, 31)
-    )
-    rolled = F.date_add(F.make_date(year, month, F.lit(1)), day - 1)
+    shape = r"^(?!0000)[0-9]{4}-(0?[1-9]|1[0-2])-(0?[1-9]|[12][0-9]|3[01])$"
+    exact = value.try_cast("date")
     if strict:
-        valid = valid & (F.month(rolled) == month)
-    return F.when(valid, rolled)
+        return F.when(value.rlike(shape), exact)
+    month_start = F.concat(F.substring_index(value, "-", 2), F.lit("-1")).try_cast("date")
+    rolled = F.date_add(month_start, F.substring_index(value, "-", -1).try_cast("int") - 1)
+    return F.when(value.rlike(shape), F.coalesce(exact, rolled))
 
 
 def _slashed(value: Column, strict: bool) -> Column:
     """Lenient ``yyyy/MM/dd`` prefix; months and days out of range roll over."""
     prefix = r"^[ \t]*([0-9]{1,4})/[ \t]*([0-9]{1,5})/[ \t]*([0-9]{1,6})"
-    ymd = _parts(F.regexp_replace(F.regexp_extract(value, prefix, 0), r"[ \t]", ""), "/")
-    year, month, day = (F.get(ymd, F.lit(i)) for i in range(3))
+    year, month, day = (F.regexp_extract(value, prefix, i).try_cast("int") for i in (1, 2, 3))
     rolled = F.date_add(F.add_months(F.make_date(year, F.lit(1), F.lit(1)), month - 1), day - 1)
-    valid = year.between(1, 9999)
+    valid = year >= 1
     if strict:
         valid = valid & (F.month(rolled) == month) & (F.dayofmonth(rolled) == day)
     return F.when(valid, rolled)
@@ -111,10 +109,7 @@ def _slashed(value: Column, strict: bool) -> Column:
 def to_day(value: Column, strict: bool = False) -> Column:
     """Date from either written form, quotes ignored; ``strict`` refuses rollover."""
     bare = F.replace(value, F.lit('"'), F.lit(""))
-    return (
-        F.when(value.contains("-"), _dashed(bare, strict))
-        .when(value.contains("/"), _slashed(bare, strict))
-    )
+    return F.when(value.contains("-"), _dashed(bare, strict)).when(value.contains("/"), _slashed(bare, strict))
 
 
 def convert(value: Column, field: str, dtype: str, strict_dates: bool = False) -> Column:

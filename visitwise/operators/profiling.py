@@ -58,34 +58,27 @@ def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
     counted = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("_x")).agg(
         F.count(F.lit(1)).alias("_w")
     )
-    bounds = counted.agg(F.struct(F.min("_x").alias("lo"), F.max("_x").alias("hi")).alias("b"))
+    # The total keeps the counting step in the plan of the bounds, which makes its exchange reusable.
+    bounds = counted.agg(F.min("_x").alias("lo"), F.max("_x").alias("hi"), F.sum("_w").alias("total"))
     # As in numpy, a single distinct value is put in the middle of a range of width 1.
-    single = F.col("b.lo") == F.col("b.hi")
+    half = F.when(F.col("lo") == F.col("hi"), 0.5).otherwise(0.0)
     bounds = bounds.select(
-        F.struct(
-            F.when(single, F.col("b.lo") - 0.5).otherwise(F.col("b.lo")).alias("lo"),
-            F.when(single, F.col("b.hi") + 0.5).otherwise(F.col("b.hi")).alias("hi"),
-        ).alias("b")
+        F.struct((F.col("lo") - half).alias("lo"), (F.col("hi") + half).alias("hi"), "total").alias("b")
     )
-    width = (F.col("_b.hi") - F.col("_b.lo")) / bins
+    share = (F.col("_x") - F.col("_b.lo")) / (F.col("_b.hi") - F.col("_b.lo"))
     filled = (
         counted.withColumn("_b", bounds.scalar())
-        .withColumn(
-            "bin",
-            F.least(
-                F.floor((F.col("_x") - F.col("_b.lo")) / (F.col("_b.hi") - F.col("_b.lo")) * bins),
-                F.lit(bins - 1),
-            ).cast("int"),
-        )
+        .withColumn("bin", F.least(F.floor(share * bins), F.lit(bins - 1)).cast("int"))
         .groupBy("bin")
         .agg(F.sum("_w").alias("n"))
     )
     every = df.sparkSession.range(bins, numPartitions=1).select(F.col("id").cast("int").alias("bin"))
+    width = (F.col("_b.hi") - F.col("_b.lo")) / bins
     # At most ``bins`` rows on either side.
     return (
         every.join(F.broadcast(filled), "bin", "left")
         .withColumn("_b", bounds.scalar())
-        .where(F.col("_b.lo").isNotNull())
+        .where(F.col("_b.total") > 0)
         .select(
             "bin",
             (F.col("_b.lo") + F.col("bin") * width).alias("lo"),

@@ -41,10 +41,19 @@ class Cleaned:
     rejects: DataFrame
 
 
-def typed_columns(fields: Fields, tidy: Column, strict_dates: bool = False) -> dict[str, Column]:
-    return {
-        name: X.convert(F.get(tidy, F.lit(i)), name, word, strict_dates) for i, (name, word) in enumerate(fields)
-    }
+def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns behind a one-row generator.
+
+    The optimizer neither pushes a filter on these columns below the generator nor
+    copies their expressions into later ones, so a line is split and tidied once
+    however many typed columns and filters read the result.
+    """
+    row = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select("*", F.inline(F.array(row)))
+
+
+def typed_columns(fields: Fields, strict_dates: bool = False) -> dict[str, Column]:
+    return {name: X.convert(F.col(f"_t_f{i}"), name, word, strict_dates) for i, (name, word) in enumerate(fields)}
 
 
 def mark(
@@ -57,7 +66,6 @@ def mark(
 ) -> DataFrame:
     """Input columns, typed columns and ``reject_reason`` (null for a good row) in one narrow pass."""
     check(fields)
-    parts = X.split_fields(F.col(line))
     arity_ok = F.size("_parts") == len(fields)
     if mode == "failfast":
         message = F.concat(F.lit(f"expected {len(fields)} fields, found "), F.size("_parts").cast("string"))
@@ -67,15 +75,23 @@ def mark(
     missing = F.lit(None).cast("string")
     for name in required:
         missing = F.coalesce(missing, F.when(F.col(name).isNull(), f"missing {name}"))
-    tidied = (
-        lines.withColumn("_parts", parts)
-        .withColumn("_ok", arity_ok)
-        .withColumn("_tidy", X.tidy_fields(F.when(F.col("_ok"), F.col("_parts"))))
-    )
+    parts = computed_once(
+        lines, _parts=X.split_fields(F.col(line)), _controls=X.has_controls(F.col(line))
+    ).withColumn("_ok", arity_ok)
+    names = [f"_f{i}" for i in range(len(fields))]
+    trimmed = computed_once(
+        parts,
+        _arity=F.col("_ok"),
+        **{
+            n: X.trim_blanks(F.when(F.col("_ok"), F.get("_parts", F.lit(i))), F.col("_controls"))
+            for i, n in enumerate(names)
+        },
+    ).drop("_parts", "_controls", "_ok")
+    tidied = computed_once(trimmed, **{"_t" + n: X.null_words(F.col(n)) for n in names}).drop(*names)
     return (
-        tidied.withColumns(typed_columns(fields, F.col("_tidy"), strict_dates))
-        .withColumn(REASON, F.when(~F.col("_ok"), "arity").otherwise(missing))
-        .drop("_parts", "_ok", "_tidy")
+        tidied.withColumns(typed_columns(fields, strict_dates))
+        .withColumn(REASON, F.when(~F.col("_arity"), "arity").otherwise(missing))
+        .drop("_arity", *["_t" + n for n in names])
     )
 
 
