@@ -198,11 +198,13 @@ def _register_lapse(name: str, table: str, condition: str, days: int, unit: str,
 
     @query(
         hist,
-        LAPSE + f""", vals AS ({values}), b AS (SELECT min(x) AS lo, max(x) AS hi FROM vals),
-binned AS (SELECT least(floor((x - (SELECT lo FROM b)) / ((SELECT hi FROM b) - (SELECT lo FROM b)) * {bins}), {bins - 1}) AS bin,
-  count(*) AS n FROM vals GROUP BY 1)
-SELECT CAST(r.range AS INTEGER) AS bin, round((SELECT lo FROM b) + r.range * ((SELECT hi - lo FROM b) / {bins}), 6) AS lo,
-  round((SELECT lo FROM b) + (r.range + 1) * ((SELECT hi - lo FROM b) / {bins}), 6) AS hi, coalesce(n, 0) AS n
+        LAPSE + f""", vals AS ({values}), b AS (SELECT min(x) AS lo, max(x) AS hi, (max(x) - min(x)) / {bins} AS w FROM vals),
+guessed AS (SELECT x, lo, w, least(floor((x - lo) / (hi - lo) * {bins}), {bins - 1}) AS g FROM vals, b),
+binned AS (
+  SELECT CASE WHEN x < g * w + lo THEN g - 1 WHEN g < {bins - 1} AND x >= (g + 1) * w + lo THEN g + 1 ELSE g END AS bin,
+         count(*) AS n FROM guessed GROUP BY 1)
+SELECT CAST(r.range AS INTEGER) AS bin, round(r.range * (SELECT w FROM b) + (SELECT lo FROM b), 6) AS lo,
+  round((r.range + 1) * (SELECT w FROM b) + (SELECT lo FROM b), 6) AS hi, coalesce(n, 0) AS n
 FROM range({bins}) r LEFT JOIN binned ON binned.bin = r.range""",
     )
     def histogram(spark: SparkSession, sf_dir: str) -> DataFrame:

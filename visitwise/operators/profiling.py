@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -66,14 +66,26 @@ def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
         F.struct((F.col("lo") - half).alias("lo"), (F.col("hi") + half).alias("hi"), "total").alias("b")
     )
     share = (F.col("_x") - F.col("_b.lo")) / (F.col("_b.hi") - F.col("_b.lo"))
+    width = (F.col("_b.hi") - F.col("_b.lo")) / bins
+
+    def edge(i: Column) -> Column:
+        return i * width + F.col("_b.lo")
+
+    # Rounding may put a value that lies on an edge into the bin beside it; the edges decide.
+    guess = F.col("_guess")
+    settled = (
+        F.when(F.col("_x") < edge(guess), guess - 1)
+        .when((guess < bins - 1) & (F.col("_x") >= edge(guess + 1)), guess + 1)
+        .otherwise(guess)
+    )
     filled = (
         counted.withColumn("_b", bounds.scalar())
-        .withColumn("bin", F.least(F.floor(share * bins), F.lit(bins - 1)).cast("int"))
+        .withColumn("_guess", F.least(F.floor(share * bins), F.lit(bins - 1)).cast("int"))
+        .withColumn("bin", settled)
         .groupBy("bin")
         .agg(F.sum("_w").alias("n"))
     )
     every = df.sparkSession.range(bins, numPartitions=1).select(F.col("id").cast("int").alias("bin"))
-    width = (F.col("_b.hi") - F.col("_b.lo")) / bins
     # At most ``bins`` rows on either side.
     return (
         every.join(F.broadcast(filled), "bin", "left")
@@ -81,8 +93,8 @@ def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
         .where(F.col("_b.total") > 0)
         .select(
             "bin",
-            (F.col("_b.lo") + F.col("bin") * width).alias("lo"),
-            (F.col("_b.lo") + (F.col("bin") + 1) * width).alias("hi"),
+            edge(F.col("bin")).alias("lo"),
+            edge(F.col("bin") + 1).alias("hi"),
             F.coalesce("n", F.lit(0)).alias("n"),
         )
     )

@@ -40,6 +40,8 @@ def local_session(name: str, cores: int = 8, memory: str = "12g") -> SparkSessio
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.sql.parquet.compression.codec", "snappy")
+        # Call-site capture for each Column operation costs more than planning small queries.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in settings(0, cores).items():
         if key != "spark.sql.parquet.compression.codec":
