@@ -97,6 +97,13 @@ def test_cluster_job(spark, extracts, tmp_path):
     assert clusters.wssse.first()["wssse"] == pytest.approx(again.wssse.first()["wssse"])
 
 
+def test_sweep_job(spark, extracts, tmp_path):
+    out = run(spark, extracts, tmp_path)
+    K.sweep_job(spark, out.data, str(tmp_path / "sweep"), range(2, 4), 5)
+    back = E.read_csv(spark, str(tmp_path / "sweep"))
+    assert back.columns == ["K", "WSSSE", "Centers"] and {r["K"] for r in back.collect()} == {2, 3}
+
+
 def test_weighted_vectors_cost_what_single_rows_cost(spark):
     df = spark.range(300).select(
         (F.col("id") % 7).cast("int").alias("a"), F.concat(F.lit("s"), (F.col("id") % 5).cast("string")).alias("b")
@@ -129,12 +136,15 @@ def test_label_order_is_that_of_the_string_indexer(spark):
     assert encoder.labels == [list(want)]
 
 
-def test_explore(spark, sf_dir):
+def test_explore(spark, sf_dir, tmp_path):
     persons = T.persons(spark, sf_dir).drop("nation_key")
     report = explore(T.visits(spark, sf_dir), persons, T.WHOLE_TYPE)
     assert report["table_shape"].first()["n_rows"] == T.visits(spark, sf_dir).count()
     total = report["hist_lapse_years"].agg(F.sum("n")).first()[0]
     assert total == report["lapse_years_all"].count()
+    path = str(tmp_path / "missing")
+    E.write_csv(report["missing_values"], path)
+    assert E.read_csv(spark, path).count() == len(T.visits(spark, sf_dir).columns) + len(persons.columns) - 1
     for name in ("deferred_head", "lapse_preview", "early_return_preview"):
         assert report[name].count() in (5, 8, 10)
 

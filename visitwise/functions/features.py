@@ -5,7 +5,59 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-AGE_UNKNOWN = "Unknown"
+# Fixed values: (lowest, highest, label) of each group of whole numbers; None is open-ended.
+SEASONS = [
+    (3, 5, "Spring"),
+    (6, 8, "Summer"),
+    (9, 11, "Fall"),
+    (12, 12, "Winter"),
+    (1, 2, "Winter"),
+]
+AGE_BUCKETS = [
+    (0, 0, "Unknown"),
+    (16, 18, "High School"),
+    (19, 22, "College"),
+    (23, 25, "Post-College"),
+    (26, 30, "late 20s"),
+    (31, 40, "30s"),
+    (41, None, "old"),
+]
+AGE_CATEGORIES = [
+    (None, 17, "<18"),
+    (18, 22, "18-22"),
+    (23, 30, "23-30"),
+    (31, 35, "31-35"),
+    (36, None, ">35"),
+]
+VISIT_BUCKETS = [
+    (1, 1, "One-Time"),
+    (2, 5, "2-5"),
+    (6, 10, "6-10"),
+    (11, None, ">10"),
+]
+OTHER_SEASON = "Unknown"
+OTHER_BUCKET = "invalid"
+INVALID_CODE = "invalid"
+NOT_APPLICABLE, ACTIVE, INACTIVE = "Not Applicable", "1", "0"
+ACTIVE_WITHIN_DAYS = 365
+
+Groups = list[tuple[int | None, int | None, str]]
+
+
+def label(number: Column, groups: Groups, other: str | None = None) -> Column:
+    """Label of the group a whole number is in."""
+    chain = F
+    for low, high, name in groups:
+        if low == high:
+            inside = number == low
+        elif low is None:
+            inside = number <= high
+        elif high is None:
+            inside = number >= low
+        else:
+            inside = number.between(low, high)
+        chain = chain.when(inside, name)
+    return chain if other is None else chain.otherwise(other)
 
 
 def days_between(later: Column, earlier: Column) -> Column:
@@ -31,14 +83,7 @@ def visit_month(day: Column) -> Column:
 
 
 def season(day: Column) -> Column:
-    month = F.month(day)
-    return (
-        F.when(month.between(3, 5), "Spring")
-        .when(month.between(6, 8), "Summer")
-        .when(month.between(9, 11), "Fall")
-        .when(month.isin(12, 1, 2), "Winter")
-        .otherwise("Unknown")
-    )
+    return label(F.month(day), SEASONS, OTHER_SEASON)
 
 
 def is_repeat(visits: Column) -> Column:
@@ -47,27 +92,12 @@ def is_repeat(visits: Column) -> Column:
 
 def age_bucket(age: Column) -> Column:
     # Halves round up, also below zero.
-    rounded = F.floor(age + F.lit(0.5))
-    return (
-        F.when(rounded == 0, AGE_UNKNOWN)
-        .when(rounded.between(16, 18), "High School")
-        .when(rounded.between(19, 22), "College")
-        .when(rounded.between(23, 25), "Post-College")
-        .when(rounded.between(26, 30), "late 20s")
-        .when(rounded.between(31, 40), "30s")
-        .when(rounded >= 41, "old")
-        .otherwise("invalid")
-    )
+    return label(F.floor(age + F.lit(0.5)), AGE_BUCKETS, OTHER_BUCKET)
 
 
 def age_category(age: Column) -> Column:
-    return (
-        F.when(age < 18, "<18")
-        .when(age <= 22, "18-22")
-        .when(age <= 30, "23-30")
-        .when(age <= 35, "31-35")
-        .when(age > 35, ">35")
-    )
+    """Category of an age in whole years; null without an age."""
+    return label(age, AGE_CATEGORIES)
 
 
 def left_pad(value: Column, width: int = 5, fill: str = "0") -> Column:
@@ -77,17 +107,11 @@ def left_pad(value: Column, width: int = 5, fill: str = "0") -> Column:
 
 def zip3(code: Column) -> Column:
     """First three digits of a code of up to five; longer or missing is ``invalid``."""
-    return F.when(F.length(code) <= 5, F.substring(left_pad(code), 1, 3)).otherwise("invalid")
+    return F.when(F.length(code) <= 5, F.substring(left_pad(code), 1, 3)).otherwise(INVALID_CODE)
 
 
 def visits_bucket(visits: Column) -> Column:
-    return (
-        F.when(visits == 1, "One-Time")
-        .when(visits.between(2, 5), "2-5")
-        .when(visits.between(6, 10), "6-10")
-        .when(visits > 10, ">10")
-        .otherwise("invalid")
-    )
+    return label(visits, VISIT_BUCKETS, OTHER_BUCKET)
 
 
 def average_gap(visits: Column, first_day: Column, last_day: Column) -> Column:
@@ -101,11 +125,10 @@ def average_gap(visits: Column, first_day: Column, last_day: Column) -> Column:
 
 
 def activity(avg_gap: Column) -> Column:
-    avg_gap = avg_gap.cast("float")
+    """Whether visits follow each other within a year on average."""
+    gap = avg_gap.cast("float")
     return (
-        F.when(avg_gap == 0, "Not Applicable")
-        .when(avg_gap <= 365, "1")
-        .when(avg_gap > 365, "0")
+        F.when(gap == 0, NOT_APPLICABLE).when(gap <= ACTIVE_WITHIN_DAYS, ACTIVE).when(gap > ACTIVE_WITHIN_DAYS, INACTIVE)
     )
 
 

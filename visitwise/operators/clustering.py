@@ -17,7 +17,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.storagelevel import StorageLevel
+
+from visitwise.sources.workspace import stage
 
 NULL_LABEL = "__null__"
 DEFAULT_SEED = 52
@@ -74,8 +75,6 @@ class Encoder:
     def index(self, df: DataFrame) -> DataFrame:
         if not self.indexed:
             return df
-        spark = df.sparkSession
-        spark.sparkContext  # the model constructor needs a live context
         model = StringIndexerModel.from_arrays_of_labels(
             self.labels, inputCols=self.indexed, outputCols=[f"{c}_index" for c in self.indexed]
         )
@@ -89,8 +88,12 @@ class Encoder:
 
 
 def encode(df: DataFrame, features: list[str], handle_invalid: str = "error") -> tuple[Encoder, DataFrame]:
-    """Encoder and the weighted feature vectors, cached for the iterations of the fits."""
-    weighted = combinations(df, features).persist(StorageLevel.MEMORY_AND_DISK)
+    """Encoder and the weighted feature vectors.
+
+    The combinations are written to the shared folder, so the fits iterate over a small
+    table and a lost executor never sets the visit pipeline going again.
+    """
+    weighted = stage(combinations(df, features), "combinations")
     encoder = Encoder.fit(weighted, features, handle_invalid)
     return encoder, encoder.assemble(weighted)
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from visitwise.operators import clustering as C
-from visitwise.sources.extracts import read_parquet
+from visitwise.sources.extracts import read_parquet, write_csv
 
 # The features of a first visit.
 FEATURES = [
@@ -66,3 +66,21 @@ def cluster_job(
 ) -> Clusters:
     """Fit over the enriched table written by the preprocess job."""
     return cluster(first_visit_cohort(read_parquet(spark, path, glob), features), k, iterations, seed, features)
+
+
+def sweep_job(
+    spark: SparkSession,
+    path: str,
+    output: str,
+    ks: range = range(15, 31),
+    iterations: int = 10,
+    seed: int = C.DEFAULT_SEED,
+    glob: str = "part*.parquet",
+    features: list[str] | None = None,
+) -> DataFrame:
+    """Fit each number of clusters and write the K, WSSSE, Centers table as CSV."""
+    cohort = first_visit_cohort(read_parquet(spark, path, glob), features)
+    _, vectors = C.encode(cohort, features or FEATURES)
+    result = C.sweep(vectors, ks, iterations, seed)
+    write_csv(result.withColumnsRenamed({"k": "K", "wssse": "WSSSE", "centers": "Centers"}), output)
+    return result
