@@ -49,7 +49,7 @@ def same(sliced, plain):
 
 
 def test_slices_are_bounded_and_ordered(visits):
-    rows = S.with_slices(visits, "donor_id", "donation_dt", "txn_id", PER_SLICE)
+    rows = Histories.of(visits, Keys(), PER_SLICE).rows
     sizes = {(r["donor_id"], r["_slice"]): r["count"] for r in rows.groupBy("donor_id", "_slice").count().collect()}
     hot = {k: v for k, v in sizes.items() if k[1] > 0}
     assert {p for p, _ in hot} == {"hot", "oneday"} | {p for (p, s), v in sizes.items() if s > 0}

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from visitwise.functions import features as X
 from visitwise.operators import slices as S
 from visitwise.operators.sizes import fits_one_task
+from visitwise.sources.workspace import stage
 
 
 @dataclass(frozen=True)
@@ -34,8 +35,10 @@ class Keys:
 class Histories:
     rows: DataFrame
     keys: Keys
-    # The sliced rows before any window, from which slice summaries are made. None = no hot person.
+    # Hot persons' rows with their slice, before any window. None = no hot person.
     base: DataFrame | None = None
+    # Visits, first and last day of each slice, ready made; None once a join may have changed them.
+    summary: DataFrame | None = None
 
     @classmethod
     def of(cls, df: DataFrame, keys: Keys = Keys(), per_slice: int | None = None) -> Histories:
@@ -44,12 +47,17 @@ class Histories:
             if fits_one_task(df):
                 return cls(df, keys)
             per_slice = S.ROWS_PER_SLICE
-        total, largest = S.rows_and_largest(df, keys.person)
-        per_slice = max(per_slice, -(-total // S.MAX_SLICES))
-        if largest <= per_slice:
+        hot, per_slice = S.hot_persons(df, keys.person, per_slice)
+        if hot is None:
             return cls(df, keys)
-        rows = S.with_slices(df, keys.person, keys.day, keys.tie, per_slice)
-        return cls(rows, keys, rows)
+        names = (keys.person, keys.day, keys.tie)
+        cuts = stage(S.cut_points(df, hot, *names, per_slice), "cuts")
+        base = S.with_slices(df, cuts, *names, how="inner")
+        day = F.col(keys.day)
+        summary = base.groupBy(keys.person, S.SLICE).agg(
+            F.count(F.lit(1)).alias("_n"), F.min(day).alias("_first"), F.max(day).alias("_last")
+        )
+        return cls(S.with_slices(df, cuts, *names), keys, base, stage(summary, "slices"))
 
     # -- windows -----------------------------------------------------------
 
@@ -77,8 +85,14 @@ class Histories:
 
     def _carry(self, **aggs: Column) -> DataFrame:
         """One row per slice of each hot person with the given aggregates."""
-        hot = self.base.where(F.col(S.SLICE) > 0)
-        return hot.groupBy(self.keys.person, S.SLICE).agg(*[c.alias(n) for n, c in aggs.items()])
+        return self.base.groupBy(self.keys.person, S.SLICE).agg(*[c.alias(n) for n, c in aggs.items()])
+
+    def _slices(self) -> DataFrame:
+        """Visits, first and last day per slice."""
+        day = F.col(self.keys.day)
+        if self.summary is not None:
+            return self.summary
+        return self._carry(_n=F.count(F.lit(1)), _first=F.min(day), _last=F.max(day))
 
     def _lookup(self, rows: DataFrame, small: DataFrame) -> DataFrame:
         """Attach per-slice values; ``small`` is bounded by the number of slices."""
@@ -106,7 +120,11 @@ class Histories:
         ordinal_value, previous_value = F.col("_ordinal"), F.col("_previous")
         if self.base is not None:
             earlier = Window.partitionBy(self.keys.person).orderBy(S.SLICE).rowsBetween(Window.unboundedPreceding, -1)
-            carry = self._carry(_n=F.count_if(counted), _last=F.max(F.when(counted, day))).select(
+            if only is None:
+                carry = self._slices()
+            else:
+                carry = self._carry(_n=F.count_if(counted), _last=F.max(F.when(counted, day)))
+            carry = carry.select(
                 self.keys.person,
                 S.SLICE,
                 F.sum("_n").over(earlier).cast("int").alias("_carry_n"),
@@ -124,35 +142,30 @@ class Histories:
             out = {name: F.when(counted, value) for name, value in out.items()}
         return self._with(rows.withColumns(out).drop("_ordinal", "_previous", "_carry_n", "_carry_day"))
 
-    def total(self, **aggs: Column) -> Histories:
-        """Per-person totals on each of the person's rows.
-
-        Each value is an aggregate of an input column that can be combined by the
-        same function again: ``F.sum``, ``F.max``, ``F.min`` or ``F.count_if``, given
-        as a (function, column) pair.
-        """
-        rows = self.rows
-        local = {f"_t_{n}": fn(c).over(self.whole) for n, (fn, c) in aggs.items()}
-        rows = rows.withColumns(local)
+    def span(self, count: str, first: str | None = None, last: str | None = None) -> Histories:
+        """The person's number of visits, first and last day on each of the person's rows."""
+        day = F.col(self.keys.day)
+        # name: (over the rows of a placement, over its slices)
+        totals = {count: (F.count(F.lit(1)), F.sum("_n"))}
+        if first:
+            totals[first] = (F.min(day), F.min("_first"))
+        if last:
+            totals[last] = (F.max(day), F.max("_last"))
+        here = {f"_here_{n}": agg.over(self.whole) for n, (agg, _) in totals.items()}
+        rows = self.rows.withColumns(here)
         if self.base is None:
-            return self._with(rows.withColumnsRenamed({f"_t_{n}": n for n in aggs}))
-        again = {F.count_if: F.sum}
+            return self._with(rows.withColumnsRenamed({f"_here_{n}": n for n in totals}))
         everything = Window.partitionBy(self.keys.person)
-        carry = self._carry(**{f"_c_{n}": fn(c) for n, (fn, c) in aggs.items()}).select(
-            self.keys.person,
-            S.SLICE,
-            *[again.get(fn, fn)(f"_c_{n}").over(everything).alias(f"_c_{n}") for n, (fn, _) in aggs.items()],
+        carry = self._slices().select(
+            self.keys.person, S.SLICE, *[agg.over(everything).alias(f"_all_{n}") for n, (_, agg) in totals.items()]
         )
-        rows = self._lookup(rows, carry)
-        merged = {n: F.when(F.col(S.SLICE) > 0, F.col(f"_c_{n}")).otherwise(F.col(f"_t_{n}")) for n in aggs}
-        return self._with(rows.withColumns(merged).drop(*local, *[f"_c_{n}" for n in aggs]))
+        hot = F.col(S.SLICE) > 0
+        merged = {n: F.when(hot, F.col(f"_all_{n}")).otherwise(F.col(f"_here_{n}")) for n in totals}
+        rows = self._lookup(rows, carry).withColumns(merged)
+        return self._with(rows.drop(*here, *[f"_all_{n}" for n in totals]))
 
     def visits(self, name: str) -> Histories:
-        return self.total(**{name: (F.count_if, F.lit(True))})
-
-    def span(self, count: str, first: str, last: str) -> Histories:
-        day = F.col(self.keys.day)
-        return self.total(**{count: (F.count_if, F.lit(True)), first: (F.min, day), last: (F.max, day)})
+        return self.span(name)
 
     def carry_first(self, value: str, name: str, seen: str) -> Histories:
         """First non-null ``value`` of the person so far, and whether an earlier row had one."""
@@ -181,7 +194,7 @@ class Histories:
     def derive(self, **columns: Column) -> Histories:
         """Row-wise columns; they can be summarised by later operators."""
         base = None if self.base is None else self.base.withColumns(columns)
-        return Histories(self.rows.withColumns(columns), self.keys, base)
+        return replace(self, rows=self.rows.withColumns(columns), base=base)
 
     def attach(self, other: DataFrame, how: str = "left") -> Histories:
         """Join a table keyed by the person column; ``how`` is left, inner, left_semi or left_anti.
@@ -192,12 +205,13 @@ class Histories:
         key = self.keys.person
         if self.base is None:
             return self._with(self.rows.join(other, key, how))
-        slices = self._carry(_n=F.count(F.lit(1))).select(F.col(key).alias("_sp"), S.SLICE)
+        slices = self._slices().select(F.col(key).alias("_sp"), S.SLICE)
         placed = other.join(F.broadcast(slices), F.col(key).eqNullSafe(F.col("_sp")), "left").drop("_sp")
         placed = placed.withColumn(S.SLICE, F.coalesce(S.SLICE, F.lit(0)))
-        rows = self.rows.join(placed, [key, S.SLICE], how)
-        base = rows if self.rows is self.base else self.base.join(placed, [key, S.SLICE], how)
-        return Histories(rows, self.keys, base)
+        base = self.base.join(placed, [key, S.SLICE], how)
+        # Semi and anti joins keep or drop whole persons, which leaves the slice summaries right.
+        summary = self.summary if how in ("left_semi", "left_anti") else None
+        return Histories(self.rows.join(placed, [key, S.SLICE], how), self.keys, base, summary)
 
     def persons_with(self, flag: Column) -> Histories:
         """Keep every row of the persons that have at least one flagged row."""

@@ -12,9 +12,11 @@ makes it safe to broadcast the cut points and the slice summaries.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from visitwise.sources.workspace import stage
+
 ROWS_PER_SLICE = 5_000_000
 MAX_SLICES = 16_384
 SAMPLES_PER_SLICE = 16
@@ -29,21 +31,28 @@ def order_key(day: str, tie: str) -> Column:
     return F.struct(F.col(day).isNull().alias("undated"), F.col(day).alias("day"), F.col(tie).alias("tie"))
 
 
-def rows_and_largest(df: DataFrame, person: str) -> tuple[int, int]:
-    """Row count of the table and of its largest person: one row reaches the driver."""
-    sizes = df.groupBy(person).agg(F.count(F.lit(1)).alias("n"))
-    total, largest = sizes.agg(F.sum("n"), F.max("n")).first()
-    return total or 0, largest or 0
-
-
-def _cut_points(df: DataFrame, person: str, day: str, tie: str, per_slice: int) -> DataFrame:
-    """(person, blocks): sorted cut points of each hot person as an array of arrays."""
-    hot = (
-        df.groupBy(F.col(person).alias("_p"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > per_slice)
-        .withColumn("_want", F.least(F.ceil(F.col("_n") / per_slice), F.lit(FAN * FAN)))
-        .withColumn("_stride", F.greatest(F.lit(1), F.floor(F.col("_n") / (F.col("_want") * SAMPLES_PER_SLICE))))
+def hot_persons(df: DataFrame, person: str, per_slice: int) -> tuple[DataFrame | None, int]:
+    """Persons above the slice size, or None, and the slice size in force.
+
+    One pass over the person column. The counts are written to the shared folder, so
+    only the row total and whether any person is hot reach the driver. Few persons can
+    be hot: each holds more than ``per_slice`` of the rows.
+    """
+    total = Observation()
+    counts = df.groupBy(F.col(person).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    seen = counts.observe(total, F.sum("_n").alias("rows"), F.max("_n").alias("largest"))
+    hot = stage(seen.where(F.col("_n") > per_slice), "hot")
+    rows, largest = total.get["rows"] or 0, total.get["largest"] or 0
+    per_slice = max(per_slice, -(-rows // MAX_SLICES))
+    if largest <= per_slice:
+        return None, per_slice
+    return hot.where(F.col("_n") > per_slice), per_slice
+
+
+def cut_points(df: DataFrame, hot: DataFrame, person: str, day: str, tie: str, per_slice: int) -> DataFrame:
+    """(_p, _firsts, _blocks): sorted cut points of each hot person in blocks, and each block's first."""
+    hot = hot.withColumn("_want", F.least(F.ceil(F.col("_n") / per_slice), F.lit(FAN * FAN))).withColumn(
+        "_stride", F.greatest(F.lit(1), F.floor(F.col("_n") / (F.col("_want") * SAMPLES_PER_SLICE)))
     )
     keys = df.select(F.col(person).alias("_id"), order_key(day, tie).alias("_key"))
     sample = (
@@ -66,27 +75,32 @@ def _cut_points(df: DataFrame, person: str, day: str, tie: str, per_slice: int)
         "_id", "_key", F.floor(((F.col("_r") / step) - 1) / FAN).cast("int").alias("_block")
     )
     blocks = cuts.groupBy("_id", "_block").agg(F.sort_array(F.collect_list("_key")).alias("_keys"))
-    return blocks.groupBy(F.col("_id").alias("_p")).agg(
-        F.transform(
-            F.sort_array(F.collect_list(F.struct("_block", "_keys"))), lambda b: b["_keys"]
-        ).alias("_blocks")
+    return (
+        blocks.groupBy(F.col("_id").alias("_p"))
+        .agg(F.sort_array(F.collect_list(F.struct("_block", "_keys"))).alias("_b"))
+        .select(
+            "_p",
+            F.transform("_b", lambda b: F.get(b["_keys"], F.lit(0))).alias("_firsts"),
+            F.transform("_b", lambda b: b["_keys"]).alias("_blocks"),
+        )
     )
 
 
-def with_slices(df: DataFrame, person: str, day: str, tie: str, per_slice: int) -> DataFrame:
-    """Add ``_slice``: 0 for ordinary persons, 1.. in visit order for hot ones."""
-    cuts = _cut_points(df, person, day, tie, per_slice)
-    looked_up = df.join(F.broadcast(cuts), F.col(person).eqNullSafe(F.col("_p")), "left").withColumn(
+def with_slices(df: DataFrame, cuts: DataFrame, person: str, day: str, tie: str, how: str = "left") -> DataFrame:
+    """Add ``_slice``: 0 for ordinary persons, 1.. in visit order for hot ones.
+
+    With ``how="inner"`` only the hot persons' rows are returned.
+    """
+    looked_up = df.join(F.broadcast(cuts), F.col(person).eqNullSafe(F.col("_p")), how).withColumn(
         "_key", order_key(day, tie)
     )
 
     def passed(points: Column) -> Column:
         return F.size(F.filter(points, lambda c: c <= F.col("_key")))
 
-    block = passed(F.transform("_blocks", lambda b: F.get(b, F.lit(0))))
     inside = passed(F.get(F.col("_blocks"), F.col("_block") - 1))
     return (
-        looked_up.withColumn("_block", F.when(F.col("_blocks").isNotNull(), block))
+        looked_up.withColumn("_block", F.when(F.col("_firsts").isNotNull(), passed(F.col("_firsts"))))
         .withColumn(
             SLICE,
             F.when(F.col("_block").isNull(), 0)
@@ -94,5 +108,5 @@ def with_slices(df: DataFrame, person: str, day: str, tie: str, per_slice: int)
             .otherwise((F.col("_block") - 1) * FAN + inside + 1)
             .cast("int"),
         )
-        .drop("_p", "_blocks", "_block", "_key")
+        .drop("_p", "_firsts", "_blocks", "_block", "_key")
     )
