@@ -4,6 +4,7 @@ import datetime as dt
 
 import numpy as np
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from visitwise.functions import features as X
@@ -79,9 +80,12 @@ def test_left_pad(spark):
 
 
 def test_strict_parse(spark):
-    assert apply(spark, lambda v: X.parse_day(v, "yyyy/MM/dd"), ["2001/02/03"], "string") == [dt.date(2001, 2, 3)]
-    with pytest.raises(Exception):
-        apply(spark, lambda v: X.parse_day(v, "yyyy/MM/dd"), ["2001-02-03"], "string")
+    def births(v):
+        return X.parse_day(v, X.BIRTH_DAY_FORMAT)
+
+    assert apply(spark, births, ["2001/02/03", "2001/2/3", None], "string") == [dt.date(2001, 2, 3)] * 2 + [None]
+    with pytest.raises(PySparkException):
+        apply(spark, births, ["2001-02-03"], "string")
 
 
 @pytest.mark.parametrize("bins", [1, 7, 300])

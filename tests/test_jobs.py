@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from visitwise.catalog import fixtures as T
 from visitwise.operators import clustering as C
-from visitwise.operators import sizes
 from visitwise.plans import cluster as K
 from visitwise.plans.exploration import explore
 from visitwise.plans.preprocess import preprocess
@@ -68,7 +67,6 @@ def test_preprocess(spark, extracts, tmp_path):
 
 def test_large_extracts_are_staged_with_the_same_result(spark, extracts, tmp_path, monkeypatch):
     small = spark.read.parquet(run(spark, extracts, tmp_path / "small").data)
-    monkeypatch.setattr(sizes, "ONE_TASK_BYTES", 0)
     for module in ("visitwise.plans.preprocess", "visitwise.operators.histories"):
         monkeypatch.setattr(f"{module}.fits_one_task", lambda df: False)
     monkeypatch.setattr("visitwise.operators.slices.ROWS_PER_SLICE", 5)
@@ -136,10 +134,15 @@ def test_label_order_is_that_of_the_string_indexer(spark):
     assert encoder.labels == [list(want)]
 
 
-def test_explore(spark, sf_dir, tmp_path):
+@pytest.mark.parametrize("big", [False, True])
+def test_explore(spark, sf_dir, tmp_path, monkeypatch, big):
+    if big:
+        monkeypatch.setattr("visitwise.plans.exploration.fits_one_task", lambda df: False)
     persons = T.persons(spark, sf_dir).drop("nation_key")
     report = explore(T.visits(spark, sf_dir), persons, T.WHOLE_TYPE)
     assert report["table_shape"].first()["n_rows"] == T.visits(spark, sf_dir).count()
+    if big:
+        assert "merged-" in " ".join(report["table_shape"].inputFiles())
     total = report["hist_lapse_years"].agg(F.sum("n")).first()[0]
     assert total == report["lapse_years_all"].count()
     path = str(tmp_path / "missing")
@@ -164,3 +167,8 @@ def test_csv_with_inferred_types(spark, tmp_path):
     back = E.read_csv(spark, str(tmp_path / "c"))
     assert dict(back.dtypes)["i"] == "int" and dict(back.dtypes)["d"] == "double"
     assert tuple(back.first()) == ("x", 1, 2.5, None)
+
+
+def test_views(spark):
+    E.register_views(named_rows=spark.range(3))
+    assert spark.sql("SELECT count(*) AS n FROM named_rows").first()["n"] == 3

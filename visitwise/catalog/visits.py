@@ -303,8 +303,8 @@ def parse_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return written.select(
         "txn_id",
-        X.parse_day(F.col("visit_text"), "yyyy-MM-dd").alias("donation_dt"),
-        X.parse_day(F.col("birth_text"), "yyyy/MM/dd").alias("birth_dt"),
+        X.parse_day(F.col("visit_text"), X.VISIT_DAY_FORMAT).alias("donation_dt"),
+        X.parse_day(F.col("birth_text"), X.BIRTH_DAY_FORMAT).alias("birth_dt"),
     )
 
 

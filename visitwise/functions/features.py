@@ -35,6 +35,11 @@ VISIT_BUCKETS = [
     (6, 10, "6-10"),
     (11, None, ">10"),
 ]
+# How the two extracts write dates.
+VISIT_DAY_FORMAT = "yyyy-M-d"
+BIRTH_DAY_FORMAT = "yyyy/M/d"
+
+# Labels outside the groups, and the limit of an active person.
 OTHER_SEASON = "Unknown"
 OTHER_BUCKET = "invalid"
 INVALID_CODE = "invalid"

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from visitwise.operators import lapses as L
 from visitwise.operators import profiling as P
 from visitwise.operators.histories import Keys
+from visitwise.operators.sizes import fits_one_task
+from visitwise.sources.workspace import stage
 
 YEAR_BINS = 300
 CYCLE_BINS = 180
@@ -52,11 +54,18 @@ def explore(
     type_col: str = "donation_type",
     missing_threshold: float = 0.7,
 ) -> dict[str, DataFrame]:
-    """All tables of the report, by name. Pass staged or cached inputs to share the scans."""
+    """All tables of the report, by name.
+
+    The merged table and the two lapse tables feed many results; where they are large
+    each is written once to the shared folder.
+    """
     data = merge_left(visits, persons, keys.person)
+    shared = (lambda df, name: df) if fits_one_task(data) else stage
+    data = shared(data, "merged")
     of_type = F.col(type_col) == whole_type
-    table = L.lapse_table(data, keys)
-    typed = L.lapse_table(data.where(of_type), keys)
+    columns = [keys.person, keys.day, keys.tie, "donation_ind"]
+    table = shared(L.lapse_table(data.select(*columns), keys), "lapse")
+    typed = shared(L.lapse_table(data.where(of_type).select(*columns), keys), "lapse-of-type")
     years, cycles = lapse_values(table), cycle_values(typed)
     early = L.early_return_visits(data, of_type, keys)
     report = {

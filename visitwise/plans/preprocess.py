@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from visitwise.operators.histories import Keys
@@ -28,24 +28,19 @@ class Outputs:
 def load_extract(
     spark: SparkSession, path: str, fields: Fields, person: str, mode: str = "reject", strict_dates: bool = False
 ) -> E.Cleaned:
-    """Scan, drop headers, clean; the line itself stays as ``_tie``.
+    """Scan, drop headers, clean; visits of one person and day keep the text order of their lines.
 
-    Visits of the same person and day keep the text order of their lines.
+    A large extract is parsed once into a staged table, which rows and rejects are then
+    read from by column. There the row's place joins the line as tie, so the order is
+    total even among copies of one line.
     """
     lines = E.drop_header(E.read_lines(spark, path), E.header_line(spark, path))
-    lines = lines.withColumn(TIE, F.col(E.LINE))
-    return E.clean(lines, fields, (person,), mode, strict_dates, keep=(TIE,))
-
-
-def staged(df: DataFrame) -> DataFrame:
-    """Large cleaned extracts are written once, so later passes read few columns.
-
-    A row id after the line makes the order total even among copies of one line.
-    """
-    if fits_one_task(df):
-        return df
-    row = stage(df, "cleaned", row_id="_row")
-    return row.withColumn(TIE, F.struct(TIE, "_row")).drop("_row")
+    marked = E.mark(lines, fields, (person,), mode, strict_dates)
+    if fits_one_task(lines):
+        marked = marked.withColumn(TIE, F.col(E.LINE))
+    else:
+        marked = stage(marked, "cleaned", row_id="_row").withColumn(TIE, F.struct(E.LINE, "_row")).drop("_row")
+    return E.parted(marked, fields, keep=(TIE,))
 
 
 def preprocess(
@@ -77,15 +72,15 @@ def preprocess(
     persons = load_extract(spark, persons_path, person_fields, person, mode, strict_dates)
     keys = Keys(person, day, TIE)
 
-    rows = sample_persons(staged(visits.rows), fraction, seed, keys, since_year)
+    rows = sample_persons(visits.rows, fraction, seed, keys, since_year)
     result = enrich(rows, persons.rows.drop(TIE), keys, extra).drop(TIE)
 
     target = E.output_name(output_folder, run_time, fraction, seed)
     E.write_parquet(result, target)
     if not keep_rejects:
         return Outputs(target, None)
-    rejects = visits.rejects.withColumn("extract", F.lit("visits")).unionByName(
-        persons.rejects.withColumn("extract", F.lit("persons"))
+    rejects = visits.rejects.drop(TIE).withColumn("extract", F.lit("visits")).unionByName(
+        persons.rejects.drop(TIE).withColumn("extract", F.lit("persons"))
     )
-    E.write_parquet(rejects.drop(TIE), f"{target}_rejects")
+    E.write_parquet(rejects, f"{target}_rejects")
     return Outputs(target, f"{target}_rejects")

@@ -105,14 +105,24 @@ def clean(
     keep: tuple[str, ...] = (),
 ) -> Cleaned:
     """Typed rows and rejects; ``keep`` names input columns to carry along."""
-    marked = mark(lines, fields, required, mode, strict_dates, line)
+    return parted(mark(lines, fields, required, mode, strict_dates, line), fields, line, keep)
+
+
+def parted(marked: DataFrame, fields: Fields, line: str = LINE, keep: tuple[str, ...] = ()) -> Cleaned:
+    """The good rows and the rejects of a marked table."""
     names = [name for name, _ in fields]
     return Cleaned(
         rows=marked.where(F.col(REASON).isNull()).select(*keep, *names),
-        rejects=marked.where(F.col(REASON).isNotNull()).select(*keep, line, REASON),
+        rejects=marked.where(F.col(REASON).isNotNull()).select(*dict.fromkeys((*keep, line, REASON))),
     )
 
 
+def register_views(**tables: DataFrame) -> None:
+    """Name tables for SQL."""
+    for name, df in tables.items():
+        df.createOrReplaceTempView(name)
+
+
 def read_csv(
     spark: SparkSession,
     path: str,
