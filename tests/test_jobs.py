@@ -125,6 +125,14 @@ def test_sweep_has_one_row_per_k(spark):
     assert all(len(r["centers"].split(";")) == r["k"] for r in rows)
 
 
+def test_more_clusters_than_distinct_rows(spark):
+    df = spark.range(100).select((F.col("id") % 4).cast("int").alias("a"))
+    _, vectors = C.encode(df, ["a"])
+    model = C.fit(vectors, 15, 5)
+    assert sorted(float(c[0]) for c in model.clusterCenters()) == [0.0, 1.0, 2.0, 3.0]
+    assert model.summary.trainingCost == 0
+
+
 def test_label_order_is_that_of_the_string_indexer(spark):
     from pyspark.ml.feature import StringIndexer
 

@@ -63,11 +63,11 @@ def distinct_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LAPSE = f""",
 lapse AS (
-  SELECT *, CAST(row_number() {W} AS INTEGER) AS donate_times, {GAP} AS lag_in_days,
+  SELECT *, row_number() {W} AS donate_times, {GAP} AS lag_in_days,
          CASE WHEN count(*) {P} > 1 THEN 1 ELSE 0 END AS repeat_donor_ind FROM visits),
 typed_visits AS (SELECT * FROM visits WHERE donation_type = '{T.WHOLE_TYPE}'),
 typed AS (
-  SELECT *, CAST(row_number() {W} AS INTEGER) AS donate_times, {GAP} AS lag_in_days,
+  SELECT *, row_number() {W} AS donate_times, {GAP} AS lag_in_days,
          CASE WHEN count(*) {P} > 1 THEN 1 ELSE 0 END AS repeat_donor_ind FROM typed_visits)
 """
 LAPSE_COLUMNS = ID + ["donate_times", "lag_in_days", "repeat_donor_ind"]
@@ -95,7 +95,7 @@ def whole_blood_lapse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "event_lapse",
-    """SELECT user_id, event_id, CAST(row_number() OVER w AS INTEGER) AS donate_times,
+    """SELECT user_id, event_id, row_number() OVER w AS donate_times,
 coalesce(CAST(CAST(ts AS DATE) - CAST(lag(ts) OVER w AS DATE) AS INTEGER), 0) AS lag_in_days
 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""",
 )

@@ -59,7 +59,7 @@ enriched AS (
          CAST(month(donation_dt) AS INTEGER) AS donation_month, {SEASON} AS donation_season,
          {ZIP3.format('site_zip')} AS site_zip3, {ZIP3.format('zip5c')} AS donor_zip3,
          CASE WHEN f.donation_cnt > 1 THEN 1 ELSE 0 END AS repeat_donor, {BUCKET} AS age_bucket
-  FROM (SELECT *, CAST(row_number() {W} AS INTEGER) AS donation_order, {GAP} AS since_last_donation FROM visits) v
+  FROM (SELECT *, row_number() {W} AS donation_order, {GAP} AS since_last_donation FROM visits) v
   LEFT JOIN persons p USING (donor_id) LEFT JOIN nation n ON p.nation_key = n.n_nationkey
   JOIN frequency f USING (donor_id))
 """

@@ -23,6 +23,7 @@ from visitwise.sources.workspace import stage
 NULL_LABEL = "__null__"
 DEFAULT_SEED = 52
 WEIGHT = "weight"
+FEW_POINTS_PER_CLUSTER = 20
 
 
 def fill_labels(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -58,49 +59,23 @@ class Encoder:
     handle_invalid: str = "error"
 
     @classmethod
-    def fit(cls, weighted: DataFrame, features: list[str], handle_invalid: str = "error") -> Encoder:
-        indexed = text_features(weighted, features)
-        found: dict[str, list[str]] = {c: [] for c in indexed}
-        if indexed:
-            # The label vocabulary lives on the driver, as in any string indexer.
-            ranked = label_ranks(weighted, indexed).orderBy("feature", F.desc("n"), "label")
-            for row in ranked.toLocalIterator():
-                found[row["feature"]].append(row["label"])
-        return cls(list(features), indexed, [found[c] for c in indexed], handle_invalid)
-
-    @property
-    def names(self) -> list[str]:
-        return [f"{f}_index" if f in self.indexed else f for f in self.features]
-
-    def index(self, df: DataFrame) -> DataFrame:
-        if not self.indexed:
-            return df
-        model = StringIndexerModel.from_arrays_of_labels(
-            self.labels, inputCols=self.indexed, outputCols=[f"{c}_index" for c in self.indexed]
-        )
-        return model.transform(fill_labels(df, self.indexed))
-
-    def assemble(self, df: DataFrame) -> DataFrame:
-        assembler = VectorAssembler(
-            inputCols=self.names, outputCol="features", handleInvalid=self.handle_invalid
-        )
-        return assembler.transform(self.index(df))
-
-
-def encode(df: DataFrame, features: list[str], handle_invalid: str = "error") -> tuple[Encoder, DataFrame]:
-    """Encoder and the weighted feature vectors.
-
-    The combinations are written to the shared folder, so the fits iterate over a small
-    table and a lost executor never sets the visit pipeline going again.
-    """
-    weighted = stage(combinations(df, features), "combinations")
-    encoder = Encoder.fit(weighted, features, handle_invalid)
-    return encoder, encoder.assemble(weighted)
-
+    def fit(vectors: DataFrame, k: int, iterations: int, seed: int = DEFAULT_SEED) -> KMeansModel:
+    """Weighted k-means over distinct vectors; no more clusters than there are vectors.
 
-def fit(vectors: DataFrame, k: int, iterations: int, seed: int = DEFAULT_SEED) -> KMeansModel:
+    The parallel start may find fewer than k centers among few points, which the fit
+    cannot handle, so few points start from k of them.
+    """
+    points = vectors.count()
+    k = min(k, points)
+    start = "random" if points <= FEW_POINTS_PER_CLUSTER * k else "k-means||"
     return KMeans(
-        k=k, maxIter=iterations, seed=seed, featuresCol="features", weightCol=WEIGHT, predictionCol="cluster"
+        k=k,
+        maxIter=iterations,
+        seed=seed,
+        initMode=start,
+        featuresCol="features",
+        weightCol=WEIGHT,
+        predictionCol="cluster",
     ).fit(vectors)
 
 

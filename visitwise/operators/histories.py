@@ -106,15 +106,16 @@ class Histories:
         """Visit ordinal (1, 2, ...) and whole days since the previous visit (first: 0).
 
         With ``only``, the visits that fail the condition are passed over: they get
-        nulls and do not count as anyone's previous visit.
+        nulls and do not count as anyone's previous visit. Ordinals are 64-bit, as one
+        person's visits may be more than an int counts.
         """
         day = F.col(self.keys.day)
         counted = F.lit(True) if only is None else F.coalesce(only, F.lit(False))
         if only is None:
-            ordinal_here, previous = F.row_number().over(self.ordered), F.lag(day).over(self.ordered)
+            ordinal_here, previous = F.row_number().over(self.ordered).cast("long"), F.lag(day).over(self.ordered)
         else:
             running = self.ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-            ordinal_here = F.count_if(counted).over(running).cast("int")
+            ordinal_here = F.count_if(counted).over(running)
             previous = F.last(F.when(counted, day), ignorenulls=True).over(self.before)
         rows = self.rows.withColumns({"_ordinal": ordinal_here, "_previous": previous})
         ordinal_value, previous_value = F.col("_ordinal"), F.col("_previous")
@@ -127,7 +128,7 @@ class Histories:
             carry = carry.select(
                 self.keys.person,
                 S.SLICE,
-                F.sum("_n").over(earlier).cast("int").alias("_carry_n"),
+                F.sum("_n").over(earlier).alias("_carry_n"),
                 F.max("_last").over(earlier).alias("_carry_day"),
             )
             rows = self._lookup(rows, carry)

@@ -46,9 +46,15 @@ class Clusters:
 
 
 def cluster(
-    cohort: DataFrame, k: int, iterations: int, seed: int = C.DEFAULT_SEED, features: list[str] | None = None
+    cohort: DataFrame,
+    k: int,
+    iterations: int,
+    seed: int = C.DEFAULT_SEED,
+    features: list[str] | None = None,
+    handle_invalid: str = "error",
 ) -> Clusters:
-    encoder, vectors = C.encode(cohort, features or FEATURES)
+    """Fit and report; ``handle_invalid`` says what a missing number does: error, skip or keep."""
+    encoder, vectors = C.encode(cohort, features or FEATURES, handle_invalid)
     model = C.fit(vectors, k, iterations, seed)
     return Clusters(
         model, C.centers(vectors, model, encoder.names), C.wssse(vectors, model), encoder.names
@@ -63,9 +69,11 @@ def cluster_job(
     seed: int = C.DEFAULT_SEED,
     glob: str = "part*.parquet",
     features: list[str] | None = None,
+    handle_invalid: str = "error",
 ) -> Clusters:
     """Fit over the enriched table written by the preprocess job."""
-    return cluster(first_visit_cohort(read_parquet(spark, path, glob), features), k, iterations, seed, features)
+    cohort = first_visit_cohort(read_parquet(spark, path, glob), features)
+    return cluster(cohort, k, iterations, seed, features, handle_invalid)
 
 
 def sweep_job(

@@ -32,7 +32,7 @@ def with_frequency(h: Histories) -> Histories:
     rows = h.rows.withColumn(
         "avg_elapse", X.average_gap(F.col("donation_cnt"), F.col("_first"), F.col("_last"))
     ).withColumn("active", X.activity(F.col("avg_elapse")))
-    return h._with(rows.drop("_first", "_last").withColumn("donation_cnt", F.col("donation_cnt").cast("int")))
+    return h._with(rows.drop("_first", "_last"))
 
 
 def project_persons(persons: DataFrame, keys: Keys = Keys(), extra: tuple[str, ...] = ()) -> DataFrame:
