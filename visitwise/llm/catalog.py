@@ -1,4 +1,4 @@
 """Imports the modules whose queries register themselves."""
 
-from visitwise.llm import repetition  # noqa: F401
+from visitwise.llm import language, mixing, quality, repetition  # noqa: F401
 from visitwise.llm.registry import ORACLES, QUERIES  # noqa: F401
