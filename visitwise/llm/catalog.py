@@ -1,4 +1,4 @@
 """Imports the modules whose queries register themselves."""
 
-from visitwise.llm import bpe, language, mixing, neighbours, quality, repetition, simhash, warc  # noqa: F401
+from visitwise.llm import bpe, language, mixing, neighbours, paragraphs, quality, repetition, simhash, warc  # noqa: F401
 from visitwise.llm.registry import ORACLES, QUERIES  # noqa: F401
