@@ -51,7 +51,8 @@ def source_targets(
     turn = (F.row_number().over(by_name) - 1) % len(weights) + 1
     weighed = totals.withColumn("_weight", F.element_at(F.array(*[F.lit(int(w)) for w in weights]), turn))
     # Sources reach their cap in the order of size over weight. With the first ones capped, the rest share
-    # what is left by weight; the level is right from the first source on that stays below its own cap.
+    # what is left by weight. The level rises from source to source until one stays below its own cap and
+    # falls after that, so the level sought is the largest of those that stay below.
     fill = everything.orderBy(F.col("source_size") / F.col("_weight"), F.col("_source").asc_nulls_last())
     before = fill.rowsBetween(Window.unboundedPreceding, -1)
     after = fill.rowsBetween(Window.currentRow, Window.unboundedFollowing)
@@ -60,7 +61,7 @@ def source_targets(
     )
     leveled = weighed.withColumn("_level", left / F.sum("_weight").over(after))
     full = F.col("_level") * F.col("_weight") >= F.lit(cap) * F.col("source_size")
-    level = F.min(F.when(~full, F.col("_level"))).over(everything)
+    level = F.max(F.when(~full, F.col("_level"))).over(everything)
     share = F.coalesce(level * F.col("_weight"), F.lit(float("inf")))
     target = F.least((F.lit(cap) * F.col("source_size")).cast("double"), share)
     return leveled.select("_source", "source_size", target.alias("target"))
@@ -92,7 +93,7 @@ def mix(
     extra = coin("doc_id", seed) < F.col("_mix_rate") - F.floor("_mix_rate")
     copies = F.floor("_mix_rate") + extra.cast("long")
     return (
-        docs.join(rates, F.col("source").eqNullSafe(F.col("_mix_source")))
+        docs.join(rates, docs["source"].eqNullSafe(rates["_mix_source"]))
         .where(copies > 0)
         .withColumn("_mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
         .select(*docs.columns)
@@ -114,7 +115,7 @@ leveled AS (
   FROM weighed),
 targets AS (
   SELECT source, source_size, least(CAST(2 * source_size AS DOUBLE),
-    coalesce(min(CASE WHEN level * weight < 2 * source_size THEN level END) OVER () * weight, 'inf'::DOUBLE)) AS target
+    coalesce(max(CASE WHEN level * weight < 2 * source_size THEN level END) OVER () * weight, 'inf'::DOUBLE)) AS target
   FROM leveled),
 rated AS (
   SELECT s.doc_id, s.size, t.source_size, t.target,
