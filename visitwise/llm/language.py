@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from visitwise.llm.common import hash_order, held_out, table
@@ -145,18 +145,19 @@ def sample(docs: DataFrame, settings: Settings) -> tuple[list[str], list[str]]:
         & has_letter(F.col("text"))
         & (F.octet_length("text") <= settings.sample_text_bytes)
     )
-    order = hash_order("doc_id", "text", seed=settings.seed)
     counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    texts: list[str] = []
-    labels: list[str] = []
-    for lang, count in sorted(counts.items()):
-        # A thinned table keeps the ordering cheap; three times the need leaves enough rows.
-        keep = min(1.0, 3.0 * settings.sample_per_language / count)
-        thin = usable.where((F.col("lang") == lang) & (F.pmod(order, F.lit(1 << 20)) < int(keep * (1 << 20)) + 1))
-        rows = thin.select("text", order.alias("_o")).orderBy("_o", "text").limit(settings.sample_per_language)
-        for row in rows.collect():
-            texts.append(row["text"])
-            labels.append(lang)
+    if not counts:
+        return [], []
+    # A hash thins each language to about three times the need, so that ranking it stays small.
+    order = hash_order("doc_id", "text", seed=settings.seed)
+    steps = 1 << 20
+    most = {lang: int(min(1.0, 3.0 * settings.sample_per_language / n) * steps) + 1 for lang, n in counts.items()}
+    limits = F.create_map(*[F.lit(x) for pair in sorted(most.items()) for x in pair])
+    thin = usable.select("lang", "text", order.alias("o")).where(F.pmod("o", F.lit(steps)) < limits[F.col("lang")])
+    ranked = thin.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("o", "text")))
+    rows = ranked.where(F.col("r") <= settings.sample_per_language).select("lang", "r", "text").collect()
+    rows.sort(key=lambda row: (row["lang"], row["r"]))
+    texts, labels = [row["text"] for row in rows], [row["lang"] for row in rows]
     mixed = np.random.default_rng(settings.seed).permutation(len(texts))
     return [texts[i] for i in mixed], [labels[i] for i in mixed]
 

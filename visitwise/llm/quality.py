@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -207,6 +208,19 @@ def quality_scores(docs: DataFrame, labels: DataFrame, settings: Settings = Sett
     return score(docs, train(docs, labels, settings))
 
 
+def keep_accepted(docs: DataFrame, net: Network | None) -> DataFrame:
+    """The rows whose score reaches the threshold, columns unchanged; all rows if nothing could be learned."""
+    if net is None:
+        return docs
+    threshold = net.settings.threshold
+
+    @F.pandas_udf("boolean")
+    def accepted(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: net.score(t) >= threshold)
+
+    return docs.where(accepted("text"))
+
+
 @query("op8_quality")
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -180,7 +180,8 @@ def drop_near_duplicates(
     """
     classes = near_duplicates(docs, shingle, radius, seed)
     stay = classes.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_stay")).distinct()
-    one = docs.dropDuplicates(["doc_id"]).join(stay, F.col("doc_id") == F.col("_stay"), "left_semi")
+    one = docs.dropDuplicates(["doc_id"])
+    one = one.join(stay, one["doc_id"] == stay["_stay"], "left_semi")
     return one.union(docs.where(F.col("doc_id").isNull()))
 
 
