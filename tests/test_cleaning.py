@@ -173,3 +173,20 @@ def test_generated_code_compiles_for_a_wide_schema(spark):
         assert row["c0"] == "A" and row["c57"] == dt.date(2015, 3, 2) and row["c58"] == 7
     finally:
         spark.conf.unset("spark.sql.codegen.fallback")
+
+
+def test_header_of_folder_with_odd_name(spark, tmp_path):
+    folder = tmp_path / "a b"
+    folder.mkdir()
+    (folder / "a0.csv").write_text("")
+    (folder / "x%1[2].csv").write_text("head,er\n1,2\n")
+    (folder / "z.csv").write_text("other\n")
+    assert E.header_line(spark, str(folder)) == "head,er"
+    assert E.header_line(spark, str(folder / "a0.csv")) is None
+
+
+def test_every_digit_of_a_date_counts(spark):
+    texts = ["2015/01/1234567", "20150/01/01", "2015/123456/01", "2015/01/99999999999", "2015/13/45", "0/1/1"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r["d"] for r in df.select("i", X.to_day(F.col("t")).cast("string").alias("d")).orderBy("i").collect()]
+    assert got == ["5395-02-16", None, None, None, "2016-02-14", None]

@@ -65,10 +65,8 @@ def test_preprocess(spark, extracts, tmp_path):
     assert reasons == {("visits", "arity"), ("visits", "missing donor_id")}
 
 
-def test_large_extracts_are_staged_with_the_same_result(spark, extracts, tmp_path, monkeypatch):
+def test_hot_persons_are_sliced_with_the_same_result(spark, extracts, tmp_path, monkeypatch):
     small = spark.read.parquet(run(spark, extracts, tmp_path / "small").data)
-    for module in ("visitwise.plans.preprocess", "visitwise.operators.histories"):
-        monkeypatch.setattr(f"{module}.fits_one_task", lambda df: False)
     monkeypatch.setattr("visitwise.operators.slices.ROWS_PER_SLICE", 5)
     large = spark.read.parquet(run(spark, extracts, tmp_path / "large").data)
     assert sorted(map(str, large.select(small.columns).collect())) == sorted(map(str, small.collect()))
@@ -109,7 +107,7 @@ def test_weighted_vectors_cost_what_single_rows_cost(spark):
     encoder, vectors = C.encode(df, ["a", "b"])
     model = C.fit(vectors, 4, 10)
     singles = encoder.assemble(df)
-    centers = model.clusterCenters()
+    centers = model.points
     cost = 0.0
     for row in singles.select("features").collect():
         cost += min(sum((x - c) ** 2 for x, c in zip(row["features"], center)) for center in centers)
@@ -122,15 +120,31 @@ def test_sweep_has_one_row_per_k(spark):
     _, vectors = C.encode(df, ["a", "b"])
     rows = C.sweep(vectors, range(3, 6), 5).orderBy("k").collect()
     assert [r["k"] for r in rows] == [3, 4, 5]
-    assert all(len(r["centers"].split(";")) == r["k"] for r in rows)
+    assert all(len(r["centers"].split(";")) == r["n_centers"] for r in rows)
 
 
 def test_more_clusters_than_distinct_rows(spark):
     df = spark.range(100).select((F.col("id") % 4).cast("int").alias("a"))
     _, vectors = C.encode(df, ["a"])
-    model = C.fit(vectors, 15, 5)
-    assert sorted(float(c[0]) for c in model.clusterCenters()) == [0.0, 1.0, 2.0, 3.0]
-    assert model.summary.trainingCost == 0
+    for k in (4, 15):
+        found = C.fit(vectors, k, 5)
+        assert found.points == [[0.0], [1.0], [2.0], [3.0]] and found.cost == 0 and found.n_centers == 4
+    one = C.fit(vectors, 1, 5)
+    assert one.points == [[1.5]] and one.cost == pytest.approx(125.0)
+
+
+def test_clusters_of_one_or_no_row(spark):
+    df = spark.range(9).select(F.lit(3).alias("a"))
+    _, vectors = C.encode(df, ["a"])
+    assert C.fit(vectors, 1, 5).points == [[3.0]] and C.fit(vectors, 5, 5).points == [[3.0]]
+    with pytest.raises(ValueError):
+        C.fit(C.encode(df.limit(0), ["a"])[1], 2, 5)
+
+
+def test_fit_does_not_depend_on_the_layout(spark):
+    df = spark.range(3000).select((F.col("id") % 97).cast("int").alias("a"), (F.col("id") % 31).cast("int").alias("b"))
+    costs = [C.fit(C.encode(df.repartition(n), ["a", "b"])[1], 5, 10).cost for n in (1, 7)]
+    assert costs[0] == pytest.approx(costs[1], rel=1e-9)
 
 
 def test_label_order_is_that_of_the_string_indexer(spark):
@@ -139,18 +153,17 @@ def test_label_order_is_that_of_the_string_indexer(spark):
     df = spark.createDataFrame([(x,) for x in "bbaacdde"] + [(None,)], "s string")
     encoder = C.Encoder.fit(C.combinations(df, ["s"]), ["s"])
     want = StringIndexer(inputCol="s", outputCol="i").fit(C.fill_labels(df, ["s"])).labels
-    assert encoder.labels == [list(want)]
+    got = encoder.ranks.orderBy("rank").collect()
+    assert [r["label"] for r in got] == list(want) and [r["rank"] for r in got] == [0.0, 1.0, 2.0, 3.0, 4.0, 5.0][: len(got)]
 
 
-@pytest.mark.parametrize("big", [False, True])
-def test_explore(spark, sf_dir, tmp_path, monkeypatch, big):
-    if big:
-        monkeypatch.setattr("visitwise.plans.exploration.fits_one_task", lambda df: False)
+def test_explore(spark, sf_dir, tmp_path):
     persons = T.persons(spark, sf_dir).drop("nation_key")
     report = explore(T.visits(spark, sf_dir), persons, T.WHOLE_TYPE)
     assert report["table_shape"].first()["n_rows"] == T.visits(spark, sf_dir).count()
-    if big:
-        assert "merged-" in " ".join(report["table_shape"].inputFiles())
+    assert "age_at_donation" in report["early_return_preview"].columns
+    assert report["early_returns"].count() == report["early_return_count"].first()["n"]
+    assert report["early_return_ids"].count() == report["early_returns"].select("donor_id").distinct().count()
     total = report["hist_lapse_years"].agg(F.sum("n")).first()[0]
     assert total == report["lapse_years_all"].count()
     path = str(tmp_path / "missing")

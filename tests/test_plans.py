@@ -4,13 +4,13 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry
+from visitwise.catalog import clusters, ingest, jobs, reports, visits  # noqa: F401
+from visitwise.catalog.registry import QUERIES
 from visitwise.operators.histories import Histories, Keys
 from visitwise.sources import workspace
 
-QUERIES = entry.queries()
 FORBIDDEN = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "CartesianProduct", "BroadcastNestedLoopJoin")
-ITERATIVE = {"kmeans_centers", "kmeans_wssse", "kmeans_sweep"}
+ITERATIVE = {"kmeans_one", "kmeans_every_point", "kmeans_centers", "kmeans_wssse", "kmeans_sweep"}
 
 
 def plan(df):

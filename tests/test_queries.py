@@ -4,9 +4,11 @@ import pytest
 
 import __spark_entry__ as entry
 from tests import oracle
+from visitwise.catalog import registry
 
-QUERIES = entry.queries()
-ORACLES = entry.oracle_sql()
+# The queries of the optional parts are tested beside those parts.
+QUERIES = {name: fn for name, fn in entry.queries().items() if name in registry.QUERIES}
+ORACLES = {name: sql for name, sql in entry.oracle_sql().items() if name in registry.ORACLES}
 
 
 @pytest.fixture(scope="module")

@@ -6,23 +6,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from visitwise.catalog.registry import query
-from visitwise.catalog.visits import ENRICHED, enriched
+from visitwise.catalog.visits import COHORT, ENRICHED, enriched
 from visitwise.operators import clustering as C
 from visitwise.plans import cluster as K
 
-TEXT = [f for f in K.FEATURES if f in (
-    "donation_season", "age_bucket", "donation_type", "sponsor_category", "race", "gender", "StateAbbr",
-)]
-FILLED = ENRICHED + ", filled AS (SELECT txn_id, " + ", ".join(
-    f"""coalesce("{f}", '__null__') AS "{f}" """ if f in TEXT else f'"{f}"' for f in K.FEATURES
-) + " FROM enriched)\n"
-RANKS = FILLED + "".join(
-    f""", r_{i} AS (SELECT "{f}", CAST(row_number() OVER (ORDER BY count(*) DESC, "{f}") - 1 AS DOUBLE) AS ix
+# The features that hold text; the others are numbers.
+TEXT = ["donation_season", "age_bucket", "donation_type", "sponsor_category", "race", "gender", "StateAbbr"]
+
+
+def ranks_sql(where: str = "") -> str:
+    """``filled`` and ``indexed`` over the enriched visits, or over those that fulfil ``where``."""
+    filled = ENRICHED + ", filled AS (SELECT txn_id, " + ", ".join(
+        f"""coalesce("{f}", '__null__') AS "{f}" """ if f in TEXT else f'"{f}"' for f in K.FEATURES
+    ) + f" FROM enriched {where})\n"
+    ranks = "".join(
+        f""", r_{i} AS (SELECT "{f}", CAST(row_number() OVER (ORDER BY count(*) DESC, "{f}") - 1 AS DOUBLE) AS ix
 FROM filled GROUP BY "{f}")"""
-    for i, f in enumerate(TEXT)
-) + ", indexed AS (SELECT filled.*, " + ", ".join(f'r_{i}.ix AS "{f}_index"' for i, f in enumerate(TEXT)) + (
-    " FROM filled " + " ".join(f'JOIN r_{i} ON r_{i}."{f}" = filled."{f}"' for i, f in enumerate(TEXT)) + ")\n"
-)
+        for i, f in enumerate(TEXT)
+    )
+    indexed = ", indexed AS (SELECT filled.*, " + ", ".join(f'r_{i}.ix AS "{f}_index"' for i, f in enumerate(TEXT))
+    joins = " FROM filled " + " ".join(f'JOIN r_{i} ON r_{i}."{f}" = filled."{f}"' for i, f in enumerate(TEXT))
+    return filled + ranks + indexed + joins + ")\n"
+
+
+FILLED = ranks_sql()
+RANKS = FILLED
+NAMES = [f"{f}_index" if f in TEXT else f for f in K.FEATURES]
 
 
 def all_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +83,49 @@ def cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.first_visit_cohort(enriched(spark, sf_dir), since_year=SINCE_YEAR)
 
 
+COHORT_RANKS = ranks_sql(COHORT.format(year=SINCE_YEAR).replace(" FROM enriched ", ""))
+
+
+@query(
+    "kmeans_one",
+    COHORT_RANKS
+    + " UNION ALL ".join(
+        f"""SELECT '{n}' AS feature, round(avg(CAST("{n}" AS DOUBLE)), 6) AS center,
+round(var_pop(CAST("{n}" AS DOUBLE)) * count(*), 4) AS cost, count(*) AS n_rows FROM indexed"""
+        for n in NAMES
+    ),
+)
+def kmeans_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The single center of the cohort and each feature's part of the cost."""
+    enc, vectors = C.encode(cohort(spark, sf_dir), K.FEATURES)
+    found = C.fit(vectors, 1, ITERATIONS)
+    names = F.array(*[F.lit(n) for n in enc.names])
+    center = F.array(*[F.lit(x) for x in found.points[0]])
+    parts = C.features_as_array(vectors).select(F.posexplode("features").alias("pos", "x"), C.WEIGHT)
+    off = F.col("x") - F.get(center, F.col("pos"))
+    sums = parts.groupBy("pos").agg(F.sum(off * off * F.col(C.WEIGHT)).alias("cost"), F.sum(C.WEIGHT).alias("n"))
+    return sums.select(
+        F.get(names, F.col("pos")).alias("feature"),
+        F.round(F.get(center, F.col("pos")), 6).alias("center"),
+        F.round("cost", 4).alias("cost"),
+        F.col("n").cast("long").alias("n_rows"),
+    )
+
+
+@query(
+    "kmeans_every_point",
+    COHORT_RANKS
+    + f"""SELECT DISTINCT concat_ws(',', {", ".join(f'CAST(round(CAST("{n}" AS DOUBLE)) AS BIGINT)' for n in NAMES)}) AS center,
+CAST(0 AS DOUBLE) AS cost FROM indexed""",
+)
+def kmeans_every_point(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many clusters as distinct vectors: every vector is a center and costs nothing."""
+    _, vectors = C.encode(cohort(spark, sf_dir), K.FEATURES)
+    found = C.fit(vectors, vectors.count(), ITERATIONS)
+    rows = [(",".join(str(round(x)) for x in point), found.cost) for point in found.points]
+    return spark.createDataFrame(rows, "center string, cost double")
+
+
 @query("kmeans_centers")
 def kmeans_centers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.cluster(cohort(spark, sf_dir), CLUSTERS, ITERATIONS).centers

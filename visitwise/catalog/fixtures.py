@@ -34,18 +34,22 @@ SELECT CAST(o_custkey AS {text}) AS donor_id, CAST(o_orderdate AS DATE) AS donat
 FROM {orders}
 """
 
+# Every 17th person has an id that no visit has, so both sides of the left join have unmatched rows.
 PERSONS = """
-SELECT CAST(c_custkey AS {text}) AS donor_id,
+SELECT CASE WHEN c_custkey % 17 = 0 THEN concat('none-', CAST(c_custkey AS {text}))
+            ELSE CAST(c_custkey AS {text}) END AS donor_id,
        CASE WHEN c_custkey % 13 = 0 THEN NULL ELSE {birth} END AS birth_dt,
        c_mktsegment AS race, CASE WHEN c_custkey % 2 = 0 THEN 'F' ELSE 'M' END AS gender,
        CAST(c_custkey % 100000 AS {text}) AS zip5c, c_nationkey AS nation_key
-FROM {customer} WHERE c_custkey % 17 <> 0
+FROM {customer}
 """
 
 RAW_LINES = """
 SELECT o_orderkey AS txn_id, concat_ws(',',
  CASE WHEN o_orderkey % 97 = 0 THEN ' NA ' ELSE concat(' d', CAST(o_custkey AS {text}), ' ') END,
- CASE WHEN o_orderkey % 11 = 0 THEN '2015-02-30' WHEN o_orderkey % 11 = 1 THEN '2015/13/45'
+ CASE WHEN o_orderkey % 101 = 1 THEN '2015/01/1234567' WHEN o_orderkey % 101 = 2 THEN '20150/01/01'
+      WHEN o_orderkey % 101 = 3 THEN '2015/123456/01'
+      WHEN o_orderkey % 11 = 0 THEN '2015-02-30' WHEN o_orderkey % 11 = 1 THEN '2015/13/45'
       WHEN o_orderkey % 11 = 2 THEN 'none' WHEN o_orderkey % 11 = 3 THEN '20150102'
       WHEN o_orderkey % 11 = 4 THEN '2015-01-02 10:00' WHEN o_orderkey % 11 = 5 THEN '2015/01/02 10:00'
       ELSE substring(CAST(o_orderdate AS {text}), 1, 10) END,

@@ -32,10 +32,16 @@ TO_DAY = """CASE
       THEN make_date(CAST(string_split({0}, '-')[1] AS INTEGER), CAST(string_split({0}, '-')[2] AS INTEGER), 1)
            + (CAST(string_split({0}, '-')[3] AS INTEGER) - 1) END
   WHEN regexp_matches({0}, '^[0-9]+/[0-9]+/[0-9]+') THEN
-    CAST(make_date(CAST(regexp_extract({0}, '^([0-9]+)/([0-9]+)/([0-9]+)', 1) AS INTEGER), 1, 1)
-         + to_months(CAST(regexp_extract({0}, '^([0-9]+)/([0-9]+)/([0-9]+)', 2) AS INTEGER) - 1) AS DATE)
-    + (CAST(regexp_extract({0}, '^([0-9]+)/([0-9]+)/([0-9]+)', 3) AS INTEGER) - 1)
+    CASE WHEN __Y__ BETWEEN 1 AND 9999 AND __M__ <= 119988 AND __D__ <= 3659634 THEN
+      CASE WHEN year(__DATE__) BETWEEN 1 AND 9999 THEN __DATE__ END END
   END"""
+# The numbers of a slashed date, and the date they roll over to.
+for _name, _text in (
+    ("__DATE__", "(CAST(make_date(__Y__, 1, 1) + to_months(__M__ - 1) AS DATE) + (__D__ - 1))"),
+    *((f"__{n}__", f"TRY_CAST(regexp_extract({{0}}, '^([0-9]+)/([0-9]+)/([0-9]+)', {i}) AS INTEGER)")
+      for i, n in enumerate("YMD", 1)),
+):
+    TO_DAY = TO_DAY.replace(_name, _text)
 TYPED = (
     PARTS
     + f""",

@@ -316,3 +316,9 @@ FEATURE_LIST = ", ".join(f'"{f}"' for f in K.FEATURES)
 @query("first_donation_cohort", ENRICHED + f"SELECT {FEATURE_LIST}" + COHORT.format(year=2000))
 def first_donation_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.first_visit_cohort(enriched(spark, sf_dir))
+
+
+@query("first_donation_cohort_1995", ENRICHED + f"SELECT {FEATURE_LIST}" + COHORT.format(year=1995))
+def first_donation_cohort_1995(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same since a year that most first visits of the test tables are after."""
+    return K.first_visit_cohort(enriched(spark, sf_dir), since_year=1995)

@@ -96,14 +96,29 @@ def _dashed(value: Column, strict: bool) -> Column:
 
 
 def _slashed(value: Column, strict: bool) -> Column:
-    """Lenient ``yyyy/MM/dd`` prefix; months and days out of range roll over."""
-    prefix = r"^[ \t]*([0-9]{1,4})/[ \t]*([0-9]{1,5})/[ \t]*([0-9]{1,6})"
-    year, month, day = (F.regexp_extract(value, prefix, i).try_cast("int") for i in (1, 2, 3))
-    rolled = F.date_add(F.add_months(F.make_date(year, F.lit(1), F.lit(1)), month - 1), day - 1)
-    valid = year >= 1
-    if strict:
-        valid = valid & (F.month(rolled) == month) & (F.dayofmonth(rolled) == day)
-    return F.when(valid, rolled)
+    """Lenient ``yyyy/MM/dd`` prefix; months and days out of range roll over.
+
+    Every digit of a number counts. A date outside the years 1 to 9999 is null.
+    """
+    prefix = r"^[ \t]*([0-9]+)/[ \t]*([0-9]+)/[ \t]*([0-9]+)"
+    names = ("year", "month", "day")
+    numbers = F.struct(*[F.regexp_extract(value, prefix, i).try_cast("int").alias(n) for i, n in enumerate(names, 1)])
+
+    def rolled(part: Column) -> Column:
+        year, month, day = (part[n] for n in names)
+        start = F.add_months(F.make_date(year, F.lit(1), F.lit(1)), month - 1)
+        # Beyond these bounds the sum could only lie outside the years 1 to 9999.
+        bounded = (year >= 1) & (year <= 9999) & (month <= 12 * 9999) & (day <= 366 * 9999)
+        return F.struct(F.when(bounded, F.date_add(start, day - 1)).alias("date"), *[part[n].alias(n) for n in names])
+
+    def valid(part: Column) -> Column:
+        fits = F.year(part["date"]).between(1, 9999)
+        if strict:
+            fits = fits & (F.month(part["date"]) == part["month"]) & (F.dayofmonth(part["date"]) == part["day"])
+        return F.when(fits, part["date"])
+
+    # One-element arrays name the steps, so no step's expression is copied into the next.
+    return F.get(F.transform(F.transform(F.array(numbers), rolled), valid), F.lit(0))
 
 
 def to_day(value: Column, strict: bool = False) -> Column:

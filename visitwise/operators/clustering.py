@@ -12,9 +12,11 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.feature import StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.stat import Summarizer
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,7 +25,6 @@ from visitwise.sources.workspace import stage
 NULL_LABEL = "__null__"
 DEFAULT_SEED = 52
 WEIGHT = "weight"
-FEW_POINTS_PER_CLUSTER = 20
 
 
 def fill_labels(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -51,35 +52,44 @@ def label_ranks(weighted: DataFrame, columns: list[str]) -> DataFrame:
 
 @dataclass(frozen=True)
 class Encoder:
-    """Label lists by falling frequency (ties by label), and the columns to assemble."""
+    """Label ranks by falling frequency (ties by label), kept as a table, and the columns to assemble."""
 
     features: list[str]
     indexed: list[str]
-    labels: list[list[str]]
+    ranks: DataFrame | None
     handle_invalid: str = "error"
 
     @classmethod
     def fit(cls, weighted: DataFrame, features: list[str], handle_invalid: str = "error") -> Encoder:
         indexed = text_features(weighted, features)
-        found: dict[str, list[str]] = {c: [] for c in indexed}
+        ranks = None
         if indexed:
-            # The label vocabulary lives on the driver, as in any string indexer.
-            ranked = label_ranks(weighted, indexed).orderBy("feature", F.desc("n"), "label")
-            for row in ranked.toLocalIterator():
-                found[row["feature"]].append(row["label"])
-        return cls(list(features), indexed, [found[c] for c in indexed], handle_invalid)
+            by_rank = Window.partitionBy("feature").orderBy(F.desc("n"), "label")
+            ranked = label_ranks(weighted, indexed).withColumn("rank", (F.row_number().over(by_rank) - 1).cast("double"))
+            ranks = stage(ranked.select("feature", "label", "rank"), "label-ranks")
+        return cls(list(features), indexed, ranks, handle_invalid)
 
     @property
     def names(self) -> list[str]:
         return [f"{f}_index" if f in self.indexed else f for f in self.features]
 
     def index(self, df: DataFrame) -> DataFrame:
+        """Add each text feature's label rank by a join; Spark broadcasts a rank table only if it is small.
+
+        A label that the ranks do not know is an error, or null where ``handle_invalid`` is not ``error``.
+        """
         if not self.indexed:
             return df
-        model = StringIndexerModel.from_arrays_of_labels(
-            self.labels, inputCols=self.indexed, outputCols=[f"{c}_index" for c in self.indexed]
-        )
-        return model.transform(fill_labels(df, self.indexed))
+        df = fill_labels(df, self.indexed)
+        for feature in self.indexed:
+            own = self.ranks.where(F.col("feature") == feature).select(
+                F.col("label").alias("_label"), F.col("rank").alias(f"{feature}_index")
+            )
+            df = df.join(own, F.col(feature) == F.col("_label"), "left").drop("_label")
+            if self.handle_invalid == "error":
+                unknown = F.raise_error(F.concat(F.lit(f"unknown label of {feature}: "), F.col(feature)))
+                df = df.withColumn(f"{feature}_index", F.coalesce(f"{feature}_index", unknown.cast("double")))
+        return df
 
     def assemble(self, df: DataFrame) -> DataFrame:
         assembler = VectorAssembler(
@@ -88,39 +98,77 @@ class Encoder:
         return assembler.transform(self.index(df))
 
 
-def encode(df: DataFrame, features: list[str], handle_invalid: str = "error") -> tuple[Encoder, DataFrame]:
+def encode(
+    df: DataFrame, features: list[str], handle_invalid: str = "error", partitions: int = 8
+) -> tuple[Encoder, DataFrame]:
     """Encoder and the weighted feature vectors.
 
-    The combinations are written to the shared folder, so the fits iterate over a small
-    table and a lost executor never sets the visit pipeline going again.
+    The combinations and their vectors are written to the shared folder once, so the fits iterate over
+    a small table and a lost executor never sets the visit pipeline going again. The vectors lie in
+    ``partitions`` files by a hash of the features, sorted, so that a seeded fit does not depend on how
+    the visits were laid out.
     """
     weighted = stage(combinations(df, features), "combinations")
     encoder = Encoder.fit(weighted, features, handle_invalid)
-    return encoder, encoder.assemble(weighted)
+    laid = encoder.assemble(weighted).repartition(partitions, *features).sortWithinPartitions(*features)
+    return encoder, stage(laid.select("features", WEIGHT), "vectors")
 
 
-def fit(vectors: DataFrame, k: int, iterations: int, seed: int = DEFAULT_SEED) -> KMeansModel:
-    """Weighted k-means over distinct vectors; no more clusters than there are vectors.
+@dataclass(frozen=True)
+class Fit:
+    """Centers of a fit: asked number, found centers, cost. ``model`` is None where no fit was needed."""
+
+    k: int
+    points: list[list[float]]
+    cost: float
+    model: KMeansModel | None
 
-    The parallel start may find fewer than k centers among few points, which the fit
-    cannot handle, so few points start from k of them.
+    @property
+    def n_centers(self) -> int:
+        return len(self.points)
+
+
+def fit(
+    vectors: DataFrame,
+    k: int,
+    iterations: int,
+    seed: int = DEFAULT_SEED,
+    start: str = "k-means||",
+    start_steps: int = 5,
+    tolerance: float = 1e-4,
+) -> Fit:
+    """Weighted k-means over distinct vectors, the same way for every size and k.
+
+    One cluster is the weighted mean. With at least as many clusters as distinct vectors the vectors are
+    the centers, in the order of their components, and the cost is zero. A parallel start that finds too few
+    centers is repeated with more steps.
     """
-    points = vectors.count()
-    k = min(k, points)
-    start = "random" if points <= FEW_POINTS_PER_CLUSTER * k else "k-means||"
-    return KMeans(
-        k=k,
-        maxIter=iterations,
-        seed=seed,
-        initMode=start,
-        featuresCol="features",
-        weightCol=WEIGHT,
-        predictionCol="cluster",
-    ).fit(vectors)
-
-
-def centers(vectors: DataFrame, model: KMeansModel, names: list[str]) -> DataFrame:
-    """(cluster, feature, value), k rows per feature."""
+    merged = vectors.groupBy("features").agg(F.sum(WEIGHT).alias(WEIGHT))
+    few = merged.limit(k + 1).count()
+    if not few:
+        raise ValueError("there are no feature vectors to cluster")
+    if few <= k:
+        points = sorted([float(x) for x in row["features"]] for row in merged.select("features").collect())
+        return Fit(k, points, 0.0, None)
+    if k == 1:
+        center = [float(x) for x in merged.select(Summarizer.mean(F.col("features"), F.col(WEIGHT))).first()[0]]
+        squares = [(x - c) * (x - c) for x, c in zip((F.get("v", F.lit(i)) for i in range(len(center))), center)]
+        cost = (
+            vectors.select(vector_to_array("features").alias("v"), WEIGHT)
+            .agg(F.sum(sum(squares[1:], squares[0]) * F.col(WEIGHT)))
+            .first()[0]
+        )
+        return Fit(1, [center], float(cost), None)
+    means = KMeans(
+        k=k, maxIter=iterations, seed=seed, initMode=start, initSteps=start_steps, tol=tolerance,
+        featuresCol="features", weightCol=WEIGHT, predictionCol="cluster",
+    )
+    model = means.fit(vectors)
+    return Fit(k, [[float(x) for x in c] for c in model.clusterCenters()], float(model.summary.trainingCost), model)
+
+
+def centers(vectors: DataFrame, found: Fit, names: list[str]) -> DataFrame:
+    """(cluster, feature, value), one row per center and feature."""
     schema = T.StructType(
         [
             T.StructField("cluster", T.IntegerType()),
@@ -128,30 +176,30 @@ def centers(vectors: DataFrame, model: KMeansModel, names: list[str]) -> DataFra
             T.StructField("value", T.DoubleType()),
         ]
     )
-    rows = [
-        (i, name, float(v)) for i, center in enumerate(model.clusterCenters()) for name, v in zip(names, center)
-    ]
+    rows = [(i, name, v) for i, center in enumerate(found.points) for name, v in zip(names, center)]
     return vectors.sparkSession.createDataFrame(rows, schema)
 
 
-def wssse(vectors: DataFrame, model: KMeansModel) -> DataFrame:
-    """(k, wssse, n_rows): the sum of squared distances to the own center."""
+def wssse(vectors: DataFrame, found: Fit) -> DataFrame:
+    """(k, n_centers, wssse, n_rows): the sum of squared distances to the own center."""
     n = vectors.agg(F.sum(WEIGHT).cast("long").alias("n_rows"))
     return n.select(
-        F.lit(len(model.clusterCenters())).alias("k"), F.lit(model.summary.trainingCost).alias("wssse"), "n_rows"
+        F.lit(found.k).alias("k"), F.lit(found.n_centers).alias("n_centers"), F.lit(found.cost).alias("wssse"), "n_rows"
     )
 
 
 def sweep(
     vectors: DataFrame, ks: Iterable[int] = range(15, 31), iterations: int = 10, seed: int = DEFAULT_SEED
 ) -> DataFrame:
-    """(k, wssse, centers) for each k over the same cached vectors."""
+    """(k, n_centers, wssse, centers) for each k over the same staged vectors, kept in memory meanwhile."""
+    vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)
     rows = []
     for k in ks:
-        model = fit(vectors, k, iterations, seed)
-        text = ";".join("[" + ",".join(repr(float(v)) for v in c) + "]" for c in model.clusterCenters())
-        rows.append((k, float(model.summary.trainingCost), text))
-    return vectors.sparkSession.createDataFrame(rows, "k int, wssse double, centers string")
+        found = fit(vectors, k, iterations, seed)
+        text = ";".join("[" + ",".join(repr(v) for v in c) + "]" for c in found.points)
+        rows.append((k, found.n_centers, found.cost, text))
+    vectors.unpersist()
+    return vectors.sparkSession.createDataFrame(rows, "k int, n_centers int, wssse double, centers string")
 
 
 def features_as_array(df: DataFrame, name: str = "features") -> DataFrame:

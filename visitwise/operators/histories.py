@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from visitwise.functions import features as X
 from visitwise.operators import slices as S
-from visitwise.operators.sizes import fits_one_task
 from visitwise.sources.workspace import stage
 
 
@@ -42,12 +41,8 @@ class Histories:
 
     @classmethod
     def of(cls, df: DataFrame, keys: Keys = Keys(), per_slice: int | None = None) -> Histories:
-        """Choose the distribution. ``per_slice`` forces the check with that slice size."""
-        if per_slice is None:
-            if fits_one_task(df):
-                return cls(df, keys)
-            per_slice = S.ROWS_PER_SLICE
-        hot, per_slice = S.hot_persons(df, keys.person, per_slice)
+        """Choose the distribution by the counted rows of the largest person, at every size alike."""
+        hot, per_slice = S.hot_persons(df, keys.person, per_slice or S.ROWS_PER_SLICE)
         if hot is None:
             return cls(df, keys)
         names = (keys.person, keys.day, keys.tie)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from visitwise.functions import features as X
 from visitwise.operators.histories import Histories, Keys
 from visitwise.operators.slices import order_key
+from visitwise.sources.workspace import stage
 
 DAYS_PER_YEAR = 365
 DAYS_PER_CYCLE = 56
@@ -111,6 +112,8 @@ def preview(
     """
     where = F.lit(True) if where is None else where
     top = head_rows(df.where(where), n, keys).select(F.col(keys.person).alias("_top")).distinct()
+    # At most n ids, written out so that the top-n runs once; then one read of these persons' rows.
+    top = stage(top, "preview-persons")
     rows = df.join(F.broadcast(top), F.col(keys.person).eqNullSafe(F.col("_top")), "left_semi")
     return head_rows(build(Histories.of(rows, keys, per_slice)).frame().where(where), n, keys)
 

@@ -100,11 +100,6 @@ def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
     )
 
 
-def head(df: DataFrame, n: int, *order: str) -> DataFrame:
-    """First rows of an order: each task keeps n rows, no full sort."""
-    return df.orderBy(*order).limit(n)
-
-
 def sort_lines(df: DataFrame, line: str = "value", tie: str | None = None) -> DataFrame:
     """Global text order.
 

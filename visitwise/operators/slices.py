@@ -12,7 +12,7 @@ makes it safe to broadcast the cut points and the slice summaries.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from visitwise.sources.workspace import stage
@@ -34,19 +34,15 @@ def order_key(day: str, tie: str) -> Column:
 def hot_persons(df: DataFrame, person: str, per_slice: int) -> tuple[DataFrame | None, int]:
     """Persons above the slice size, or None, and the slice size in force.
 
-    One pass over the person column. The counts are written to the shared folder, so
-    only the row total and whether any person is hot reach the driver. Few persons can
-    be hot: each holds more than ``per_slice`` of the rows.
+    One pass over the person column with a map-side combine; only the row total and the largest
+    person's rows reach the driver. Few persons can be hot: each holds more than ``per_slice`` rows.
     """
-    total = Observation()
     counts = df.groupBy(F.col(person).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
-    seen = counts.observe(total, F.sum("_n").alias("rows"), F.max("_n").alias("largest"))
-    hot = stage(seen.where(F.col("_n") > per_slice), "hot")
-    rows, largest = total.get["rows"] or 0, total.get["largest"] or 0
-    per_slice = max(per_slice, -(-rows // MAX_SLICES))
-    if largest <= per_slice:
+    size = counts.agg(F.sum("_n").alias("rows"), F.max("_n").alias("largest")).first()
+    per_slice = max(per_slice, -(-(size["rows"] or 0) // MAX_SLICES))
+    if (size["largest"] or 0) <= per_slice:
         return None, per_slice
-    return hot.where(F.col("_n") > per_slice), per_slice
+    return stage(counts.where(F.col("_n") > per_slice), "hot"), per_slice
 
 
 def cut_points(df: DataFrame, hot: DataFrame, person: str, day: str, tie: str, per_slice: int) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.clustering import KMeansModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,7 +38,7 @@ def first_visit_cohort(enriched: DataFrame, features: list[str] | None = None, s
 
 @dataclass(frozen=True)
 class Clusters:
-    model: KMeansModel
+    fit: C.Fit
     centers: DataFrame
     wssse: DataFrame
     names: list[str]
@@ -55,10 +54,8 @@ def cluster(
 ) -> Clusters:
     """Fit and report; ``handle_invalid`` says what a missing number does: error, skip or keep."""
     encoder, vectors = C.encode(cohort, features or FEATURES, handle_invalid)
-    model = C.fit(vectors, k, iterations, seed)
-    return Clusters(
-        model, C.centers(vectors, model, encoder.names), C.wssse(vectors, model), encoder.names
-    )
+    found = C.fit(vectors, k, iterations, seed)
+    return Clusters(found, C.centers(vectors, found, encoder.names), C.wssse(vectors, found), encoder.names)
 
 
 def cluster_job(
@@ -70,9 +67,10 @@ def cluster_job(
     glob: str = "part*.parquet",
     features: list[str] | None = None,
     handle_invalid: str = "error",
+    since_year: int = 2000,
 ) -> Clusters:
     """Fit over the enriched table written by the preprocess job."""
-    cohort = first_visit_cohort(read_parquet(spark, path, glob), features)
+    cohort = first_visit_cohort(read_parquet(spark, path, glob), features, since_year)
     return cluster(cohort, k, iterations, seed, features, handle_invalid)
 
 
@@ -86,9 +84,9 @@ def sweep_job(
     glob: str = "part*.parquet",
     features: list[str] | None = None,
 ) -> DataFrame:
-    """Fit each number of clusters and write the K, WSSSE, Centers table as CSV."""
+    """Fit each number of clusters and write the K, WSSSE, Centers table as CSV; the result has n_centers too."""
     cohort = first_visit_cohort(read_parquet(spark, path, glob), features)
     _, vectors = C.encode(cohort, features or FEATURES)
     result = C.sweep(vectors, ks, iterations, seed)
-    write_csv(result.withColumnsRenamed({"k": "K", "wssse": "WSSSE", "centers": "Centers"}), output)
+    write_csv(result.drop("n_centers").withColumnsRenamed({"k": "K", "wssse": "WSSSE", "centers": "Centers"}), output)
     return result

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from visitwise.functions import features as X
 from visitwise.operators import lapses as L
 from visitwise.operators import profiling as P
 from visitwise.operators.histories import Keys
-from visitwise.operators.sizes import fits_one_task
 from visitwise.sources.workspace import stage
 
 YEAR_BINS = 300
@@ -16,9 +16,11 @@ CYCLE_BINS = 180
 
 
 def merge_left(
-    left: DataFrame, right: DataFrame, on: str, suffixes: tuple[str, str] = ("_x", "_y")
+    left: DataFrame, right: DataFrame, on: str, suffixes: tuple[str, str] = ("_x", "_y"), match_nulls: bool = True
 ) -> DataFrame:
-    """Left merge with one key column; clashing names get suffixes, a null key matches a null key.
+    """Left merge with one key column; clashing names get suffixes.
+
+    ``match_nulls`` lets a null key match a null key, which multiplies the null rows of both sides.
 
     Nothing after the join asks for its distribution, so the adaptive skew join may cut
     a hot key (or a large block of null keys) of the left side into several tasks.
@@ -26,7 +28,8 @@ def merge_left(
     clash = (set(left.columns) & set(right.columns)) - {on}
     left = left.withColumnsRenamed({c: c + suffixes[0] for c in clash})
     right = right.withColumnsRenamed({c: c + suffixes[1] for c in clash} | {on: "_on"})
-    return left.join(right, F.col(on).eqNullSafe(F.col("_on")), "left").drop("_on")
+    same = F.col(on).eqNullSafe(F.col("_on")) if match_nulls else F.col(on) == F.col("_on")
+    return left.join(right, same, "left").drop("_on")
 
 
 def lapse_values(table: DataFrame) -> dict[str, DataFrame]:
@@ -56,18 +59,22 @@ def explore(
 ) -> dict[str, DataFrame]:
     """All tables of the report, by name.
 
-    The merged table and the two lapse tables feed many results; where they are large
-    each is written once to the shared folder.
+    The merged table and the two lapse tables feed many results, so each is written once to the shared
+    folder. A null person matches nobody. The early returns are rows of the lapse table of the type, and
+    their persons' histories are rows of the merged lapse table, so persons are placed twice in all.
     """
-    data = merge_left(visits, persons, keys.person)
-    shared = (lambda df, name: df) if fits_one_task(data) else stage
-    data = shared(data, "merged")
+    data = stage(merge_left(visits, persons, keys.person, match_nulls=False), "merged")
     of_type = F.col(type_col) == whole_type
     columns = [keys.person, keys.day, keys.tie, "donation_ind"]
-    table = shared(L.lapse_table(data.select(*columns), keys), "lapse")
-    typed = shared(L.lapse_table(data.where(of_type).select(*columns), keys), "lapse-of-type")
+    table = stage(L.lapse_table(data, keys), "lapse")
+    typed = stage(L.lapse_table(data.where(of_type).select(*columns), keys), "lapse-of-type")
     years, cycles = lapse_values(table), cycle_values(typed)
-    early = L.early_return_visits(data, of_type, keys)
+    early = typed.where(L.early_return())
+    ids = stage(early.select(keys.person).distinct(), "early-persons")
+    returned = table.join(ids, keys.person, "left_semi")
+    first = L.head_rows(returned.select(keys.person, keys.day, keys.tie), 8, keys)
+    top = returned.join(F.broadcast(first), [keys.person, keys.day, keys.tie], "left_semi")
+    age = X.age_calendar_years(F.col(keys.day), F.col("birth_dt"))
     report = {
         "table_shape": P.table_shape(data),
         "missing_values": P.missing_report(data),
@@ -75,8 +82,10 @@ def explore(
         "distinct_types": P.distinct_values(data, type_col),
         "deferred_head": L.deferred_head(data, 5, keys),
         "lapse_preview": L.lapse_preview(data, 10, keys),
+        "early_returns": early,
+        "early_return_ids": ids,
         "early_return_count": early.agg(F.count(F.lit(1)).alias("n")),
-        "early_return_preview": L.head_rows(L.early_return_histories(data, of_type, keys), 8, keys),
+        "early_return_preview": top.withColumn("age_at_donation", age),
     }
     report |= years | cycles
     report["hist_lapse_years"] = P.histogram(years["lapse_years_all"], "years", YEAR_BINS)

@@ -9,8 +9,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from visitwise.operators.histories import Keys
-from visitwise.operators.sampling import check_fraction, sample_persons
-from visitwise.operators.sizes import fits_one_task
+from visitwise.operators.sampling import check_fraction, chosen, sample_persons
 from visitwise.plans.enrich import enrich
 from visitwise.sources import extracts as E
 from visitwise.sources.schema import Fields, load_fields
@@ -26,20 +25,26 @@ class Outputs:
 
 
 def load_extract(
-    spark: SparkSession, path: str, fields: Fields, person: str, mode: str = "reject", strict_dates: bool = False
+    spark: SparkSession,
+    path: str,
+    fields: Fields,
+    person: str,
+    mode: str = "reject",
+    strict_dates: bool = False,
+    fraction: float = 1.0,
+    seed: int = 0,
 ) -> E.Cleaned:
     """Scan, drop headers, clean; visits of one person and day keep the text order of their lines.
 
-    A large extract is parsed once into a staged table, which rows and rejects are then
-    read from by column. There the row's place joins the line as tie, so the order is
-    total even among copies of one line.
+    The extract is parsed once into a staged table, which rows and rejects are then read from by column.
+    A sample depends on the person only, so the rows of other persons are gone before anything is written;
+    rejects are all kept. The row's place joins the line as tie, so the order is total even among copies of one line.
     """
     lines = E.drop_header(E.read_lines(spark, path), E.header_line(spark, path))
     marked = E.mark(lines, fields, (person,), mode, strict_dates)
-    if fits_one_task(lines):
-        marked = marked.withColumn(TIE, F.col(E.LINE))
-    else:
-        marked = stage(marked, "cleaned", row_id="_row").withColumn(TIE, F.struct(E.LINE, "_row")).drop("_row")
+    if fraction < 1:
+        marked = marked.where(F.col(E.REASON).isNotNull() | chosen(F.col(person), fraction, seed))
+    marked = stage(marked, "cleaned", row_id="_row").withColumn(TIE, F.struct(E.LINE, "_row")).drop("_row")
     return E.parted(marked, fields, keep=(TIE,))
 
 
@@ -68,8 +73,9 @@ def preprocess(
     visit_fields = load_fields(spark, f"{folder}/{visits_schema}")
     person_fields = load_fields(spark, f"{folder}/{persons_schema}")
 
-    visits = load_extract(spark, visits_path, visit_fields, person, mode, strict_dates)
-    persons = load_extract(spark, persons_path, person_fields, person, mode, strict_dates)
+    how = (person, mode, strict_dates, fraction, seed)
+    visits = load_extract(spark, visits_path, visit_fields, *how)
+    persons = load_extract(spark, persons_path, person_fields, *how)
     keys = Keys(person, day, TIE)
 
     rows = sample_persons(visits.rows, fraction, seed, keys, since_year)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,12 +21,17 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def header_line(spark: SparkSession, path: str) -> str | None:
-    """First line of the first file that has one: a one-row read of that file's first split."""
-    for file in sorted(spark.read.text(path).inputFiles()):
-        first = spark.read.text(file).first()
-        if first is not None:
-            return first[LINE]
-    return None
+    """First line of the file with the lowest name that is not empty.
+
+    The files are listed as a table whose contents are not read; only one path and one line
+    reach the driver.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path", "length")
+    lowest = files.where("length > 0").orderBy("path").first()
+    if lowest is None:
+        return None
+    literal = re.sub(r"([{}\[\]*?\\])", r"\\\1", lowest["path"])
+    return spark.read.text(literal).first()[LINE]
 
 
 def drop_header(lines: DataFrame, header: str | None, line: str = LINE) -> DataFrame:

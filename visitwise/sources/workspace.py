@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,22 +15,27 @@ CHECKPOINT_DIR = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Without that setting, the checkpoint folder of the running context; only a
-    one-machine session that has neither gets a folder of its own.
+    Where that is unset, the checkpoint folder of the running context; only a session of one
+    process (``local`` or ``local[...]``) that has neither gets a folder of its own.
     """
     named = spark.conf.get(CHECKPOINT_DIR, None)
     if named:
         return named
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
             raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="visitwise-"))
     return context.getCheckpointDir()
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder, deleted when the session's driver ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    files = spark._jvm.org.apache.hadoop.fs
+    place = files.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
 
 
 def stage(df: DataFrame, name: str = "staged", row_id: str | None = None) -> DataFrame:
