@@ -170,13 +170,14 @@ class Run:
         for number, (_, data) in enumerate(docs):
             raw = np.frombuffer(data, dtype=np.uint8)
             at, first, last, gram = self.anchors.find(raw)
-            chosen = np.isin(gram, grams)
-            at, first, last, gram = at[chosen], first[chosen], last[chosen], gram[chosen]
             columns.append((np.full(len(at), number), at + base, first + base, last + base, gram))
             base += len(raw)
         if not columns:
             return
         owner, at, first, last, gram = (np.concatenate(c) for c in zip(*columns))
+        # One look-up for the whole run: the list of grams is long and each text is short.
+        chosen = np.isin(gram, grams)
+        owner, at, first, last, gram = owner[chosen], at[chosen], first[chosen], last[chosen], gram[chosen]
         raw = np.frombuffer(b"".join(data for _, data in docs), dtype=np.uint8)
         ids = np.array([key for key, _ in docs], dtype=np.int64).reshape(-1, 2)
         starts = np.concatenate([[0], np.cumsum([len(data) for _, data in docs])[:-1]]).astype(np.int64)
