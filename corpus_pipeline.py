@@ -10,7 +10,6 @@ docstrings of the operators say; a null text counts as an empty one throughout.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from visitwise.llm import bpe, mixing, paragraphs, quality, simhash
 from visitwise.llm.common import table
@@ -41,12 +40,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids, and the digest of what the ids decode to: one row per emitted document."""
-    vocabulary = bpe.Vocabulary.load()
-    decoded = bpe.decode(bpe.encode(docs, vocabulary), vocabulary)
-    return decoded.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("data", 256).alias("decoded_sha256")
-    )
+    """doc_id, n_tokens, ids, and digests of the ids and of what they decode to: one row per emitted document."""
+    return bpe.encode(docs, bpe.Vocabulary.load(), returns=bpe.Encoded(ids=True, digests=True))
 
 
 STAGES = [

@@ -49,7 +49,7 @@ LATER = np.uint32(2**32 - 1)
 class Settings:
     dictionary_words: int = 400_000
     fold_bytes: int = 64
-    counted_words: int = 250_000
+    counted_words: int = 100_000
     map_buckets: int = 1 << 15
 
 
@@ -232,10 +232,47 @@ def dictionary(docs: DataFrame, vocabulary: Vocabulary, settings: Settings = Set
     return {w: flat[a:b].tobytes() for w, a, b in zip(words, cuts, cuts[1:])}
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, settings: Settings = Settings()) -> DataFrame:
-    """doc_id, ids: the token numbers of each whole text."""
+@dataclass(frozen=True)
+class Encoded:
+    """What ``encode`` returns beside doc_id: the token numbers, the decoded bytes, or digests of both."""
+
+    ids: bool = True
+    data: bool = False
+    digests: bool = False
+
+    @property
+    def fields(self) -> list[tuple[str, str, pa.DataType]]:
+        found = [("n_tokens", "bigint", pa.int64())]
+        if self.ids:
+            found.append(("ids", "array<int>", pa.list_(pa.int32())))
+        if self.data:
+            found.append(("data", "binary", pa.binary()))
+        if self.digests:
+            found += [("ids_sha256", "string", pa.string()), ("decoded_sha256", "string", pa.string())]
+        return found
+
+    def row(self, ids: np.ndarray, piece) -> tuple:
+        found: list = [len(ids)]
+        data = b"".join(map(piece, ids.tolist())) if self.data or self.digests else b""
+        if self.ids:
+            found.append(ids.astype(np.int32))
+        if self.data:
+            found.append(data)
+        if self.digests:
+            found += [hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(data).hexdigest()]
+        return tuple(found)
+
+
+def encode(
+    docs: DataFrame, vocabulary: Vocabulary, settings: Settings = Settings(), returns: Encoded = Encoded()
+) -> DataFrame:
+    """doc_id, n_tokens and what ``returns`` names for each whole text.
+
+    Decoding joins the pieces of the numbers just found, in the task that found them.
+    """
     spark = docs.sparkSession
     common = spark.sparkContext.broadcast((vocabulary.ranks, vocabulary.pattern, dictionary(docs, vocabulary, settings)))
+    pieces = spark.sparkContext.broadcast(vocabulary.pieces)
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """doc_id, known, rare, at: numbers with placeholders, words still to fold, and which goes where."""
@@ -276,6 +313,8 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, settings: Settings = Setting
             )
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece = pieces.value.__getitem__
+        names, _, kinds = zip(*returns.fields)
         for batch in batches:
             rows = []
             for known, rare, at in zip(*batch.columns[1:]):
@@ -290,22 +329,21 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, settings: Settings = Setting
                     spread = np.repeat(ids, lengths)
                     spread[np.repeat(ids == LATER, lengths)] = extra
                     ids = spread
-                rows.append(ids.astype(np.int32))
-            ends = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
-            flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
-            ids_column = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids_column], ["doc_id", "ids"])
+                rows.append(returns.row(ids, piece))
+            if rows:
+                columns = [pa.array(column, kind) for column, kind in zip(zip(*rows), kinds)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *names])
 
     looked = docs.select("doc_id", "text").mapInArrow(
         look_up, "doc_id bigint, known binary, rare array<string>, at binary"
     )
     folded = F.transform("rare", lambda word: fold(word, vocabulary, settings))
     ready = looked.select("doc_id", "known", folded.alias("rare"), "at")
-    return ready.mapInArrow(fill, "doc_id bigint, ids array<int>")
+    return ready.mapInArrow(fill, "doc_id bigint, " + ", ".join(f"{name} {kind}" for name, kind, _ in returns.fields))
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """doc_id, ids, data: the joined pieces of the token numbers."""
+    """doc_id, ids, data: the joined pieces of a table of token numbers."""
     pieces = encoded.sparkSession.sparkContext.broadcast(vocabulary.pieces)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,27 +357,6 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(join, "doc_id bigint, ids array<int>, data binary")
 
 
-def id_digest(decoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256."""
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = [ids.values.to_numpy(zero_copy_only=False).astype("<u4") for ids in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([len(ids) for ids in lists], pa.int64()),
-                    pa.array([hashlib.sha256(ids.tobytes()).hexdigest() for ids in lists], pa.string()),
-                    batch.column(2),
-                ],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    ready = decoded.select("doc_id", "ids", F.sha2("data", 256).alias("decoded_sha256"))
-    return ready.mapInArrow(digest, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
-
-
 @query("op7_bpe")
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vocabulary = Vocabulary.load()
-    return id_digest(decode(encode(table(spark, sf_dir, "documents"), vocabulary), vocabulary))
+    return encode(table(spark, sf_dir, "documents"), Vocabulary.load(), returns=Encoded(ids=False, digests=True))
