@@ -28,13 +28,15 @@ def rows_of(docs):
     return [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
 
 
-def test_repetition(docs):
-    got = repetition.repetition_rules(docs.withColumn("doc_id", F.monotonically_increasing_id())).collect()
-    texts = {r["doc_id"]: r["text"] for r in docs.withColumn("doc_id", F.monotonically_increasing_id()).collect()}
+def test_repetition(spark, docs):
+    texts = [r["text"] for r in docs.select("text").collect()]
+    numbered = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = repetition.repetition_rules(numbered).collect()
     assert len(got) == len(texts)
     for row in got:
         assert tuple(row)[1:7] == plain.base_counts(texts[row["doc_id"]])
         assert not (row["base_failed"] and row["kept"])
+    assert repetition.repetition_rules(docs).count() == len(texts)
 
 
 def test_rolling_hash_finds_all_repeats():
