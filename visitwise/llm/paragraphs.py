@@ -47,6 +47,8 @@ class Settings:
     seed: int = 3
     memo_words: int = 300_000
     seen_paragraphs: int = 500_000
+    # A filter of 2 ** filter_bits bits (16 MB) is sent to the tasks.
+    filter_bits: int = 27
 
 
 class Shingler:
@@ -95,7 +97,8 @@ class Shingler:
         every = np.concatenate(sets)
         lows = np.empty((len(sets), len(self.factors)), dtype=np.uint64)
         for k, (factor, shift) in enumerate(zip(self.factors, self.shifts)):
-            lows[:, k] = np.minimum.reduceat(mix(every * factor + shift), starts)
+            # The hashes are mixed already, so an odd multiple and a shift give another order of them.
+            lows[:, k] = np.minimum.reduceat(every * factor + shift, starts)
         bands = lows.reshape(len(sets), self.settings.bands, self.settings.rows)
         key = mix(np.arange(self.settings.bands, dtype=np.uint64))[None, :] * np.ones((len(sets), 1), np.uint64)
         for j in range(self.settings.rows):
@@ -177,26 +180,49 @@ def buckets(keys: DataFrame) -> DataFrame:
     return shared.join(chosen.select("_key", "n"), F.col("key") == F.col("_key")).select("key", "h", "n")
 
 
+def bit_filter(wanted: DataFrame, column: str, bits: int) -> np.ndarray:
+    """A bit for each value's low ``bits`` bits. Its size is fixed: 2 ** bits / 8 bytes, whatever it is made from."""
+    slot = F.col(column).bitwiseAND(F.lit((1 << bits) - 1)) + 1
+    marks = wanted.select(F.bitmap_bucket_number(slot).alias("bucket"), F.bitmap_bit_position(slot).alias("bit"))
+    out = np.zeros((1 << bits) // 8, dtype=np.uint8)
+    for row in marks.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("map")).collect():
+        part = np.frombuffer(row["map"], dtype=np.uint8)
+        begin = (row["bucket"] - 1) * len(part)
+        out[begin : begin + len(part)] = part[: len(out) - begin]
+    return out
+
+
 def shingle_sets(docs: DataFrame, wanted: DataFrame, settings: Settings) -> DataFrame:
-    """h, pid, shingles for the paragraphs in ``wanted`` (doc_id, th, line)."""
-    lines = wanted.groupBy("doc_id", "th").agg(F.collect_list("line").alias("lines"))
-    asked = _keyed(docs).join(lines, ["doc_id", "th"]).select("text", "lines")
+    """h, pid, shingles of the paragraphs whose h is in ``wanted``.
+
+    The texts are read again where they lie: a bit filter of fixed size leaves out nearly all other
+    paragraphs, and the join takes out those that share a bit by chance.
+    """
+    known = docs.sparkSession.sparkContext.broadcast(bit_filter(wanted, "h", settings.filter_bits))
+    low = (1 << settings.filter_bits) - 1
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(settings)
+        bits = known.value
+        seen: set[bytes] = set()
         for batch in batches:
             rows = []
-            for text, chosen in zip(*batch.columns):
-                chosen = set(chosen.as_py())
-                for line, words in shingler.paragraphs(text.as_py()):
-                    if line in chosen:
-                        pid = digest(words)
-                        rows.append((short(pid), pid, shingler.shingles(words).tobytes()))
+            for text in batch.column(0):
+                for _, words in shingler.paragraphs(text.as_py()):
+                    pid = digest(words)
+                    h = short(pid)
+                    slot = h & low
+                    if bits[slot >> 3] >> (slot & 7) & 1 and pid not in seen:
+                        seen.add(pid)
+                        rows.append((h, pid, shingler.shingles(words).tobytes()))
+            if len(seen) > settings.seen_paragraphs:
+                seen.clear()
             if rows:
                 columns = [pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))]
                 yield pa.RecordBatch.from_arrays(columns, ["h", "pid", "shingles"])
 
-    return asked.mapInArrow(apply, "h bigint, pid binary, shingles binary")
+    found = _keyed(docs).select("text").mapInArrow(apply, "h bigint, pid binary, shingles binary")
+    return found.join(wanted, "h", "left_semi").dropDuplicates(["pid"])
 
 
 def similar(sets: list[np.ndarray], least: float) -> list[tuple[int, int, float]]:
@@ -221,18 +247,11 @@ def similar(sets: list[np.ndarray], least: float) -> list[tuple[int, int, float]
     return links
 
 
-def links(docs: DataFrame, table_: DataFrame, settings: Settings) -> DataFrame:
+def links(docs: DataFrame, settings: Settings) -> DataFrame:
     """a, b (digests), similarity: links enough to connect every class of near-equal paragraphs."""
     members = stage(buckets(band_keys(docs, settings)), "buckets")
-    needed = members.select("h").distinct()
-    hashed = table_.withColumn("h", F.conv(F.hex(F.substring("pid", 1, 8)), 16, -10).cast("long"))
-    first = (
-        hashed.join(needed, "h", "left_semi")
-        .groupBy("pid")
-        .agg(F.min(F.struct("doc_id", "th", "line")).alias("p"))
-        .select("p.doc_id", "p.th", "p.line")
-    )
-    sets = shingle_sets(docs, first, settings).dropDuplicates(["pid"])
+    needed = stage(members.select("h").distinct(), "bucket-members")
+    sets = shingle_sets(docs, needed, settings)
     parts = F.ceil(F.col("n") / settings.block).cast("int")
     own = F.pmod(F.xxhash64("h"), parts).cast("int")
     dealt = members.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), parts - 1)))
@@ -261,7 +280,7 @@ def links(docs: DataFrame, table_: DataFrame, settings: Settings) -> DataFrame:
 def repeated_paragraphs(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, th, removed (line, first_doc): the lines to take out of each document that has any."""
     rows = stage(paragraph_table(docs, settings), "paragraphs")
-    near = stage(links(docs, rows, settings), "paragraph-links")
+    near = stage(links(docs, settings), "paragraph-links")
     roots = components(near, "a", "b")
     placed = rows.join(roots, F.col("pid") == F.col("node"), "left").select(
         "doc_id", "th", "line", F.coalesce("root", "pid").alias("class")
