@@ -243,6 +243,43 @@ def test_neighbours_awkward(spark):
     assert neighbours.nearest(frame.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def unit_vectors(rng, count):
+    x = rng.normal(size=(count, 64))
+    return (x / np.sqrt((x * x).sum(axis=1))[:, None]).tolist()
+
+
+@pytest.mark.parametrize("count", [15, 400])
+def test_neighbours_are_completed(spark, count):
+    """Every query gets all of its k rows, with few vectors and beside one that is far longer than the others."""
+    rng = np.random.default_rng(count)
+    x = unit_vectors(rng, count)
+    x[7] = (100 * np.array(x[7])).tolist()
+    rows = list(enumerate(x))
+    want = brute_neighbours(rows)
+    got = {}
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    # Few probes leave nearly every query short; the scan that completes them is exact.
+    settings = neighbours.Settings(tables=1, probes=1)
+    for r in neighbours.nearest(frame, F.col("vec_id") % 20 == 0, 20, settings).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert {q: len(found) for q, found in got.items()} == {q: min(20, count - 1) for q in want}
+    if count == 15:
+        assert got == {q: [v for v, _ in found] for q, found in want.items()}
+
+
+def test_norm_bands_keep_recall(spark):
+    rng = np.random.default_rng(8)
+    x = unit_vectors(rng, 1000)
+    rows = list(enumerate(x)) + [(1001, (100 * np.array(x[0])).tolist())]
+    want = brute_neighbours(rows)
+    got = {}
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for r in neighbours.nearest(frame, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert all(len(got.get(q, ())) == 20 for q in want)
+    assert np.mean([len(got[q] & {v for v, _ in want[q]}) / 20 for q in want]) >= 0.9
+
+
 def held(doc):
     return zlib.crc32(str(doc).encode()) % 4 == 2
 

@@ -2,7 +2,9 @@
 
 Inner products become distances by one more component: with M the largest norm, a vector x is
 hashed as (x, sqrt(M^2 - |x|^2)) and a query q as (q * M / |q|, 0); the nearest of these are
-the largest inner products. Every table cuts ``projections`` random directions into slots of
+the largest inner products. Vectors are hashed in bands of norms within a factor of two, each
+with its own M, so a long vector does not set the slots of the others; a query's slots are the
+same in every band, and it probes each band of its length. Every table cuts ``projections`` random directions into slots of
 ``width`` times M. A query visits, besides its own bucket, buckets with some slots moved by
 one, in the order of the summed squared distances to the slot borders, least first.
 
@@ -11,10 +13,12 @@ taken in double precision; the tables' best are merged and ranked again. Equal v
 index row, of which only the smallest k + 1 ids can ever be returned. A bucket with more than
 ``bucket_rows`` vectors is split by a hash of the vector's id and its probes visit every part,
 so no bucket is capped. Recall depends on the parameters and is measured in the tests.
+Queries that meet too few vectors for k rows are answered by a scan of all vectors of their
+length, in the same blocks, so every query gets k rows wherever there are as many candidates.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take
 no part, nor do rows without an id; of rows that share an id the least vector counts; vectors
-of different lengths are never compared; with fewer candidates than k all that meet are given.
+of different lengths are never compared; with fewer candidates than k all of them are given.
 """
 
 from __future__ import annotations
@@ -67,15 +71,14 @@ def moves(projections: int, probes: int) -> list[tuple[int, ...]]:
 
 
 class Hasher:
-    """Slot numbers of vectors and probe sequences of queries, for one vector length."""
+    """Slot numbers of vectors and probe sequences of queries, for one vector length, in units of the band's M."""
 
-    def __init__(self, dim: int, top: float, settings: Settings):
+    def __init__(self, dim: int, settings: Settings):
         rng = np.random.default_rng([settings.seed, dim])
         shape = (settings.tables, settings.projections, dim + 1)
         self.settings = settings
         self.dim = dim
-        self.top = top
-        self.width = settings.width * top
+        self.width = settings.width
         self.directions = rng.normal(size=shape).reshape(-1, dim + 1)
         self.offsets = rng.uniform(0, self.width, settings.tables * settings.projections)
         self.moves = moves(settings.projections, settings.probes)
@@ -84,21 +87,24 @@ class Hasher:
         flat = (np.hstack([x, extra[:, None]]) @ self.directions.T + self.offsets) / self.width
         return flat.reshape(len(x), self.settings.tables, self.settings.projections)
 
-    def _codes(self, slots: np.ndarray) -> np.ndarray:
-        """One number for (length, table, slots); slots: ... x tables x projections."""
+    def _codes(self, slots: np.ndarray, band: int) -> np.ndarray:
+        """One number for (length, band, table, slots); slots: ... x tables x projections."""
         tables = np.arange(self.settings.tables, dtype=np.uint64)
-        code = mix(np.uint64(self.dim) * np.uint64(1_000_003) + tables) * np.ones(slots.shape[:-1], dtype=np.uint64)
+        start = mix(mix(np.uint64(self.dim) * np.uint64(1_000_003) + tables) ^ np.array(band, np.int64).view(np.uint64))
+        code = start * np.ones(slots.shape[:-1], dtype=np.uint64)
         for j in range(slots.shape[-1]):
             code = mix(code ^ slots[..., j].astype(np.int64).view(np.uint64))
         return code.view(np.int64)
 
-    def index(self, x: np.ndarray) -> np.ndarray:
-        extra = np.sqrt(np.maximum(self.top**2 - (x * x).sum(axis=1), 0))
-        return self._codes(np.floor(self._slots(x, extra)))
+    def index(self, x: np.ndarray, top: float, band: int) -> np.ndarray:
+        x = x / top
+        extra = np.sqrt(np.maximum(1 - (x * x).sum(axis=1), 0))
+        return self._codes(np.floor(self._slots(x, extra)), band)
 
-    def probe(self, q: np.ndarray) -> np.ndarray:
-        """queries x (tables * probes) bucket codes."""
-        q = q * (self.top / np.sqrt((q * q).sum(axis=1)))[:, None]
+    def probe(self, q: np.ndarray, bands: list[int]) -> np.ndarray:
+        """queries x (bands * tables * probes) bucket codes."""
+        q = q / np.abs(q).max(axis=1)[:, None]
+        q = q / np.sqrt((q * q).sum(axis=1))[:, None]
         place = self._slots(q, np.zeros(len(q)))
         home = np.floor(place)
         inside = place - home
@@ -113,7 +119,7 @@ class Hasher:
                 step = np.where(border < m, -1.0, 1.0)
                 at = (border % m)[..., None]
                 np.put_along_axis(slots, at, np.take_along_axis(slots, at, -1) + step[..., None], -1)
-            out.append(self._codes(slots))
+            out += [self._codes(slots, band) for band in bands]
         return np.concatenate(out, axis=1)
 
 
@@ -129,24 +135,27 @@ def by_length(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
         yield int(dim), np.flatnonzero(sizes == dim)
 
 
-def coded(vectors: DataFrame, top: float, settings: Settings, probing: bool) -> DataFrame:
-    """class_id, codes: the bucket of each table, or all buckets a query visits."""
+def coded(vectors: DataFrame, tops: dict[int, dict[int, float]], settings: Settings, probing: bool) -> DataFrame:
+    """class_id, codes: the bucket of each table, or all buckets a query visits. ``tops``: M by length and band."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashers: dict[int, Hasher] = {}
         for batch in batches:
             for dim, rows in by_length(batch.column(1)):
-                part = batch.take(pa.array(rows))
-                hasher = hashers.setdefault(dim, Hasher(dim, top, settings))
-                x = matrix(part.column(1), dim)
-                codes = hasher.probe(x) if probing else hasher.index(x)
-                flat = pa.array(codes.ravel())
-                ends = pa.array(np.arange(len(x) + 1, dtype=np.int32) * codes.shape[1])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.ListArray.from_arrays(ends, flat)], ["class_id", "codes"]
-                )
-
-    return vectors.select("class_id", "embedding").mapInArrow(apply, "class_id bigint, codes array<bigint>")
+                hasher = hashers.setdefault(dim, Hasher(dim, settings))
+                bands = batch.column(2).to_numpy()[rows]
+                groups = [(None, rows)] if probing else [(int(b), rows[bands == b]) for b in np.unique(bands)]
+                for band, members in groups:
+                    part = batch.take(pa.array(members))
+                    x = matrix(part.column(1), dim)
+                    codes = hasher.probe(x, list(tops[dim])) if probing else hasher.index(x, tops[dim][band], band)
+                    flat = pa.array(codes.ravel())
+                    ends = pa.array(np.arange(len(x) + 1, dtype=np.int32) * codes.shape[1])
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0), pa.ListArray.from_arrays(ends, flat)], ["class_id", "codes"]
+                    )
+
+    return vectors.select("class_id", "embedding", "band").mapInArrow(apply, "class_id bigint, codes array<bigint>")
 
 
 def best(scores: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
@@ -191,36 +200,55 @@ def nearest(
         .where(F.col("_r") <= keep)
     )
     classes = few.groupBy("embedding").agg(F.slice(F.sort_array(F.collect_list("vec_id")), 1, keep).alias("members"))
-    classes = stage(classes.withColumn("class_id", F.get("members", F.lit(0))), "ann-classes")
-    norm = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    size = classes.agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.max(norm)).alias("top")).first()
-    if not size["n"]:
+    # Scaled by the largest component, so that no square overflows or vanishes.
+    largest = F.array_max(F.transform("embedding", lambda x: F.abs(x.cast("double"))))
+    norm = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + (x.cast("double") / F.col("_largest")) ** 2)
+    classes = classes.withColumn("class_id", F.get("members", F.lit(0))).withColumn("_largest", largest)
+    classes = classes.withColumn("norm", F.col("_largest") * F.sqrt(norm)).drop("_largest")
+    # Borders lie at odd powers of the square root of two, away from the norm 1 of unit vectors.
+    classes = stage(classes.withColumn("band", F.floor(F.log2("norm") + 0.5).cast("long")), "ann-classes")
+    length = F.size("embedding").alias("length")
+    sizes = classes.groupBy(length, "band").agg(
+        F.count(F.lit(1)).alias("n"), F.max("norm").alias("top"), F.sum(F.size("members")).alias("rows")
+    )
+    n, tops, wanted = 0, {}, {}
+    for r in sizes.orderBy("length", "band").collect():
+        n += r["n"]
+        tops.setdefault(r["length"], {})[r["band"]] = r["top"]
+        wanted[r["length"]] = min(keep, wanted.get(r["length"], 0) + r["rows"])
+    if not n:
         return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     asked = one.where(is_query).withColumnRenamed("vec_id", "query_id")
     asked = stage(asked.join(classes.select("embedding", "class_id"), "embedding").select("query_id", "class_id"), "ann-asked")
     query_classes = classes.join(asked.select("class_id").distinct(), "class_id", "left_semi")
 
-    index = coded(classes, size["top"], settings, probing=False)
-    index = index.select("class_id", F.explode("codes").alias("code"))
-    probes = coded(query_classes, size["top"], settings, probing=True)
-    probes = probes.select("class_id", F.explode(F.array_distinct("codes")).alias("code"))
-    crowded = index.groupBy("code").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > settings.bucket_rows)
-    parts = F.ceil(F.col("n") / settings.bucket_rows).cast("int")
-    crowded = stage(crowded.select(F.col("code").alias("_code"), parts.alias("_parts")), "ann-crowded")
-    regions = max(1, math.ceil(size["n"] * settings.tables / settings.region_rows))
-    region = F.pmod(F.xxhash64("bucket"), F.lit(regions)).cast("int").alias("region")
-
-    def placed(rows: DataFrame, part: Column) -> DataFrame:
-        joined = rows.join(crowded, F.col("code") == F.col("_code"), "left")
-        salted_ = joined.withColumn("_part", part)
-        return salted_.select("class_id", F.xxhash64("code", "_part").alias("bucket")).select("class_id", "bucket", region)
-
-    last = F.coalesce("_parts", F.lit(1))
-    index = placed(index, F.pmod(F.xxhash64("class_id"), last).cast("int"))
-    probes = placed(probes, F.explode(F.sequence(F.lit(0), last - 1)))
-    index = index.join(classes.select("class_id", "embedding"), "class_id")
-    visits = probes.groupBy("class_id", "region").agg(F.collect_list("bucket").alias("buckets"))
-    visits = visits.join(classes.select("class_id", "embedding"), "class_id")
+    def search(index: DataFrame, probes: DataFrame, copies: int, name: str) -> DataFrame:
+        """qid, vec_id, score: the best ``keep`` where (class_id, code) of index and probes meet."""
+        crowded = index.groupBy("code").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > settings.bucket_rows)
+        parts = F.ceil(F.col("n") / settings.bucket_rows).cast("int")
+        crowded = stage(crowded.select(F.col("code").alias("_code"), parts.alias("_parts")), f"{name}-crowded")
+        regions = max(1, math.ceil(n * copies / settings.region_rows))
+        region = F.pmod(F.xxhash64("bucket"), F.lit(regions)).cast("int").alias("region")
+
+        def placed(rows: DataFrame, part: Column) -> DataFrame:
+            joined = rows.join(crowded, F.col("code") == F.col("_code"), "left")
+            salted_ = joined.withColumn("_part", part)
+            return salted_.select("class_id", F.xxhash64("code", "_part").alias("bucket")).select("class_id", "bucket", region)
+
+        last = F.coalesce("_parts", F.lit(1))
+        index = placed(index, F.pmod(F.xxhash64("class_id"), last).cast("int"))
+        probes = placed(probes, F.explode(F.sequence(F.lit(0), last - 1)))
+        index = index.join(classes.select("class_id", "embedding"), "class_id")
+        visits = probes.groupBy("class_id", "region").agg(F.collect_list("bucket").alias("buckets"))
+        visits = visits.join(classes.select("class_id", "embedding"), "class_id")
+        met = index.groupBy("region").cogroup(visits.groupBy("region"))
+        met = met.applyInArrow(meet, "qid bigint, class_id bigint, score double")
+        by_class = Window.partitionBy("qid").orderBy(F.col("score").desc(), "class_id")
+        top = met.distinct().withColumn("_r", F.row_number().over(by_class)).where(F.col("_r") <= keep)
+        members = classes.select("class_id", F.explode("members").alias("vec_id"))
+        by_id = Window.partitionBy("qid").orderBy(F.col("score").desc(), "vec_id")
+        ranked = top.join(members, "class_id").withColumn("_r", F.row_number().over(by_id)).where(F.col("_r") <= keep)
+        return stage(ranked.select("qid", "vec_id", "score"), name)
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["qid", "class_id", "score"]
@@ -264,14 +292,20 @@ def nearest(
             return kinds.empty_table()
         return pa.table(dict(zip(names, reduce_best(*map(np.concatenate, zip(*found)), keep))))
 
-    met = index.groupBy("region").cogroup(visits.groupBy("region"))
-    met = met.applyInArrow(meet, "qid bigint, class_id bigint, score double")
-    by_class = Window.partitionBy("qid").orderBy(F.col("score").desc(), "class_id")
-    top = met.distinct().withColumn("_r", F.row_number().over(by_class)).where(F.col("_r") <= keep)
-    members = classes.select("class_id", F.explode("members").alias("vec_id"))
-    by_id = Window.partitionBy("qid").orderBy(F.col("score").desc(), "vec_id")
-    ranked = top.join(members, "class_id").withColumn("_r", F.row_number().over(by_id)).where(F.col("_r") <= keep)
-    ranked = stage(ranked.select("qid", "vec_id", "score"), "ann-ranked")
+    index = coded(classes, tops, settings, probing=False).select("class_id", F.explode("codes").alias("code"))
+    probes = coded(query_classes, tops, settings, probing=True)
+    probes = probes.select("class_id", F.explode(F.array_distinct("codes")).alias("code"))
+    ranked = search(index, probes, settings.tables, "ann-ranked")
+    found = ranked.groupBy("qid").agg(F.count(F.lit(1)).alias("_n"))
+    need = F.element_at(F.create_map(*[F.lit(x) for pair in wanted.items() for x in pair]), F.size("embedding"))
+    short = query_classes.join(found, F.col("class_id") == F.col("qid"), "left")
+    short = stage(short.where(F.coalesce("_n", F.lit(0)) < need).select("class_id", "embedding"), "ann-short")
+    if short.count():
+        # One bucket for each length; it is cut into parts like any crowded one.
+        code = F.xxhash64(F.size("embedding")).alias("code")
+        scanned = search(classes.select("class_id", code), short.select("class_id", code), 1, "ann-scanned")
+        whole = ranked.join(short.select("class_id"), F.col("qid") == F.col("class_id"), "left_anti")
+        ranked = whole.union(scanned)
     answers = asked.join(ranked, F.col("class_id") == F.col("qid")).where(F.col("vec_id") != F.col("query_id"))
     by_query = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return (
