@@ -30,8 +30,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def remove_paragraphs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Paragraphs that an earlier document or line has, or nearly has, leave the texts."""
-    return paragraphs.remove_repeated_paragraphs(docs)
+    """Paragraphs that an earlier document or line has, or nearly has, and repeated passages leave the texts."""
+    return paragraphs.remove_repeated_passages(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators against plain versions: the test tables, and documents with every awkward case."""
 
 import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -112,6 +113,59 @@ def test_paragraph_blocks(spark, sf_dir):
     check_paragraphs(table(spark, sf_dir, "documents"), paragraphs.Settings(block=2, seen_paragraphs=5))
 
 
+def repeated_words(rows, length=50):
+    """Words inside windows of ``length`` words that stand earlier, in order of the documents."""
+    seen, n = set(), 0
+    for _, text in sorted({r for r in rows if r[0] is not None and r[1] is not None}):
+        w, inside = plain.words(plain.lower(text)), set()
+        for i in range(len(w) - length + 1):
+            window = tuple(w[i : i + length])
+            if window in seen:
+                inside.update(range(i, i + length))
+            seen.add(window)
+        n += len(inside)
+    return n
+
+
+def test_passages_in_short_and_long_lines(spark):
+    rng = random.Random(5)
+    passage = data.prose(rng, 80).split()
+    wrapped = "\n".join(" ".join(passage[i : i + 11]) for i in range(0, 80, 11))
+    listed = "\n\n".join(" ".join(passage[i : i + 4]) for i in range(0, 80, 4))
+    long = [data.prose(rng, 200) for _ in range(4)]
+    lone = data.prose(rng, 9)
+    texts = [
+        long[0] + " " + " ".join(passage) + " " + long[1],
+        wrapped,
+        wrapped.replace(passage[40], "other", 1),
+        listed,
+        long[2] + " " + " ".join(passage) + " " + long[3],
+        lone + "\n\n" + data.prose(rng, 30),
+        lone + "\n\n" + data.prose(rng, 30),
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    left = dict(rows_of(paragraphs.remove_repeated_passages(docs)))
+    assert left[0] == texts[0]
+    # A passage loses all but its ends, where its first and last pieces differ; short lines that recur alone stay.
+    assert [len(left[i].split()) <= 40 for i in (1, 2, 3)] == [True] * 3
+    assert 400 <= len(left[4].split()) <= 440 and left[4].startswith(long[2][:200]) and left[4].endswith(long[3][-200:])
+    assert (left[5], left[6]) == (texts[5], texts[6])
+    # What is cut stands elsewhere: no piece is lost with its last copy.
+    lines = dict(rows_of(paragraphs.remove_repeated_paragraphs(docs, paragraphs.WHOLE)))
+    kept = " | ".join(" ".join(t.lower().split()) for t in left.values())
+    for before in lines.values():
+        words = before.lower().split()
+        assert all(" ".join(words[a : a + n]) in kept for a, n, _ in paragraphs.Shingler(paragraphs.WHOLE).pieces(before))
+
+
+def test_no_passage_stays(spark, docs):
+    rows = rows_of(docs)
+    left = paragraphs.remove_repeated_passages(docs)
+    assert left.columns == docs.columns and left.count() == len(rows)
+    kept = rows_of(left)
+    assert repeated_words(kept) <= 0.1 * repeated_words(rows)
+
+
 def test_similar_connects_all_pairs():
     rng = np.random.default_rng(4)
     base = rng.integers(0, 1000, 60)

@@ -1,7 +1,8 @@
 """Substring dedup by paragraphs: MinHash banding, exact Jaccard, removal by components.
 
-Paragraphs are the lines of a text with at least ``min_words`` words; shorter ones recur by
-chance and are left alone. Words are compared with A-Z lower-cased.
+Paragraphs are the lines of a text with at least ``min_words`` words and, where ``blocks`` is set,
+the runs of shorter lines between those and blank lines, if a run has as many words. Words are
+compared with A-Z lower-cased.
 
 1. Every paragraph has a 128-bit digest of its words, so equal paragraphs are one node.
 2. ``bands`` band keys of ``rows`` MinHash values each are shuffled; keys that hold two or
@@ -14,12 +15,20 @@ chance and are left alone. Words are compared with A-Z lower-cased.
 4. Components of the links are the classes; the first paragraph by (doc_id, line) stays and
    the others are removed from their texts.
 
+``cut_repeated_passages`` then finds what paragraphs cannot: passages inside longer lines, and
+passages over lines that are broken elsewhere. All words of a text, whatever its line breaks, lie
+in pieces of some ten words that end where a hash of the last two words says so, so a repeated
+passage has the same pieces wherever it stands, but for its two ends. Equal pieces are found by
+their digests, and runs of at least ``min_words`` repeated words are cut. Of equal pieces the first
+by (doc_id, place) always stays. ``remove_repeated_passages`` is both steps.
+
 Defined results: null and empty texts, and rows without an id, stay as they are; repeated rows
 (equal id and text) are one document and get equal results; extra columns are kept as they are.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,10 +44,17 @@ from visitwise.llm.registry import query
 from visitwise.llm.repetition import mix
 from visitwise.sources.workspace import stage
 
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
 
 @dataclass(frozen=True)
 class Settings:
     min_words: int = 15
+    # Shorter lines are joined to paragraphs; without it only lines of min_words are compared.
+    blocks: bool = False
+    piece_least: int = 6
+    piece_cut: int = 6
+    piece_most: int = 40
     shingle: int = 5
     similarity: float = 0.8
     bands: int = 10
@@ -51,6 +67,10 @@ class Settings:
     filter_bits: int = 27
 
 
+#: What the query and the pipeline use.
+WHOLE = Settings(blocks=True)
+
+
 class Shingler:
     """Digests, shingle hashes and band keys of paragraphs."""
 
@@ -62,18 +82,26 @@ class Shingler:
         self.factors = rng.integers(0, 1 << 63, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.shifts = rng.integers(0, 1 << 63, count, dtype=np.uint64)
 
-    def paragraphs(self, text: str | None) -> list[tuple[int, list[bytes]]]:
-        """(line number, words) of the lines that are long enough."""
+    def paragraphs(self, text: str | None) -> list[tuple[int, int, list[bytes]]]:
+        """(first line, number of lines, words) of the paragraphs that are long enough."""
         found = []
         raw = (text or "").encode("utf-8", "surrogatepass").lower()
-        for line, content in enumerate(raw.split(b"\n")):
+        least, begin, block = self.settings.min_words, 0, []
+        for line, content in enumerate([*raw.split(b"\n"), b""]):
             words = content.split()
-            if len(words) >= self.settings.min_words:
-                found.append((line, words))
+            if words and len(words) < least and self.settings.blocks:
+                begin = begin if block else line
+                block += words
+                continue
+            if len(block) >= least:
+                found.append((begin, line - begin, block))
+            block = []
+            if len(words) >= least:
+                found.append((line, 1, words))
         return found
 
-    def shingles(self, words: list[bytes]) -> np.ndarray:
-        """Distinct 64-bit hashes of the word shingles, sorted."""
+    def codes(self, words: list[bytes]) -> np.ndarray:
+        """64-bit hashes of words."""
         memo = self.memo
         if len(memo) > self.settings.memo_words:
             memo.clear()
@@ -83,7 +111,28 @@ class Shingler:
             if value is None:
                 value = memo[word] = xxhash.xxh64_intdigest(word)
             values.append(value)
-        values = np.array(values, dtype=np.uint64)
+        return np.array(values, dtype=np.uint64)
+
+    def pieces(self, text: str | None) -> Iterator[tuple[int, int, bytes]]:
+        """(first word, number of words, digest) of the pieces of a text; every word is in one."""
+        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+        if not words:
+            return
+        values = self.codes(words)
+        pairs = mix(values[1:] ^ mix(values[:-1]))
+        ends = np.flatnonzero(pairs % np.uint64(self.settings.piece_cut) == 0) + 2
+        begin = 0
+        for end in [*ends.tolist(), len(words)]:
+            while end - begin > self.settings.piece_most:
+                yield begin, self.settings.piece_most, digest(words[begin : begin + self.settings.piece_most])
+                begin += self.settings.piece_most
+            if end - begin >= self.settings.piece_least or end == len(words) > begin:
+                yield begin, end - begin, digest(words[begin:end])
+                begin = end
+
+    def shingles(self, words: list[bytes]) -> np.ndarray:
+        """Distinct 64-bit hashes of the word shingles, sorted."""
+        values = self.codes(words)
         n = min(self.settings.shingle, len(words))
         code = np.zeros(len(words) - n + 1, dtype=np.uint64)
         for j in range(n):
@@ -121,22 +170,22 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def paragraph_table(docs: DataFrame, settings: Settings) -> DataFrame:
-    """doc_id, th (hash of the text), line, pid (digest): one row per paragraph."""
+    """doc_id, th (hash of the text), line, lines, pid (digest): one row per paragraph."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(settings)
         for batch in batches:
             rows = [
-                (doc_id.as_py(), th.as_py(), line, digest(words))
+                (doc_id.as_py(), th.as_py(), line, lines, digest(words))
                 for doc_id, th, text in zip(*batch.columns)
-                for line, words in shingler.paragraphs(text.as_py())
+                for line, lines, words in shingler.paragraphs(text.as_py())
             ]
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
             if rows:
                 columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "th", "line", "pid"])
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "th", "line", "lines", "pid"])
 
-    return _keyed(docs).mapInArrow(apply, "doc_id bigint, th bigint, line int, pid binary")
+    return _keyed(docs).mapInArrow(apply, "doc_id bigint, th bigint, line int, lines int, pid binary")
 
 
 def band_keys(docs: DataFrame, settings: Settings) -> DataFrame:
@@ -148,7 +197,7 @@ def band_keys(docs: DataFrame, settings: Settings) -> DataFrame:
         for batch in batches:
             ids, sets = [], []
             for text in batch.column(0):
-                for _, words in shingler.paragraphs(text.as_py()):
+                for _, _, words in shingler.paragraphs(text.as_py()):
                     h = short(digest(words))
                     if h not in seen:
                         seen.add(h)
@@ -208,7 +257,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, settings: Settings) -> Data
         for batch in batches:
             rows = []
             for text in batch.column(0):
-                for _, words in shingler.paragraphs(text.as_py()):
+                for _, _, words in shingler.paragraphs(text.as_py()):
                     pid = digest(words)
                     h = short(pid)
                     slot = h & low
@@ -283,13 +332,14 @@ def repeated_paragraphs(docs: DataFrame, settings: Settings = Settings()) -> Dat
     near = stage(links(docs, settings), "paragraph-links")
     roots = components(near, "a", "b")
     placed = rows.join(roots, F.col("pid") == F.col("node"), "left").select(
-        "doc_id", "th", "line", F.coalesce("root", "pid").alias("class")
+        "doc_id", "th", "line", "lines", F.coalesce("root", "pid").alias("class")
     )
     placed = stage(placed, "paragraph-classes")
     at = F.struct("doc_id", "th", "line")
     firsts = placed.groupBy(F.col("class").alias("_class")).agg(F.min(at).alias("_first"), F.max(at).alias("_last"))
     firsts = firsts.where("_first <> _last").select("_class", "_first")
     later = placed.join(firsts, F.col("class") == F.col("_class")).where(at != F.col("_first")).distinct()
+    later = later.withColumn("line", F.explode(F.sequence("line", F.col("line") + F.col("lines") - 1)))
     return later.groupBy("doc_id", "th").agg(
         F.sort_array(F.collect_list(F.struct("line", F.col("_first.doc_id").alias("first_doc")))).alias("removed")
     )
@@ -316,14 +366,122 @@ def remove_repeated_paragraphs(docs: DataFrame, settings: Settings = Settings())
     return _joined(docs, settings).withColumns(changed).select(*docs.columns)
 
 
+def piece_rows(docs: DataFrame, settings: Settings, known: np.ndarray | None = None) -> DataFrame:
+    """doc_id, th, word, words, pid: one row per piece; with ``known`` only those whose digest meets that bit filter."""
+    bits = None if known is None else docs.sparkSession.sparkContext.broadcast(known)
+    low = (1 << settings.filter_bits) - 1
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(settings)
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        for batch in batches:
+            rows = []
+            for doc_id, th, text in zip(*batch.columns):
+                doc_id, th = doc_id.as_py(), th.as_py()
+                for word, words, pid in shingler.pieces(text.as_py()):
+                    slot = short(pid) & low
+                    if bits is None or bits.value[slot >> 3] >> (slot & 7) & 1:
+                        rows.append((doc_id, th, word, words, pid))
+            if rows:
+                columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "th", "word", "words", "pid"])
+
+    return _keyed(docs).mapInArrow(apply, "doc_id bigint, th bigint, word int, words int, pid binary")
+
+
+def repeated_pieces(docs: DataFrame, settings: Settings = WHOLE) -> DataFrame:
+    """doc_id, th, pieces (word, words, first_doc): the pieces of each document that stand earlier too.
+
+    The texts are read again for the places of the repeated ones, so all pieces are shuffled once only.
+    """
+    at = F.struct("doc_id", "th", "word")
+    firsts = piece_rows(docs, settings).groupBy(F.col("pid").alias("_pid")).agg(F.min(at).alias("_first"), F.max(at).alias("_last"))
+    firsts = stage(firsts.where("_first <> _last").select("_pid", "_first"), "piece-firsts")
+    heads = firsts.select(F.conv(F.hex(F.substring("_pid", 1, 8)), 16, -10).cast("long").alias("h"))
+    again = piece_rows(docs, settings, bit_filter(heads, "h", settings.filter_bits))
+    later = again.join(firsts, F.col("pid") == F.col("_pid")).where(at != F.col("_first"))
+    piece = F.struct("word", "words", F.col("_first.doc_id").alias("first_doc"))
+    return later.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(piece)).alias("pieces"))
+
+
+def cut_words(text: str, spans: list[tuple[int, int]], least: int) -> tuple[str, int]:
+    """The text without the words in ``spans`` (first word, words; in order), and their number.
+
+    Adjoining spans count as one; those of less than ``least`` words stay. Lines that lose all their words go.
+    """
+    runs: list[list[int]] = []
+    for word, words in spans:
+        if runs and runs[-1][1] == word:
+            runs[-1][1] += words
+        else:
+            runs.append([word, word + words])
+    gone = {w for a, b in runs if b - a >= least for w in range(a, b)}
+    if not gone:
+        return text, 0
+    lines, at = [], 0
+    for line in text.encode("utf-8", "surrogatepass").split(b"\n"):
+        places = [m.span() for m in WORD.finditer(line)]
+        dead = [at + i in gone for i in range(len(places))]
+        at += len(places)
+        if not any(dead):
+            lines.append(line)
+        elif not all(dead):
+            kept, begin = b"", 0
+            for i, (_, end) in enumerate(places):
+                if not dead[i]:
+                    kept += line[begin:end]
+                # A word goes with the white space before it, or after it at the start of a line.
+                begin = end if kept or i + 1 == len(places) else places[i + 1][0]
+            lines.append(kept + line[places[-1][1] :])
+    return b"\n".join(lines).decode("utf-8", "surrogatepass"), len(gone)
+
+
+def cut_repeated_passages(docs: DataFrame, settings: Settings = WHOLE) -> DataFrame:
+    """The documents with ``_cut`` (words cut) and the text without the words of repeated pieces."""
+    found = stage(repeated_pieces(docs, settings), "repeated-pieces").select(
+        F.col("doc_id").alias("_doc"), F.col("th").alias("_th"), F.col("pieces").alias("_pieces")
+    )
+    least = settings.min_words
+
+    @F.arrow_udf("struct<text: string, cut: bigint>")
+    def cut(texts: pa.Array, pieces: pa.Array) -> pa.Array:
+        out = []
+        for text, spans in zip(texts, pieces):
+            if spans.is_valid:
+                left, n = cut_words(text.as_py(), [(p["word"], p["words"]) for p in spans.as_py()], least)
+                out.append({"text": left, "cut": n})
+            else:
+                out.append(None)
+        return pa.array(out, pa.struct([("text", pa.string()), ("cut", pa.int64())]))
+
+    same = (F.col("doc_id") == F.col("_doc")) & (F.xxhash64("text") == F.col("_th"))
+    # Texts that lose nothing are not sent to Python.
+    touched = F.when(F.col("_pieces").isNotNull(), F.col("text"))
+    both = docs.join(found, same, "left").withColumn("_done", cut(touched, F.col("_pieces")))
+    both = both.withColumn("_cut", F.coalesce("_done.cut", F.lit(0).cast("long")))
+    return both.withColumn("text", F.coalesce("_done.text", "text")).drop("_done", "_doc", "_th", "_pieces")
+
+
+def remove_repeated_passages(docs: DataFrame, settings: Settings = WHOLE) -> DataFrame:
+    """The documents without repeated paragraphs and passages; n_chars follows the text, other columns are unchanged."""
+    left = stage(remove_repeated_paragraphs(docs, settings), "paragraphs-removed")
+    cut = cut_repeated_passages(left, settings)
+    if "n_chars" in docs.columns:
+        length = F.char_length("text").cast("long")
+        cut = cut.withColumn("n_chars", F.when(F.col("_cut") == 0, F.col("n_chars")).otherwise(length))
+    return cut.select(*docs.columns)
+
+
 @query("op1_paragraphs")
 def op1_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: lines of its text, lines removed, which and after which document, and the text left."""
+    """Per document: lines of its text, lines removed, which and after which document, words cut besides, and the text left."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return _joined(docs, Settings()).select(
+    lines = _joined(docs, WHOLE).select(
         "doc_id",
         F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("_removed"), F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("_removed", F.array().cast("array<struct<line:int,first_doc:bigint>>")).alias("removed"),
         F.col("_kept_text").alias("text"),
     )
+    cut = cut_repeated_passages(stage(lines, "paragraphs-removed"), WHOLE)
+    return cut.select("doc_id", "n_lines", "n_removed", "removed", F.col("_cut").alias("n_words_cut"), "text")
