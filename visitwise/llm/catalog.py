@@ -1,4 +1,16 @@
 """Imports the modules whose queries register themselves."""
 
-from visitwise.llm import bpe, language, mixing, neighbours, paragraphs, quality, repetition, simhash, suffixes, warc  # noqa: F401
+from visitwise.llm import (  # noqa: F401
+    bpe,
+    exact,
+    language,
+    mixing,
+    neighbours,
+    paragraphs,
+    quality,
+    repetition,
+    simhash,
+    suffixes,
+    warc,
+)
 from visitwise.llm.registry import ORACLES, QUERIES  # noqa: F401
