@@ -9,6 +9,7 @@ from visitwise.llm import (  # noqa: F401
     paragraphs,
     quality,
     repetition,
+    resampling,
     simhash,
     suffixes,
     warc,
