@@ -5,6 +5,7 @@ from visitwise.llm import (  # noqa: F401
     exact,
     language,
     mixing,
+    negatives,
     neighbours,
     paragraphs,
     quality,
