@@ -22,3 +22,12 @@ def test_a_key_of_most_rows_is_cut(spark):
 
 def test_empty(spark):
     assert numbered(spark.range(0), "id").collect() == []
+
+
+def test_files_of_few_rows(spark):
+    """A limit on the rows of a file does not split a task's file."""
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "7")
+    try:
+        assert numbered(spark.range(500, numPartitions=3), F.desc("id")).where("rank <> 500 - id").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")

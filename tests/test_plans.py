@@ -10,7 +10,11 @@ from visitwise.operators.histories import Histories, Keys
 from visitwise.sources import workspace
 
 FORBIDDEN = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "CartesianProduct", "BroadcastNestedLoopJoin")
-ITERATIVE = {"kmeans_one", "kmeans_every_point", "kmeans_centers", "kmeans_wssse", "kmeans_sweep"}
+# These fit while the plan is built; their fits are tested in test_kmeans.py.
+ITERATIVE = {
+    "kmeans_one", "kmeans_every_point", "kmeans_centers", "kmeans_wssse", "kmeans_sweep", "kmeans_fixed_point",
+    "kmeans_sweep_fixed_points", "kmeans_members", "cluster_job", "sweep_job",
+}
 
 
 def plan(df):

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from visitwise.catalog import fixtures as T
 from visitwise.catalog.ingest import TYPED
 from visitwise.catalog.registry import query
+from visitwise.catalog import clusters as CL
 from visitwise.catalog.visits import SAMPLE_SEED
 from visitwise.operators.sampling import HASH_SPACE
+from visitwise.plans import cluster as K
 from visitwise.plans.preprocess import Outputs, preprocess
-from visitwise.sources.extracts import read_parquet, register_views
+from visitwise.sources.extracts import read_csv, read_parquet, register_views
 from visitwise.sources.workspace import new_path
 
 # The fields of the two extracts.
@@ -88,3 +90,63 @@ WHERE len(string_split(rtrim(value, ','), ',')) <> 6
 UNION ALL SELECT value, 'missing donor_id', 'visits' FROM typed JOIN raw_lines USING (txn_id) WHERE donor_id IS NULL""")
 def preprocess_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_parquet(spark, run_job(spark, sf_dir, 1.0).rejects)
+
+
+# The fields that the clustering job needs beside those of the visits.
+CLUSTER_FIELDS = [
+    ("donor_id", "string"), ("donation_dt", "date"), ("txn_id", "string"), ("site_zip", "string"),
+    ("donation_type", "string"), ("first_donat_ind", "integer"), ("walk_in_ind", "integer"), ("deferral_ind", "integer"),
+    ("sponsor_category", "string"),
+]
+CLUSTER_PERSONS = [*PERSON_FIELDS, ("StateAbbr", "string")]
+
+
+def _lines(df: DataFrame, fields: list[tuple[str, str]]) -> DataFrame:
+    values = [F.coalesce(F.col(n).cast("string"), F.lit("none")) for n, _ in fields]
+    return df.select(F.concat_ws(",", *values).alias("value"))
+
+
+def clustered_data(spark: SparkSession, sf_dir: str) -> str:
+    """The preprocess job over visits and persons written as extracts; the path of its enriched table."""
+    folder = new_path(spark, "cluster job")
+    _document(spark, CLUSTER_FIELDS, f"{folder}/schemas/states")
+    _document(spark, CLUSTER_PERSONS, f"{folder}/schemas/summary")
+    visits = T.visits(spark, sf_dir).withColumn("sponsor_category", F.col("donation_type"))
+    # Padded, so that the lines of one person and day have the order of their numbers.
+    visits = visits.withColumn("txn_id", F.lpad(F.col("txn_id").cast("string"), 12, "0"))
+    _headed(spark, CLUSTER_FIELDS, _lines(visits, CLUSTER_FIELDS), f"{folder}/visits")
+    _headed(spark, CLUSTER_PERSONS, _lines(T.persons_with_state(spark, sf_dir), CLUSTER_PERSONS), f"{folder}/persons")
+    return preprocess(
+        spark, f"{folder}/visits", f"{folder}/persons", f"{folder}/schemas", f"{folder}/out",
+        since_year=SINCE_YEAR, visits_schema="states", persons_schema="summary", extra=("StateAbbr",), keep_rejects=False,
+    ).data
+
+
+JOB_CLUSTERS = 4
+
+
+@query("cluster_job", CL.COHORT_RANKS + CL.fixed_points_sql("indexed", range(JOB_CLUSTERS, JOB_CLUSTERS + 1), CL.NAMES))
+def cluster_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The job from extracts to settled clusters, held against the cohort's single visits."""
+    path = clustered_data(spark, sf_dir)
+    done = K.cluster_job(spark, path, JOB_CLUSTERS, CL.TO_THE_END, since_year=CL.SINCE_YEAR, tolerance=0.0)
+    rows = K.first_visit_cohort(read_parquet(spark, path, "part*.parquet"), since_year=CL.SINCE_YEAR)
+    return CL.fixed_points(CL.single_vectors(rows, done.encoder), {JOB_CLUSTERS: done.fit}, done.names)
+
+
+@query(
+    "sweep_job",
+    CL.COHORT_RANKS + f"""SELECT CAST(k.range AS INTEGER) AS "K", least(CAST(k.range AS INTEGER), (SELECT CAST(count(*) AS INTEGER)
+  FROM (SELECT DISTINCT {", ".join(f'"{n}"' for n in CL.NAMES)} FROM indexed))) AS n_centers,
+  CASE WHEN k.range = 1 THEN (SELECT round(count(*) * ({" + ".join(f'var_pop(CAST("{n}" AS DOUBLE))' for n in CL.NAMES)}), 2)
+  FROM indexed) END AS wssse_of_one FROM range(1, {JOB_CLUSTERS + 1}) k""",
+)
+def sweep_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sweep's CSV table read back: centers per K, and the cost of one cluster."""
+    output = new_path(spark, "sweep")
+    K.sweep_job(spark, clustered_data(spark, sf_dir), output, range(1, JOB_CLUSTERS + 1), since_year=CL.SINCE_YEAR)
+    table = read_csv(spark, output)
+    one = F.when(F.col("K") == 1, F.round(F.col("WSSSE").cast("double"), 2))
+    return table.select(
+        F.col("K").cast("int").alias("K"), F.size(F.split("Centers", ";")).alias("n_centers"), one.alias("wssse_of_one")
+    )

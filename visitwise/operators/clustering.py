@@ -11,15 +11,15 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.stat import Summarizer
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from visitwise.operators import kmeans as M
+from visitwise.operators.kmeans import Fit
+from visitwise.operators.ordering import numbered
 from visitwise.sources.workspace import stage
 
 NULL_LABEL = "__null__"
@@ -42,7 +42,7 @@ def combinations(df: DataFrame, features: list[str]) -> DataFrame:
     return filled.groupBy(*features).agg(F.count(F.lit(1)).cast("double").alias(WEIGHT))
 
 
-def label_ranks(weighted: DataFrame, columns: list[str]) -> DataFrame:
+def label_counts(weighted: DataFrame, columns: list[str]) -> DataFrame:
     """(feature, label, n) of each text feature."""
     pairs = weighted.select(
         F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("label")) for c in columns])), WEIGHT
@@ -50,6 +50,19 @@ def label_ranks(weighted: DataFrame, columns: list[str]) -> DataFrame:
     return pairs.groupBy("feature", "label").agg(F.sum(WEIGHT).alias("n"))
 
 
+def ranked_labels(counts: DataFrame) -> DataFrame:
+    """(feature, label, rank): 0, 1, ... by falling n within each feature, ties by label.
+
+    All labels are numbered in one distributed order and a feature's first number is taken off, so the labels
+    of a free-text feature are spread over tasks like any others.
+    """
+    ordered = numbered(counts, "feature", F.desc("n"), "label", name="rank")
+    # One row per feature.
+    firsts = ordered.groupBy(F.col("feature").alias("_of")).agg(F.min("rank").alias("_first"))
+    ranked = ordered.join(firsts, F.col("feature") == F.col("_of"))
+    return ranked.select("feature", "label", (F.col("rank") - F.col("_first")).cast("double").alias("rank"))
+
+
 @dataclass(frozen=True)
 class Encoder:
     """Label ranks by falling frequency (ties by label), kept as a table, and the columns to assemble."""
@@ -64,9 +77,7 @@ class Encoder:
         indexed = text_features(weighted, features)
         ranks = None
         if indexed:
-            by_rank = Window.partitionBy("feature").orderBy(F.desc("n"), "label")
-            ranked = label_ranks(weighted, indexed).withColumn("rank", (F.row_number().over(by_rank) - 1).cast("double"))
-            ranks = stage(ranked.select("feature", "label", "rank"), "label-ranks")
+            ranks = stage(ranked_labels(label_counts(weighted, indexed)), "label-ranks")
         return cls(list(features), indexed, ranks, handle_invalid)
 
     @property
@@ -99,33 +110,41 @@ class Encoder:
 
 
 def encode(
-    df: DataFrame, features: list[str], handle_invalid: str = "error", partitions: int = 8
+    df: DataFrame, features: list[str], handle_invalid: str = "error", partitions: int | None = None
 ) -> tuple[Encoder, DataFrame]:
-    """Encoder and the weighted feature vectors.
+    """Encoder and the weighted feature vectors: (features array<double>, weight).
 
     The combinations and their vectors are written to the shared folder once, so the fits iterate over
-    a small table and a lost executor never sets the visit pipeline going again. The vectors lie in
-    ``partitions`` files by a hash of the features, sorted, so that a seeded fit does not depend on how
-    the visits were laid out.
+    a small table and a lost executor never sets the visit pipeline going again. They are dealt over
+    ``partitions`` tasks (all cores, if not given) by a hash of the features.
     """
     weighted = stage(combinations(df, features), "combinations")
     encoder = Encoder.fit(weighted, features, handle_invalid)
-    laid = encoder.assemble(weighted).repartition(partitions, *features).sortWithinPartitions(*features)
-    return encoder, stage(laid.select("features", WEIGHT), "vectors")
+    partitions = partitions or df.sparkSession.sparkContext.defaultParallelism
+    laid = features_as_array(encoder.assemble(weighted)).select("features", WEIGHT).repartition(partitions, "features")
+    return encoder, stage(laid, "vectors")
 
 
-@dataclass(frozen=True)
-class Fit:
-    """Centers of a fit: asked number, found centers, cost. ``model`` is None where no fit was needed."""
+def features_as_array(df: DataFrame, name: str = "features") -> DataFrame:
+    return df if dict(df.dtypes)[name].startswith("array") else df.withColumn(name, vector_to_array(name))
 
-    k: int
-    points: list[list[float]]
-    cost: float
-    model: KMeansModel | None
 
-    @property
-    def n_centers(self) -> int:
-        return len(self.points)
+def _distinct(vectors: DataFrame) -> DataFrame:
+    """(x, w) with each vector once."""
+    merged = features_as_array(vectors).groupBy(F.col("features").alias("x"))
+    return merged.agg(F.sum(WEIGHT).alias("w"))
+
+
+def fit_all(
+    vectors: DataFrame,
+    ks: Iterable[int],
+    iterations: int,
+    seed: int = DEFAULT_SEED,
+    start_steps: int = 2,
+    tolerance: float = 1e-4,
+) -> dict[int, Fit]:
+    """A fit for each k; every pass over the vectors serves all of them."""
+    return M.fit_all(_distinct(vectors), ks, iterations, seed, start_steps, tolerance)
 
 
 def fit(
@@ -133,38 +152,17 @@ def fit(
     k: int,
     iterations: int,
     seed: int = DEFAULT_SEED,
-    start: str = "k-means||",
-    start_steps: int = 5,
+    start_steps: int = 2,
     tolerance: float = 1e-4,
 ) -> Fit:
-    """Weighted k-means over distinct vectors, the same way for every size and k.
+    """Weighted k-means over the vectors, the same way for every size and k (see ``kmeans``)."""
+    return fit_all(vectors, [k], iterations, seed, start_steps, tolerance)[k]
 
-    One cluster is the weighted mean. With at least as many clusters as distinct vectors the vectors are
-    the centers, in the order of their components, and the cost is zero. A parallel start that finds too few
-    centers is repeated with more steps.
-    """
-    merged = vectors.groupBy("features").agg(F.sum(WEIGHT).alias(WEIGHT))
-    few = merged.limit(k + 1).count()
-    if not few:
-        raise ValueError("there are no feature vectors to cluster")
-    if few <= k:
-        points = sorted([float(x) for x in row["features"]] for row in merged.select("features").collect())
-        return Fit(k, points, 0.0, None)
-    if k == 1:
-        center = [float(x) for x in merged.select(Summarizer.mean(F.col("features"), F.col(WEIGHT))).first()[0]]
-        squares = [(x - c) * (x - c) for x, c in zip((F.get("v", F.lit(i)) for i in range(len(center))), center)]
-        cost = (
-            vectors.select(vector_to_array("features").alias("v"), WEIGHT)
-            .agg(F.sum(sum(squares[1:], squares[0]) * F.col(WEIGHT)))
-            .first()[0]
-        )
-        return Fit(1, [center], float(cost), None)
-    means = KMeans(
-        k=k, maxIter=iterations, seed=seed, initMode=start, initSteps=start_steps, tol=tolerance,
-        featuresCol="features", weightCol=WEIGHT, predictionCol="cluster",
-    )
-    model = means.fit(vectors)
-    return Fit(k, [[float(x) for x in c] for c in model.clusterCenters()], float(model.summary.trainingCost), model)
+
+def assign(df: DataFrame, encoder: Encoder, found: Fit) -> DataFrame:
+    """Every row with its ``cluster`` and its squared ``distance`` to that center."""
+    assembled = features_as_array(encoder.assemble(df))
+    return M.assign(assembled, found.points).drop("features", *[f"{f}_index" for f in encoder.indexed])
 
 
 def centers(vectors: DataFrame, found: Fit, names: list[str]) -> DataFrame:
@@ -188,19 +186,19 @@ def wssse(vectors: DataFrame, found: Fit) -> DataFrame:
     )
 
 
+def center_text(points: M.Centers) -> str:
+    return ";".join("[" + ",".join(repr(v) for v in c) + "]" for c in points)
+
+
 def sweep(
-    vectors: DataFrame, ks: Iterable[int] = range(15, 31), iterations: int = 10, seed: int = DEFAULT_SEED
+    vectors: DataFrame,
+    ks: Iterable[int] = range(15, 31),
+    iterations: int = 10,
+    seed: int = DEFAULT_SEED,
+    start_steps: int = 2,
+    tolerance: float = 1e-4,
 ) -> DataFrame:
-    """(k, n_centers, wssse, centers) for each k over the same staged vectors, kept in memory meanwhile."""
-    vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)
-    rows = []
-    for k in ks:
-        found = fit(vectors, k, iterations, seed)
-        text = ";".join("[" + ",".join(repr(v) for v in c) + "]" for c in found.points)
-        rows.append((k, found.n_centers, found.cost, text))
-    vectors.unpersist()
+    """(k, n_centers, wssse, centers) for each k; every pass over the vectors serves all of them."""
+    fits = fit_all(vectors, ks, iterations, seed, start_steps, tolerance)
+    rows = [(k, found.n_centers, found.cost, center_text(found.points)) for k, found in fits.items()]
     return vectors.sparkSession.createDataFrame(rows, "k int, n_centers int, wssse double, centers string")
-
-
-def features_as_array(df: DataFrame, name: str = "features") -> DataFrame:
-    return df.withColumn(name, vector_to_array(name))

@@ -12,16 +12,16 @@ from visitwise.sources.workspace import stage
 def numbered(df: DataFrame, *order: Column | str, name: str = "rank") -> DataFrame:
     """Add 1, 2, ... in the order of ``order``, which must tell all rows apart for repeatable numbers.
 
-    Spark's own sort ranges the rows over tasks and each task writes its rows in order, so a row's number
-    is its place in its file plus the rows of the files before it. Besides the sort only one row per file
-    is handled, so no task ever sees more than its range, whatever the keys are.
+    Spark's own sort ranges the rows over tasks and each task writes its rows in order to one file, so a row's
+    number is its place in its file plus the rows of the files before it. Besides the sort only one row per
+    task is handled, so no task ever sees more than its range, whatever the keys are.
     """
-    part, file, place, origin, start = fresh([*df.columns, name], "_part", "_file", "_place", "_from", "_start")
-    rows = stage(df.orderBy(*order).withColumn(part, F.spark_partition_id()), "ordered")
-    rows = rows.withColumns({file: F.col("_metadata.file_path"), place: F.col("_metadata.row_index")})
-    files = rows.groupBy(part, file).agg(F.count(F.lit(1)).alias(place))
-    earlier = Window.partitionBy().orderBy(part, file).rowsBetween(Window.unboundedPreceding, -1)
-    starts = files.select(F.col(file).alias(origin), F.coalesce(F.sum(place).over(earlier), F.lit(0)).alias(start))
-    # One row per file and of known size once written: Spark broadcasts it if it is small.
-    whole = rows.join(stage(starts, "starts"), F.col(file) == F.col(origin))
+    part, place, origin, start = fresh([*df.columns, name], "_part", "_place", "_from", "_start")
+    laid = stage(df.orderBy(*order).withColumn(part, F.spark_partition_id()), "ordered", one_file_a_task=True)
+    rows = laid.withColumn(place, F.col("_metadata.row_index"))
+    earlier = Window.partitionBy().orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = laid.groupBy(part).agg(F.count(F.lit(1)).alias(place))
+    starts = sizes.select(F.col(part).alias(origin), F.coalesce(F.sum(place).over(earlier), F.lit(0)).alias(start))
+    # Two numbers per task of the sort.
+    whole = rows.join(F.broadcast(starts), F.col(part) == F.col(origin))
     return whole.withColumn(name, F.col(start) + F.col(place) + 1).select(*df.columns, name)

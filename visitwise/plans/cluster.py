@@ -42,6 +42,11 @@ class Clusters:
     centers: DataFrame
     wssse: DataFrame
     names: list[str]
+    encoder: C.Encoder
+
+    def assign(self, visits: DataFrame) -> DataFrame:
+        """The visits with the ``cluster`` of their features and the squared ``distance`` to its center."""
+        return C.assign(visits, self.encoder, self.fit)
 
 
 def cluster(
@@ -51,11 +56,12 @@ def cluster(
     seed: int = C.DEFAULT_SEED,
     features: list[str] | None = None,
     handle_invalid: str = "error",
+    tolerance: float = 1e-4,
 ) -> Clusters:
     """Fit and report; ``handle_invalid`` says what a missing number does: error, skip or keep."""
     encoder, vectors = C.encode(cohort, features or FEATURES, handle_invalid)
-    found = C.fit(vectors, k, iterations, seed)
-    return Clusters(found, C.centers(vectors, found, encoder.names), C.wssse(vectors, found), encoder.names)
+    found = C.fit(vectors, k, iterations, seed, tolerance=tolerance)
+    return Clusters(found, C.centers(vectors, found, encoder.names), C.wssse(vectors, found), encoder.names, encoder)
 
 
 def cluster_job(
@@ -68,10 +74,11 @@ def cluster_job(
     features: list[str] | None = None,
     handle_invalid: str = "error",
     since_year: int = 2000,
+    tolerance: float = 1e-4,
 ) -> Clusters:
     """Fit over the enriched table written by the preprocess job."""
     cohort = first_visit_cohort(read_parquet(spark, path, glob), features, since_year)
-    return cluster(cohort, k, iterations, seed, features, handle_invalid)
+    return cluster(cohort, k, iterations, seed, features, handle_invalid, tolerance)
 
 
 def sweep_job(
@@ -83,9 +90,10 @@ def sweep_job(
     seed: int = C.DEFAULT_SEED,
     glob: str = "part*.parquet",
     features: list[str] | None = None,
+    since_year: int = 2000,
 ) -> DataFrame:
     """Fit each number of clusters and write the K, WSSSE, Centers table as CSV; the result has n_centers too."""
-    cohort = first_visit_cohort(read_parquet(spark, path, glob), features)
+    cohort = first_visit_cohort(read_parquet(spark, path, glob), features, since_year)
     _, vectors = C.encode(cohort, features or FEATURES)
     result = C.sweep(vectors, ks, iterations, seed)
     write_csv(result.drop("n_centers").withColumnsRenamed({"k": "K", "wssse": "WSSSE", "centers": "Centers"}), output)
