@@ -53,7 +53,7 @@ def test_slices_are_bounded_and_ordered(visits):
     sizes = {(r["donor_id"], r["_slice"]): r["count"] for r in rows.groupBy("donor_id", "_slice").count().collect()}
     hot = {k: v for k, v in sizes.items() if k[1] > 0}
     assert {p for p, _ in hot} == {"hot", "oneday"} | {p for (p, s), v in sizes.items() if s > 0}
-    assert max(hot.values()) <= 4 * PER_SLICE
+    assert max(hot.values()) <= PER_SLICE
     assert sum(sizes.values()) == 3000
     # Each slice ends before the next one starts.
     key = S.order_key("donation_dt", "txn_id")

@@ -3,7 +3,7 @@
 All operators of one ``Histories`` object share one distribution of the rows, so a
 chain of them costs one exchange of the table. Where a person is too big for a task
 the distribution key is (person, slice) (see ``slices``), and each window result is
-completed with a broadcast of the slice summaries, whose size is bounded.
+completed from the slice summaries, one row per slice.
 """
 
 from __future__ import annotations
@@ -30,6 +30,10 @@ class Keys:
     tie: str = "txn_id"
 
 
+def visit_order(keys: Keys) -> list[Column]:
+    return [F.col(keys.day).asc_nulls_last(), F.col(keys.tie).asc_nulls_last()]
+
+
 @dataclass(frozen=True)
 class Histories:
     rows: DataFrame
@@ -41,18 +45,17 @@ class Histories:
 
     @classmethod
     def of(cls, df: DataFrame, keys: Keys = Keys(), per_slice: int | None = None) -> Histories:
-        """Choose the distribution by the counted rows of the largest person, at every size alike."""
-        hot, per_slice = S.hot_persons(df, keys.person, per_slice or S.ROWS_PER_SLICE)
+        """Distribute by person; the rows of persons with more than ``per_slice`` visits by their slices."""
+        per_slice = per_slice or S.ROWS_PER_SLICE
+        hot = S.hot_keys(df, keys.person, per_slice)
         if hot is None:
             return cls(df, keys)
-        names = (keys.person, keys.day, keys.tie)
-        cuts = stage(S.cut_points(df, hot, *names, per_slice), "cuts")
-        base = S.with_slices(df, cuts, *names, how="inner")
+        cold, base = S.split(df, hot, keys.person, *visit_order(keys), per_slice=per_slice)
         day = F.col(keys.day)
         summary = base.groupBy(keys.person, S.SLICE).agg(
             F.count(F.lit(1)).alias("_n"), F.min(day).alias("_first"), F.max(day).alias("_last")
         )
-        return cls(S.with_slices(df, cuts, *names), keys, base, stage(summary, "slices"))
+        return cls(cold.unionByName(base), keys, base, stage(summary, "slices"))
 
     # -- windows -----------------------------------------------------------
 
@@ -66,7 +69,7 @@ class Histories:
 
     @property
     def ordered(self) -> Window:
-        return self.whole.orderBy(F.col(self.keys.day).asc_nulls_last(), F.col(self.keys.tie).asc_nulls_last())
+        return self.whole.orderBy(*visit_order(self.keys))
 
     @property
     def before(self) -> Window:
@@ -90,10 +93,10 @@ class Histories:
         return self._carry(_n=F.count(F.lit(1)), _first=F.min(day), _last=F.max(day))
 
     def _lookup(self, rows: DataFrame, small: DataFrame) -> DataFrame:
-        """Attach per-slice values; ``small`` is bounded by the number of slices."""
+        """Attach the values of a table with one row per slice."""
         person = F.col(self.keys.person).eqNullSafe(F.col("_cp"))
         small = small.withColumnsRenamed({self.keys.person: "_cp", S.SLICE: "_cs"})
-        return rows.join(F.broadcast(small), person & (F.col(S.SLICE) == F.col("_cs")), "left").drop("_cp", "_cs")
+        return rows.join(small, person & (F.col(S.SLICE) == F.col("_cs")), "left").drop("_cp", "_cs")
 
     # -- operators ---------------------------------------------------------
 
@@ -202,8 +205,8 @@ class Histories:
         if self.base is None:
             return self._with(self.rows.join(other, key, how))
         slices = self._slices().select(F.col(key).alias("_sp"), S.SLICE)
-        placed = other.join(F.broadcast(slices), F.col(key).eqNullSafe(F.col("_sp")), "left").drop("_sp")
-        placed = placed.withColumn(S.SLICE, F.coalesce(S.SLICE, F.lit(0)))
+        placed = other.join(slices, F.col(key).eqNullSafe(F.col("_sp")), "left").drop("_sp")
+        placed = placed.withColumn(S.SLICE, F.coalesce(S.SLICE, F.lit(0).cast("long")))
         base = self.base.join(placed, [key, S.SLICE], how)
         # Semi and anti joins keep or drop whole persons, which leaves the slice summaries right.
         summary = self.summary if how in ("left_semi", "left_anti") else None
@@ -216,8 +219,8 @@ class Histories:
         if self.base is None:
             return self._with(rows.withColumn("_keep", keep).where("_keep").drop("_flag", "_keep"))
         key = self.keys.person
-        # At most one entry per hot person, so bounded like the slices are.
+        # At most one entry per hot person.
         flagged = rows.where((F.col(S.SLICE) > 0) & F.col("_flag")).select(F.col(key).alias("_fp")).distinct()
         rows = rows.withColumn("_keep", keep)
-        rows = rows.join(F.broadcast(flagged), F.col(key).eqNullSafe(F.col("_fp")), "left")
+        rows = rows.join(flagged, F.col(key).eqNullSafe(F.col("_fp")), "left")
         return self._with(rows.where(F.col("_keep") | F.col("_fp").isNotNull()).drop("_flag", "_keep", "_fp"))

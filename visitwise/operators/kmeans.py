@@ -12,7 +12,7 @@ the sums of every fit that has not settled. What reaches the driver is one row p
 The start takes ``start_steps`` rounds; each adds the 2 k vectors that win a race weighted by their share of
 the cost (weighted sampling without replacement), so more than k candidates are found in the first round
 wherever there are that many distinct vectors. The candidates, weighted by the vectors nearest to them,
-are then reduced to k by the same race, one at a time.
+are then reduced to k by the same race, one at a time, and moved over the candidates until they rest.
 """
 
 from __future__ import annotations
@@ -153,6 +153,29 @@ def reduced(candidates: Centers, weights: list[float], k: int, seed: int) -> Cen
     return [candidates[i] for i in chosen]
 
 
+def polished(centers: Centers, candidates: Centers, weights: list[float], turns: int = 30) -> Centers:
+    """Centers moved over the weighted candidates, a small table that stands in for all vectors."""
+    points = np.array(candidates)
+    for _ in range(turns):
+        near, distance = np.zeros(len(points), dtype=np.int64), np.full(len(points), np.inf)
+        for i, center in enumerate(centers):
+            away = np.zeros(len(points))
+            for j, c in enumerate(center):
+                away += (points[:, j] - c) ** 2
+            closer = away < distance
+            near[closer], distance[closer] = i, away[closer]
+        sums = {}
+        for i in set(near.tolist()):
+            own = [(candidates[p], weights[p]) for p in np.flatnonzero(near == i).tolist()]
+            parts = [math.fsum(w * x[j] for x, w in own) for j in range(points.shape[1])]
+            sums[i] = (math.fsum(w for _, w in own), parts)
+        new = moved(centers, sums)
+        if new == centers:
+            break
+        centers = new
+    return centers
+
+
 def start(vectors: DataFrame, first: dict[int, Centers], seed: int, steps: int, units: Units) -> dict[int, Centers]:
     """The first centers of each fit, from a first candidate of each."""
     candidates = dict(first)
@@ -161,11 +184,11 @@ def start(vectors: DataFrame, first: dict[int, Centers], seed: int, steps: int,
         away = rows.where("nearest.distance > 0")
         more = winners(away, "w * nearest.distance", seed, turn, 2 * max(candidates))
         candidates = {k: held + more.get(k, []) for k, held in candidates.items()}
-    sums = totals(vectors, candidates, units)
-    return {
-        k: reduced(held, [sums[k][i][0] if i in sums[k] else 0.0 for i in range(len(held))], k, seed)
-        for k, held in candidates.items()
-    }
+    out = {}
+    for k, sums in totals(vectors, candidates, units).items():
+        weights = [sums[i][0] if i in sums else 0.0 for i in range(len(candidates[k]))]
+        out[k] = polished(reduced(candidates[k], weights, k, seed), candidates[k], weights)
+    return out
 
 
 def totals(vectors: DataFrame, centers: dict[int, Centers], units: Units) -> dict[int, dict[int, tuple]]:

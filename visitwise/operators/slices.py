@@ -1,27 +1,24 @@
-"""Ordered slices of the persons that are too big for one task.
-
-A person whose visits exceed ``per_slice`` rows is cut into slices that follow the
-visit order, so windows can run per (person, slice) and be completed from a small
-per-slice summary. Cut points come from a hash-chosen sample of the order keys; they
-only decide where the cuts fall, every row is kept and every result is exact.
-
-The number of slices is bounded: ``per_slice`` grows with the table so that all hot
-persons together have at most about twice ``MAX_SLICES`` slices. That bound is what
-makes it safe to broadcast the cut points and the slice summaries.
+"""Ordered slices of keys that hold too many rows for one task.
+
+The rows of such keys are numbered in one distributed order, by key and then by the wanted order, and
+cut after every ``per_slice`` rows. So a slice of a key never holds more rows than that, however many
+the key has, and there is no bound on the number of slices. Windows run per (key, slice) and are
+completed from one summary row per slice; joins repeat the other side's entry once per slice.
+Nothing here is broadcast by force: the tables of hot keys, slices and summaries are written, so Spark
+knows their sizes and broadcasts the small ones.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from visitwise.operators.names import fresh
+from visitwise.operators.ordering import numbered
+from visitwise.sources.statistics import remembered
 from visitwise.sources.workspace import stage
 
 ROWS_PER_SLICE = 5_000_000
-MAX_SLICES = 16_384
-SAMPLES_PER_SLICE = 16
-# Cut points of one person are looked up in two steps of at most FAN comparisons.
-FAN = 64
 
 SLICE = "_slice"
 
@@ -31,78 +28,26 @@ def order_key(day: str, tie: str) -> Column:
     return F.struct(F.col(day).isNull().alias("undated"), F.col(day).alias("day"), F.col(tie).alias("tie"))
 
 
-def hot_persons(df: DataFrame, person: str, per_slice: int) -> tuple[DataFrame | None, int]:
-    """Persons above the slice size, or None, and the slice size in force.
+def hot_keys(df: DataFrame, key: str, per_slice: int) -> DataFrame | None:
+    """(_p): the keys with more than ``per_slice`` rows, null among them; None if there are none.
 
-    One pass over the person column with a map-side combine; only the row total and the largest
-    person's rows reach the driver. Few persons can be hot: each holds more than ``per_slice`` rows.
+    One pass over the key column with a map-side combine, made once per session and table; only the
+    largest count reaches the driver.
     """
-    counts = df.groupBy(F.col(person).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
-    size = counts.agg(F.sum("_n").alias("rows"), F.max("_n").alias("largest")).first()
-    per_slice = max(per_slice, -(-(size["rows"] or 0) // MAX_SLICES))
-    if (size["largest"] or 0) <= per_slice:
-        return None, per_slice
-    return stage(counts.where(F.col("_n") > per_slice), "hot"), per_slice
-
 
-def cut_points(df: DataFrame, hot: DataFrame, person: str, day: str, tie: str, per_slice: int) -> DataFrame:
-    """(_p, _firsts, _blocks): sorted cut points of each hot person in blocks, and each block's first."""
-    hot = hot.withColumn("_want", F.least(F.ceil(F.col("_n") / per_slice), F.lit(FAN * FAN))).withColumn(
-        "_stride", F.greatest(F.lit(1), F.floor(F.col("_n") / (F.col("_want") * SAMPLES_PER_SLICE)))
-    )
-    keys = df.select(F.col(person).alias("_id"), order_key(day, tie).alias("_key"))
-    sample = (
-        keys.join(F.broadcast(hot), F.col("_id").eqNullSafe(F.col("_p")))
-        .where(F.pmod(F.xxhash64("_id", "_key"), F.col("_stride")) == 0)
-        .select("_id", "_key", "_want")
-        .distinct()
-    )
-    by_person = Window.partitionBy("_id")
-    ranked = sample.select(
-        "_id",
-        "_key",
-        "_want",
-        F.row_number().over(by_person.orderBy("_key")).alias("_r"),
-        F.count(F.lit(1)).over(by_person).alias("_m"),
-    )
-    # The sampled keys at which the wanted number of even steps is passed.
-    step = F.greatest(F.lit(1), F.ceil(F.col("_m") / F.col("_want")))
-    cuts = ranked.where((F.col("_r") % step == 0)).select(
-        "_id", "_key", F.floor(((F.col("_r") / step) - 1) / FAN).cast("int").alias("_block")
-    )
-    blocks = cuts.groupBy("_id", "_block").agg(F.sort_array(F.collect_list("_key")).alias("_keys"))
-    return (
-        blocks.groupBy(F.col("_id").alias("_p"))
-        .agg(F.sort_array(F.collect_list(F.struct("_block", "_keys"))).alias("_b"))
-        .select(
-            "_p",
-            F.transform("_b", lambda b: F.get(b["_keys"], F.lit(0))).alias("_firsts"),
-            F.transform("_b", lambda b: b["_keys"]).alias("_blocks"),
-        )
-    )
+    def find() -> DataFrame | None:
+        counts = df.groupBy(F.col(key).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+        largest = counts.agg(F.max("_n")).first()[0] or 0
+        return stage(counts.where(F.col("_n") > per_slice).select("_p"), "hot") if largest > per_slice else None
 
+    return remembered(df, ("hot", key, per_slice), find)
 
-def with_slices(df: DataFrame, cuts: DataFrame, person: str, day: str, tie: str, how: str = "left") -> DataFrame:
-    """Add ``_slice``: 0 for ordinary persons, 1.. in visit order for hot ones.
-
-    With ``how="inner"`` only the hot persons' rows are returned.
-    """
-    looked_up = df.join(F.broadcast(cuts), F.col(person).eqNullSafe(F.col("_p")), how).withColumn(
-        "_key", order_key(day, tie)
-    )
-
-    def passed(points: Column) -> Column:
-        return F.size(F.filter(points, lambda c: c <= F.col("_key")))
 
-    inside = passed(F.get(F.col("_blocks"), F.col("_block") - 1))
-    return (
-        looked_up.withColumn("_block", F.when(F.col("_firsts").isNotNull(), passed(F.col("_firsts"))))
-        .withColumn(
-            SLICE,
-            F.when(F.col("_block").isNull(), 0)
-            .when(F.col("_block") == 0, 1)
-            .otherwise((F.col("_block") - 1) * FAN + inside + 1)
-            .cast("int"),
-        )
-        .drop("_p", "_firsts", "_blocks", "_block", "_key")
-    )
+def split(df: DataFrame, hot: DataFrame, key: str, *order: Column, per_slice: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of ordinary keys with ``_slice`` 0, and those of hot keys with 1, 2, ... in the given order."""
+    (number,) = fresh(df.columns, "_number")
+    is_hot = F.col(key).eqNullSafe(F.col("_p"))
+    cold = df.join(hot, is_hot, "left_anti").withColumn(SLICE, F.lit(0).cast("long"))
+    placed = numbered(df.join(hot, is_hot, "left_semi"), F.col(key), *order, name=number)
+    place = F.floor((F.col(number) - 1) / per_slice).cast("long") + 1
+    return cold, placed.withColumn(SLICE, place).drop(number)
