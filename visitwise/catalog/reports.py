@@ -11,7 +11,7 @@ from visitwise.catalog.visits import GAP, ID, P, W, six
 from visitwise.operators import lapses as L
 from visitwise.operators import profiling as R
 from visitwise.operators.histories import Histories, Keys
-from visitwise.plans.exploration import CYCLE_BINS, YEAR_BINS, merge_left
+from visitwise.plans.exploration import CYCLE_BINS, YEAR_BINS, explore, merge_left
 
 MERGED_COLUMNS = [
     "donor_id", "donation_dt", "txn_id", "donation_type", "donation_ind", "deferral_ind", "first_donat_ind",
@@ -180,8 +180,23 @@ LAPSES = {
 }
 
 
+def lapses_sql(table: str, condition: str, days: int) -> str:
+    return f"SELECT txn_id, CAST(lag_in_days AS DOUBLE) / {days} AS x FROM {table} WHERE {condition} AND donation_ind = 1"
+
+
+def histogram_sql(values: str, bins: int, before: str = ", ") -> str:
+    return before + f"""vals AS ({values}), b AS (SELECT min(x) AS lo, max(x) AS hi, (max(x) - min(x)) / {bins} AS w FROM vals),
+guessed AS (SELECT x, lo, w, least(floor((x - lo) / (hi - lo) * {bins}), {bins - 1}) AS g FROM vals, b),
+binned AS (
+  SELECT CASE WHEN x < g * w + lo THEN g - 1 WHEN g < {bins - 1} AND x >= (g + 1) * w + lo THEN g + 1 ELSE g END AS bin,
+         count(*) AS n FROM guessed GROUP BY 1)
+SELECT CAST(r.range AS INTEGER) AS bin, round(r.range * (SELECT w FROM b) + (SELECT lo FROM b), 6) AS lo,
+  round((r.range + 1) * (SELECT w FROM b) + (SELECT lo FROM b), 6) AS hi, coalesce(n, 0) AS n
+FROM range({bins}) r LEFT JOIN binned ON binned.bin = r.range"""
+
+
 def _register_lapse(name: str, table: str, condition: str, days: int, unit: str, hist: str, bins: int) -> None:
-    values = f"SELECT txn_id, CAST(lag_in_days AS DOUBLE) / {days} AS x FROM {table} WHERE {condition} AND donation_ind = 1"
+    values = lapses_sql(table, condition, days)
     conditions = {
         "lag_in_days <> 0": L.nonzero,
         "donate_times = 2": L.first_to_second,
@@ -198,14 +213,7 @@ def _register_lapse(name: str, table: str, condition: str, days: int, unit: str,
 
     @query(
         hist,
-        LAPSE + f""", vals AS ({values}), b AS (SELECT min(x) AS lo, max(x) AS hi, (max(x) - min(x)) / {bins} AS w FROM vals),
-guessed AS (SELECT x, lo, w, least(floor((x - lo) / (hi - lo) * {bins}), {bins - 1}) AS g FROM vals, b),
-binned AS (
-  SELECT CASE WHEN x < g * w + lo THEN g - 1 WHEN g < {bins - 1} AND x >= (g + 1) * w + lo THEN g + 1 ELSE g END AS bin,
-         count(*) AS n FROM guessed GROUP BY 1)
-SELECT CAST(r.range AS INTEGER) AS bin, round(r.range * (SELECT w FROM b) + (SELECT lo FROM b), 6) AS lo,
-  round((r.range + 1) * (SELECT w FROM b) + (SELECT lo FROM b), 6) AS hi, coalesce(n, 0) AS n
-FROM range({bins}) r LEFT JOIN binned ON binned.bin = r.range""",
+        LAPSE + histogram_sql(values, bins),
     )
     def histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
         bars = R.histogram(lapses(spark, sf_dir), unit, bins)
@@ -261,3 +269,85 @@ def early_return_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
         "donor_id", "donation_type", "donation_dt", "first_donat_ind", "deferral_ind", "donation_ind",
         "donate_times", "lag_in_days", "age_at_donation",
     )
+
+
+def report(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    persons = T.persons(spark, sf_dir).drop("nation_key")
+    return explore(T.visits(spark, sf_dir), persons, T.WHOLE_TYPE)
+
+
+@query(
+    "explore_histograms",
+    LAPSE + " UNION ALL ".join(
+        f"SELECT '{hist}' AS series, bin, lo, hi, n FROM ({histogram_sql(lapses_sql(table, condition, days), bins, 'WITH ')})"
+        for table, condition, days, _, hist, bins in LAPSES.values()
+    ),
+)
+def explore_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five histograms of the report."""
+    tables = report(spark, sf_dir)
+    named = [tables[spec[4]].withColumn("series", F.lit(spec[4])) for spec in LAPSES.values()]
+    bars = named[0]
+    for more in named[1:]:
+        bars = bars.unionByName(more)
+    return bars.withColumns({"lo": six("lo"), "hi": six("hi")})
+
+
+@query(
+    "explore_early_returns",
+    EARLY + AGES + """SELECT 'early' AS part, donor_id, txn_id, donate_times, lag_in_days, CAST(NULL AS INTEGER) AS age
+FROM typed WHERE lag_in_days < 56 AND lag_in_days <> 0
+UNION ALL SELECT DISTINCT 'person', donor_id, NULL, NULL, NULL, NULL FROM early
+UNION ALL SELECT 'count', NULL, count(*), NULL, NULL, NULL FROM early
+UNION ALL (SELECT 'preview', donor_id, txn_id, donate_times, lag_in_days, a.age_at_donation
+FROM lapse JOIN (SELECT txn_id, age_at_donation FROM ages) a USING (txn_id)
+WHERE donor_id IN (SELECT donor_id FROM early) ORDER BY donor_id, donation_dt, txn_id LIMIT 8)""",
+)
+def explore_early_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Early returns, their persons, their number, and the first rows of those persons' histories."""
+    tables = report(spark, sf_dir)
+    none, lapse = F.lit(None).cast("int"), ["donate_times", "lag_in_days"]
+    early = tables["early_returns"].select(F.lit("early").alias("part"), "donor_id", "txn_id", *lapse, none.alias("age"))
+    ids = tables["early_return_ids"].select(F.lit("person"), "donor_id", F.lit(None), F.lit(None), F.lit(None), none)
+    number = tables["early_return_count"].select(F.lit("count"), F.lit(None), "n", F.lit(None), F.lit(None), none)
+    top = tables["early_return_preview"].select(F.lit("preview"), "donor_id", "txn_id", *lapse, "age_at_donation")
+    return early.union(ids).union(number).union(top)
+
+
+@query(
+    "explore_profile",
+    MISSING + """SELECT 'rows' AS part, 'rows' AS name, count(*) AS n, CAST(13 AS DOUBLE) AS share FROM merged
+UNION ALL SELECT 'missing', "column", count, round(percentage, 6) FROM missing
+UNION ALL SELECT 'below', "column", count, round(percentage, 6) FROM missing WHERE percentage < 0.7
+UNION ALL SELECT DISTINCT 'type', donation_type, 0, 0.0 FROM visits""",
+)
+def explore_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shape, missing values and visit types of the merged table."""
+    tables = report(spark, sf_dir)
+    shape = tables["table_shape"].select(
+        F.lit("rows").alias("part"), F.lit("rows").alias("name"), F.col("n_rows").alias("n"),
+        F.col("n_columns").cast("double").alias("share"),
+    )
+    missing = tables["missing_values"].select(F.lit("missing"), "column", "count", six("percentage"))
+    below = tables["missing_below_threshold"].select(F.lit("below"), "column", "count", six("percentage"))
+    types = tables["distinct_types"].select(F.lit("type"), "donation_type", F.lit(0), F.lit(0.0))
+    return shape.union(missing).union(below).union(types)
+
+
+@query(
+    "explore_heads",
+    LAPSE + AGES + """SELECT 'deferred' AS part, donor_id, txn_id, NULL AS donate_times, fst_donation_age FROM (SELECT * FROM ages
+WHERE deferral_ind = 1 ORDER BY donor_id, donation_dt, txn_id LIMIT 5)
+UNION ALL SELECT 'lapse', donor_id, txn_id, donate_times, fst_donation_age FROM (
+  SELECT lapse.donor_id, lapse.txn_id, donate_times, a.fst_donation_age
+  FROM lapse JOIN (SELECT txn_id, fst_donation_age FROM ages) a USING (txn_id)
+  ORDER BY donor_id, donation_dt, txn_id LIMIT 10)""",
+)
+def explore_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First deferred visits and first lapses of the report."""
+    tables = report(spark, sf_dir)
+    deferred = tables["deferred_head"].select(
+        F.lit("deferred").alias("part"), "donor_id", "txn_id", F.lit(None).cast("bigint").alias("donate_times"), "fst_donation_age"
+    )
+    lapse = tables["lapse_preview"].select(F.lit("lapse"), "donor_id", "txn_id", "donate_times", "fst_donation_age")
+    return deferred.union(lapse)

@@ -48,6 +48,21 @@ def distinct_values(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*columns).distinct()
 
 
+def edge(i: Column, lo: Column, hi: Column, bins: int) -> Column:
+    """Lower edge of bin ``i``."""
+    return i * ((hi - lo) / bins) + lo
+
+
+def bin_of(x: Column, lo: Column, hi: Column, bins: int) -> Column:
+    """The bin whose edges hold x: rounding may put one that lies on an edge into the bin beside it."""
+    guess = F.least(F.floor((x - lo) / (hi - lo) * bins), F.lit(bins - 1)).cast("int")
+    return (
+        F.when(x < edge(guess, lo, hi, bins), guess - 1)
+        .when((guess < bins - 1) & (x >= edge(guess + 1, lo, hi, bins)), guess + 1)
+        .otherwise(guess)
+    )
+
+
 def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
     """Equal-width bins from min to max, the last one closed: (bin, lo, hi, n).
 
@@ -65,23 +80,9 @@ def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
     bounds = bounds.select(
         F.struct((F.col("lo") - half).alias("lo"), (F.col("hi") + half).alias("hi"), "total").alias("b")
     )
-    share = (F.col("_x") - F.col("_b.lo")) / (F.col("_b.hi") - F.col("_b.lo"))
-    width = (F.col("_b.hi") - F.col("_b.lo")) / bins
-
-    def edge(i: Column) -> Column:
-        return i * width + F.col("_b.lo")
-
-    # Rounding may put a value that lies on an edge into the bin beside it; the edges decide.
-    guess = F.col("_guess")
-    settled = (
-        F.when(F.col("_x") < edge(guess), guess - 1)
-        .when((guess < bins - 1) & (F.col("_x") >= edge(guess + 1)), guess + 1)
-        .otherwise(guess)
-    )
     filled = (
         counted.withColumn("_b", bounds.scalar())
-        .withColumn("_guess", F.least(F.floor(share * bins), F.lit(bins - 1)).cast("int"))
-        .withColumn("bin", settled)
+        .withColumn("bin", bin_of(F.col("_x"), F.col("_b.lo"), F.col("_b.hi"), bins))
         .groupBy("bin")
         .agg(F.sum("_w").alias("n"))
     )
@@ -93,13 +94,44 @@ def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
         .where(F.col("_b.total") > 0)
         .select(
             "bin",
-            edge(F.col("bin")).alias("lo"),
-            edge(F.col("bin") + 1).alias("hi"),
+            edge(F.col("bin"), F.col("_b.lo"), F.col("_b.hi"), bins).alias("lo"),
+            edge(F.col("bin") + 1, F.col("_b.lo"), F.col("_b.hi"), bins).alias("hi"),
             F.coalesce("n", F.lit(0)).alias("n"),
         )
     )
 
 
+def histograms(df: DataFrame, series: str, value: str, bins: int) -> DataFrame:
+    """A histogram for each series, as ``histogram`` makes it: (series, bin, lo, hi, n).
+
+    The rows are read and counted once for all series; a series held by most rows arrives as one row per
+    distinct value and task. Bounds and bins share the exchange of those counts. A null series is one of its own,
+    and one without values has no rows.
+    """
+    counted = df.where(F.col(value).isNotNull()).groupBy(
+        F.col(series).alias("_series"), F.col(value).cast("double").alias("_x")
+    ).agg(F.count(F.lit(1)).alias("_w"))
+    # The counts' total keeps this plan equal to the one below, so that one exchange serves both.
+    ranges = counted.groupBy("_series").agg(F.min("_x").alias("lo"), F.max("_x").alias("hi"), F.sum("_w").alias("_all"))
+    half = F.when(F.col("lo") == F.col("hi"), 0.5).otherwise(0.0)
+    ranges = ranges.select(F.col("_series").alias("_of"), (F.col("lo") - half).alias("_lo"), (F.col("hi") + half).alias("_hi"))
+    filled = (
+        counted.join(ranges, F.col("_series").eqNullSafe(F.col("_of")))
+        .withColumn("_bin", bin_of(F.col("_x"), F.col("_lo"), F.col("_hi"), bins))
+        .groupBy("_series", "_bin")
+        .agg(F.sum("_w").alias("n"))
+    )
+    every = ranges.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    same = F.col("_of").eqNullSafe(F.col("_series")) & (F.col("bin") == F.col("_bin"))
+    return every.join(filled, same, "left").select(
+        F.col("_of").alias(series),
+        "bin",
+        edge(F.col("bin"), F.col("_lo"), F.col("_hi"), bins).alias("lo"),
+        edge(F.col("bin") + 1, F.col("_lo"), F.col("_hi"), bins).alias("hi"),
+        F.coalesce("n", F.lit(0)).alias("n"),
+    )
+
+
 def sort_lines(df: DataFrame, line: str = "value", tie: str | None = None) -> DataFrame:
     """Global text order.
 

@@ -43,11 +43,14 @@ def hot_keys(df: DataFrame, key: str, per_slice: int) -> DataFrame | None:
     return remembered(df, ("hot", key, per_slice), find)
 
 
-def split(df: DataFrame, hot: DataFrame, key: str, *order: Column, per_slice: int) -> tuple[DataFrame, DataFrame]:
-    """The rows of ordinary keys with ``_slice`` 0, and those of hot keys with 1, 2, ... in the given order."""
-    (number,) = fresh(df.columns, "_number")
-    is_hot = F.col(key).eqNullSafe(F.col("_p"))
-    cold = df.join(hot, is_hot, "left_anti").withColumn(SLICE, F.lit(0).cast("long"))
+def split(
+    df: DataFrame, hot: DataFrame, key: str, *order: Column, per_slice: int, name: str = SLICE
+) -> tuple[DataFrame, DataFrame]:
+    """The rows of ordinary keys with slice 0, and those of hot keys with 1, 2, ... in the given order."""
+    number, own = fresh([*df.columns, name], "_number", "_p")
+    hot = hot.withColumnRenamed("_p", own)
+    is_hot = F.col(key).eqNullSafe(F.col(own))
+    cold = df.join(hot, is_hot, "left_anti").withColumn(name, F.lit(0).cast("long"))
     placed = numbered(df.join(hot, is_hot, "left_semi"), F.col(key), *order, name=number)
     place = F.floor((F.col(number) - 1) / per_slice).cast("long") + 1
-    return cold, placed.withColumn(SLICE, place).drop(number)
+    return cold, placed.withColumn(name, place).drop(number)
