@@ -140,7 +140,7 @@ def fit_all(
     ks: Iterable[int],
     iterations: int,
     seed: int = DEFAULT_SEED,
-    start_steps: int = 2,
+    start_steps: int = 1,
     tolerance: float = 1e-4,
 ) -> dict[int, Fit]:
     """A fit for each k; every pass over the vectors serves all of them."""
@@ -152,7 +152,7 @@ def fit(
     k: int,
     iterations: int,
     seed: int = DEFAULT_SEED,
-    start_steps: int = 2,
+    start_steps: int = 1,
     tolerance: float = 1e-4,
 ) -> Fit:
     """Weighted k-means over the vectors, the same way for every size and k (see ``kmeans``)."""
@@ -195,7 +195,7 @@ def sweep(
     ks: Iterable[int] = range(15, 31),
     iterations: int = 10,
     seed: int = DEFAULT_SEED,
-    start_steps: int = 2,
+    start_steps: int = 1,
     tolerance: float = 1e-4,
 ) -> DataFrame:
     """(k, n_centers, wssse, centers) for each k; every pass over the vectors serves all of them."""

@@ -9,10 +9,11 @@ possible term, and the multiples are added as decimals, which is the same in any
 All fits share each pass: centers are keyed by (k, cluster), and one aggregate over the vectors gives
 the sums of every fit that has not settled. What reaches the driver is one row per center.
 
-The start takes ``start_steps`` rounds; each adds the 2 k vectors that win a race weighted by their share of
-the cost (weighted sampling without replacement), so more than k candidates are found in the first round
-wherever there are that many distinct vectors. The candidates, weighted by the vectors nearest to them,
-are then reduced to k by the same race, one at a time, and moved over the candidates until they rest.
+The start takes ``start_steps`` rounds; each adds the ``PICKS`` k vectors that win a race weighted by their
+share of the cost (weighted sampling without replacement), so more than k candidates are found in the first
+round wherever there are that many distinct vectors. The candidates, weighted by the vectors nearest to them,
+are then reduced to k by the same race, one at a time, and moved over the candidates until they rest; the
+better they stand for all vectors, the fewer passes over the vectors follow.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from pyspark.sql import functions as F
 from visitwise.operators.names import fresh
 
 Centers = list[list[float]]
+# Vectors that a round of the start adds for each center asked for.
+PICKS = 20
 
 
 @dataclass(frozen=True)
@@ -123,10 +126,10 @@ def time_of(share: str, seed: int, turn: int, k: str = "k") -> str:
 
 
 def winners(rows: DataFrame, share: str, seed: int, turn: int, most: int) -> dict[int, Centers]:
-    """The 2 k vectors of each fit that win the race; ``most`` is the largest 2 k."""
+    """The ``PICKS`` k vectors of each fit that win the race; ``most`` is the largest such number."""
     order = Window.partitionBy("k").orderBy("time", "x")
     raced = rows.select("k", "x", F.expr(time_of(share, seed, turn)).alias("time"))
-    first = raced.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).where("place <= 2 * k")
+    first = raced.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).where(F.col("place") <= PICKS * F.col("k"))
     found: dict[int, list] = {}
     for row in first.select("k", "place", "x").collect():
         found.setdefault(row["k"], []).append((row["place"], list(row["x"])))
@@ -182,7 +185,7 @@ def start(vectors: DataFrame, first: dict[int, Centers], seed: int, steps: int,
     for turn in range(1, steps + 1):
         rows = keyed(vectors, candidates).select("k", "x", "w", F.expr(NEAREST).alias("nearest"))
         away = rows.where("nearest.distance > 0")
-        more = winners(away, "w * nearest.distance", seed, turn, 2 * max(candidates))
+        more = winners(away, "w * nearest.distance", seed, turn, PICKS * max(candidates))
         candidates = {k: held + more.get(k, []) for k, held in candidates.items()}
     out = {}
     for k, sums in totals(vectors, candidates, units).items():
@@ -210,7 +213,7 @@ def moved(centers: Centers, sums: dict[int, tuple]) -> Centers:
 
 
 def fit_all(
-    vectors: DataFrame, ks: Iterable[int], iterations: int, seed: int, start_steps: int = 2, tolerance: float = 1e-4
+    vectors: DataFrame, ks: Iterable[int], iterations: int, seed: int, start_steps: int = 1, tolerance: float = 1e-4
 ) -> dict[int, Fit]:
     """A fit for each k over (x array<double>, w double) with distinct x, kept in memory meanwhile.
 
