@@ -7,7 +7,7 @@ from visitwise.llm import (  # noqa: F401
     mixing,
     negatives,
     neighbours,
-    paragraphs,
+    passages,
     quality,
     repetition,
     resampling,

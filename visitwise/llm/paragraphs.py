@@ -35,12 +35,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from visitwise.llm.common import table
 from visitwise.llm.components import components
-from visitwise.llm.registry import query
 from visitwise.llm.repetition import mix
 from visitwise.sources.workspace import stage
 
@@ -67,7 +65,7 @@ class Settings:
     filter_bits: int = 27
 
 
-#: What the query and the pipeline use.
+#: Lines and the runs of shorter ones.
 WHOLE = Settings(blocks=True)
 
 
@@ -470,18 +468,3 @@ def remove_repeated_passages(docs: DataFrame, settings: Settings = WHOLE) -> Dat
         length = F.char_length("text").cast("long")
         cut = cut.withColumn("n_chars", F.when(F.col("_cut") == 0, F.col("n_chars")).otherwise(length))
     return cut.select(*docs.columns)
-
-
-@query("op1_paragraphs")
-def op1_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: lines of its text, lines removed, which and after which document, words cut besides, and the text left."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    lines = _joined(docs, WHOLE).select(
-        "doc_id",
-        F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_removed"), F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce("_removed", F.array().cast("array<struct<line:int,first_doc:bigint>>")).alias("removed"),
-        F.col("_kept_text").alias("text"),
-    )
-    cut = cut_repeated_passages(stage(lines, "paragraphs-removed"), WHOLE)
-    return cut.select("doc_id", "n_lines", "n_removed", "removed", F.col("_cut").alias("n_words_cut"), "text")
