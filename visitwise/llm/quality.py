@@ -18,7 +18,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -212,13 +211,13 @@ def keep_accepted(docs: DataFrame, net: Network | None) -> DataFrame:
     """The rows whose score reaches the threshold, columns unchanged; all rows if nothing could be learned."""
     if net is None:
         return docs
-    threshold = net.settings.threshold
+    threshold, place = net.settings.threshold, docs.columns.index("text")
 
-    @F.pandas_udf("boolean")
-    def accepted(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: net.score(t) >= threshold)
+    def accepted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([net.score(t.as_py()) >= threshold for t in batch.column(place)], pa.bool_()))
 
-    return docs.where(accepted("text"))
+    return docs.mapInArrow(accepted, docs.schema)
 
 
 @query("op8_quality")

@@ -19,18 +19,19 @@ component_id.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from visitwise.llm.common import table
 from visitwise.llm.components import components
 from visitwise.llm.registry import query
+from visitwise.operators.names import fresh
 from visitwise.sources.workspace import stage
 
 SHINGLE = 4
@@ -62,15 +63,26 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int.from_bytes(bits.tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id, print (the 64 bits as a signed long)."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, marks: Sequence[Column] = ()) -> DataFrame:
+    """doc_id, print (the 64 bits as a signed long), and mark_0, mark_1, ...: longs that tell rows apart."""
+    names = [f"mark_{i}" for i in range(len(marks))]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = np.array([fingerprint(t.as_py(), shingle, seed) for t in batch.column(1)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "print"])
+            columns = [batch.column(0), pa.array(prints.view(np.int64)), *batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "print", *names])
 
-    return docs.select("doc_id", "text").mapInArrow(apply, "doc_id bigint, print bigint")
+    marked = docs.select("doc_id", "text", *[mark.alias(name) for mark, name in zip(marks, names)])
+    return marked.mapInArrow(apply, ", ".join(f"{name} bigint" for name in ["doc_id", "print", *names]))
+
+
+def with_class(prints: DataFrame, radius: int) -> DataFrame:
+    """Fingerprints with ``class``: the smallest fingerprint of their component, as a signed long."""
+    linked = stage(links(prints, radius), "simhash-links")
+    roots = components(linked, "a", "b").select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+    placed = prints.join(roots, F.col("print") == F.col("_node"), "left")
+    return placed.select(*prints.columns, F.coalesce("_root", "print").alias("class"))
 
 
 def masks(bits: int, most: int) -> list[int]:
@@ -147,7 +159,7 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED) -> DataFrame:
-    """doc_id, fingerprint, component_id, n_links (links of the document's fingerprint to other ones)."""
+    """doc_id, fingerprint, component_id, n_links (links of the fingerprint in the chains that connect its class)."""
     prints = stage(fingerprints(docs, shingle, seed), "simhash")
     linked = stage(links(prints, radius), "simhash-links")
     roots = components(linked, "a", "b").select(F.col("node").alias("_node"), F.col("root").alias("_root"))
@@ -174,15 +186,21 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 def drop_near_duplicates(
     docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED
 ) -> DataFrame:
-    """The documents with the smallest id of their class, columns unchanged.
+    """One row of each class, columns unchanged: the one with the smallest id (no id comes last).
 
-    Repeated rows of one id are reduced to one; rows without an id cannot be told apart and stay.
+    Rows of one id with different texts are different documents. Among rows of one id and class a hash of the
+    text, then one of the whole row decides; of rows equal in every column one stays.
     """
-    classes = near_duplicates(docs, shingle, radius, seed)
-    stay = classes.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_stay")).distinct()
-    one = docs.dropDuplicates(["doc_id"])
-    one = one.join(stay, one["doc_id"] == stay["_stay"], "left_semi")
-    return one.union(docs.where(F.col("doc_id").isNull()))
+    text_mark, row_mark, text_own, row_own = fresh(docs.columns, "_text_mark", "_row_mark", "_text_own", "_row_own")
+    marks = [F.xxhash64(F.coalesce("text", F.lit(""))), F.xxhash64(*docs.columns)]
+    prints = stage(fingerprints(docs, shingle, seed, marks), "simhash")
+    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark_0", "mark_1")).alias("best")
+    stay = with_class(prints, radius).groupBy("class").agg(best)
+    stay = stage(stay.select(F.col("best.mark_0").alias(text_own), F.col("best.mark_1").alias(row_own)), "simhash-stay")
+    marked = docs.withColumns({text_mark: marks[0], row_mark: marks[1]})
+    same = (F.col(text_mark) == F.col(text_own)) & (F.col(row_mark) == F.col(row_own))
+    # The join's exchange by both marks serves the second step too.
+    return marked.join(stay, same, "left_semi").dropDuplicates([text_mark, row_mark]).select(*docs.columns)
 
 
 @query("op9_simhash")
