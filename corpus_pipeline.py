@@ -11,11 +11,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from visitwise.llm import bpe, mixing, paragraphs, quality, simhash
+from visitwise.llm import bpe, mixing, passages, quality, simhash
 from visitwise.llm.common import table
 from visitwise.sources.workspace import stage
 
-#: SQL has no convolution, no XXH64 and no BPE; the tests run each stage against a plain version.
+#: SQL has no convolution, no XXH64 and no BPE; the tests chain plain versions of the stages.
 ORACLE_SQL = None
 
 
@@ -25,13 +25,13 @@ def accept_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class stays: the one with the smallest id."""
+    """One row of each near-duplicate class stays: the one with the smallest id."""
     return simhash.drop_near_duplicates(docs)
 
 
 def remove_paragraphs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Paragraphs that an earlier document or line has, or nearly has, and repeated passages leave the texts."""
-    return paragraphs.remove_repeated_passages(docs)
+    """Paragraphs that stand, or nearly stand, earlier in the documents leave the texts."""
+    return passages.remove_repeated(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
