@@ -224,31 +224,56 @@ def repeated_units(docs: DataFrame, shared: DataFrame, settings: Settings) -> Da
     return _keyed(docs).mapInArrow(apply, PLACES)
 
 
+def candidate_groups(sets: DataFrame, settings: Settings) -> DataFrame:
+    """key, i, j, pid: the members of each key of two or more, keys with the same members once.
+
+    Members of a key above ``block`` are dealt over blocks; i and j name the two blocks that meet.
+    """
+    members = sets.select(F.explode("keys").alias("key"), "pid")
+    sizes = members.groupBy(F.col("key").alias("_key")).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.bit_xor(F.xxhash64("pid")).alias("_x"),
+        F.bit_xor(F.xxhash64("pid", F.lit(1))).alias("_y"),
+    )
+    chosen = sizes.where("_n > 1").groupBy("_n", "_x", "_y").agg(F.min("_key").alias("_key"))
+    parts = F.ceil(F.col("_n") / settings.block).cast("int")
+    dealt = members.join(chosen.select("_key", "_n"), F.col("key") == F.col("_key")).withColumns(
+        {"_own": F.pmod(F.xxhash64("pid"), parts).cast("int"), "_other": F.explode(F.sequence(F.lit(0), parts - 1))}
+    )
+    return dealt.select("key", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "pid")
+
+
 def unit_links(units: DataFrame, settings: Settings) -> DataFrame:
-    """a, b (digests): links enough to connect every class of near-equal paragraphs."""
+    """a, b (digests): links enough to connect every class of near-equal paragraphs.
+
+    Groups lie one behind the other in sorted partitions and are compared as they stream by, one at a time.
+    """
     sets = units.where(F.col("keys").isNotNull()).groupBy("pid").agg(
         F.first("keys").alias("keys"), F.first("shingles").alias("shingles")
     )
     sets = stage(sets, "unit-sets")
-    members = sets.select(F.explode("keys").alias("key"), "pid")
-    sizes = members.groupBy(F.col("key").alias("_key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    parts = F.ceil(F.col("n") / settings.block).cast("int")
-    dealt = members.join(sizes, F.col("key") == F.col("_key")).withColumns(
-        {"_own": F.pmod(F.xxhash64("pid"), parts).cast("int"), "_other": F.explode(F.sequence(F.lit(0), parts - 1))}
-    )
-    dealt = dealt.select("key", F.col("pid").alias("_pid"), F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"))
-
-    def compare(group: pa.Table) -> pa.Table:
-        group = group.sort_by("pid")
-        pids = group.column("pid").to_pylist()
-        held = [np.frombuffer(s, dtype=np.uint64) for s in group.column("shingles").to_pylist()]
-        found = similar(held, settings.similarity)
-        return pa.table(
-            {"a": pa.array([pids[i] for i, _, _ in found], pa.binary()), "b": pa.array([pids[j] for _, j, _ in found], pa.binary())}
-        )
-
-    joined = dealt.join(sets.select("pid", "shingles"), F.col("_pid") == F.col("pid")).select("key", "i", "j", "pid", "shingles")
-    return joined.groupBy("key", "i", "j").applyInArrow(compare, "a binary, b binary")
+    groups = candidate_groups(sets, settings).join(sets.select(F.col("pid").alias("_pid"), "shingles"), F.col("pid") == F.col("_pid"))
+    laid = groups.select("key", "i", "j", "pid", "shingles").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "pid")
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, pids, held = None, [], []
+        for batch in batches:
+            a, b = [], []
+            names = list(zip(*(batch.column(c).to_pylist() for c in range(4))))
+            for (*place, pid), shingles in zip(names, batch.column(4)):
+                if place != group:
+                    for i, j, _ in similar(held, settings.similarity) if len(held) > 1 else ():
+                        a.append(pids[i])
+                        b.append(pids[j])
+                    group, pids, held = place, [], []
+                pids.append(pid)
+                held.append(np.frombuffer(shingles.as_py(), dtype=np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+        found = similar(held, settings.similarity) if len(held) > 1 else ()
+        a, b = [pids[i] for i, _, _ in found], [pids[j] for _, j, _ in found]
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+    return laid.mapInArrow(compared, "a binary, b binary")
 
 
 def repeated_spans(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
