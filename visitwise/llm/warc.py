@@ -15,6 +15,7 @@ another page with the same payload has an id. Extra columns are not archived.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import urllib.parse
 import uuid
@@ -52,10 +53,39 @@ class Record:
 
 
 def _fields(text: bytes) -> tuple[str, dict[str, str]]:
-    first, *lines = text.decode("utf-8").split("\r\n")
+    # A byte that is not UTF-8 spoils its own field only.
+    first, *lines = text.decode("utf-8", "replace").split("\r\n")
     return first, {k.lower(): v.strip() for k, _, v in (line.partition(":") for line in lines if line)}
 
 
+def _needed(fields: dict[str, str], name: str) -> str:
+    if name not in fields:
+        raise BadArchive(f"a record has no {name}")
+    return fields[name]
+
+
+def _size(text: str) -> int:
+    if not (text.isascii() and text.isdigit()):
+        raise BadArchive(f"not a length: {text[:20]!r}")
+    return int(text)
+
+
+#: The digest algorithms that are verified; others are taken as they are.
+ALGORITHMS = ("md5", "sha1", "sha256", "sha512")
+
+
+def _hasher(declared: str):
+    """The algorithm a digest field names, or None."""
+    name = declared.partition(":")[0].strip().lower().replace("-", "")
+    return hashlib.new(name) if name in ALGORITHMS else None
+
+
+def _holds(declared: str, hasher) -> bool:
+    """Whether the digest is the declared one, written in hexadecimal or base 32."""
+    value, found = declared.partition(":")[2].strip(), hasher.digest()
+    return value.lower() == found.hex() or value.upper().rstrip("=") == base64.b32encode(found).decode().rstrip("=")
+
+
 def _sha256(data: bytes) -> str:
     return f"sha256:{hashlib.sha256(data).hexdigest()}"
 
@@ -127,26 +157,36 @@ class Records:
         version, fields = _fields(bytes(head[:cut]))
         if not version.startswith("WARC/"):
             raise BadArchive(f"not a WARC record: {version[:20]!r}")
-        size = int(fields["content-length"])
+        _needed(fields, "warc-type")
+        size = _size(_needed(fields, "content-length"))
         body = bytearray(head[cut + len(END) :])
-        digest = hashlib.sha256(body[:size])
+        declared = fields.get("warc-block-digest", "")
+        hasher = _hasher(declared)
+        if hasher:
+            hasher.update(body[:size])
         for piece in member:
             missing = size - len(body)
-            if missing > 0:
-                digest.update(piece[:missing])
+            if hasher and missing > 0:
+                hasher.update(piece[:missing])
             body += piece
+            if len(body) > size + len(END):
+                break
         if len(body) != size + len(END) or body[size:] != END:
             raise BadArchive("a block does not have its Content-Length")
-        if fields.get("warc-block-digest", f"sha256:{digest.hexdigest()}") != f"sha256:{digest.hexdigest()}":
+        if hasher and not _holds(declared, hasher):
             raise BadArchive("a block digest is wrong")
         record = Record(fields, bytes(body[:size]))
         if "application/http" in fields.get("content-type", ""):
             http, _, record.payload = record.block.partition(END)
             _, record.http = _fields(http)
             if fields["warc-type"] == "response":
-                if fields.get("warc-payload-digest", "") not in ("", _sha256(record.payload)):
-                    raise BadArchive("a payload digest is wrong")
-                if int(record.http.get("content-length", len(record.payload))) != len(record.payload):
+                declared = fields.get("warc-payload-digest", "")
+                hasher = _hasher(declared)
+                if hasher:
+                    hasher.update(record.payload)
+                    if not _holds(declared, hasher):
+                        raise BadArchive("a payload digest is wrong")
+                if _size(record.http.get("content-length", str(len(record.payload)))) != len(record.payload):
                     raise BadArchive("a payload does not have its Content-Length")
         return record
 
@@ -215,7 +255,7 @@ def read_archives(spark: SparkSession, folder: str, manifest: DataFrame | None =
 
     def page_of(urn: str | None) -> int | None:
         found = (urn or "").strip("<>").rpartition(":")[2]
-        return int(found) if found.lstrip("-").isdigit() else None
+        return int(found) if found.isascii() and found.removeprefix("-").isdigit() else None
 
     def rows(file: str, content: memoryview) -> Iterator[tuple]:
         try:
@@ -228,7 +268,7 @@ def read_archives(spark: SparkSession, folder: str, manifest: DataFrame | None =
                     fields["warc-type"],
                     page_of(fields.get("warc-refers-to")),
                     fields.get("warc-payload-digest", "").rpartition(":")[2],
-                    int(record.http.get("content-length", len(record.payload))),
+                    _size(record.http.get("content-length", str(len(record.payload)))),
                     record.payload,
                     None,
                 )
