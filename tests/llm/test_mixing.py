@@ -60,3 +60,12 @@ def test_taken_words_come_near_targets(spark, sf_dir):
     rows = mixing.op6_mixing(spark, sf_dir).groupBy("source_size", "target").sum("taken", "size").collect()
     taken, target = sum(r["sum(taken)"] for r in rows), sum(r["target"] for r in rows)
     assert taken == pytest.approx(target, rel=0.15)
+
+
+def test_columns_named_like_the_helpers(spark):
+    rows = [(i, "w " * (i % 7), f"s{i % 3}", i, "x") for i in range(60)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, source string, a int, b string")
+    clash = plain.withColumnsRenamed({"a": "_mix_rate", "b": "_mix_source"})
+    got = mixing.mix(clash)
+    assert got.columns == clash.columns
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, mixing.mix(plain).collect()))

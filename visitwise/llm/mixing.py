@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from visitwise.llm.common import table, word_count
 from visitwise.llm.registry import query
+from visitwise.operators.names import fresh
 from visitwise.sources.workspace import stage
 
 WEIGHTS = (5, 2, 1)
@@ -89,13 +90,14 @@ def mix(
     sizes = docs.select("source", word_count().alias("size"))
     targets = stage(source_targets(sizes, weights, budget, cap), "mix-targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rates = targets.select(F.col("_source").alias("_mix_source"), rate.alias("_mix_rate"))
-    extra = coin("doc_id", seed) < F.col("_mix_rate") - F.floor("_mix_rate")
-    copies = F.floor("_mix_rate") + extra.cast("long")
+    origin, share, copy = fresh(docs.columns, "_mix_source", "_mix_rate", "_mix_copy")
+    rates = targets.select(F.col("_source").alias(origin), rate.alias(share))
+    extra = coin("doc_id", seed) < F.col(share) - F.floor(share)
+    copies = F.floor(share) + extra.cast("long")
     return (
-        docs.join(rates, docs["source"].eqNullSafe(rates["_mix_source"]))
+        docs.join(rates, F.col("source").eqNullSafe(F.col(origin)))
         .where(copies > 0)
-        .withColumn("_mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
+        .withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), copies)))
         .select(*docs.columns)
     )
 
