@@ -245,6 +245,30 @@ def test_bpe(docs):
         assert row["ids_sha256"] in digests
 
 
+def test_bpe_parts_keep_the_matches():
+    cutter = bpe.Cutter(bpe.Vocabulary.load().pattern)
+    rng = np.random.default_rng(5)
+    signs = ["a", "É", "7", "'s", "-", " ", " ", "  ", "\n", "\t", "\x1c", "\x85", "\u00a0", "\u3000", "\u0301", "\U0001f600"]
+    for size in [0, 1, 2, 3] * 300 + [40] * 1500:
+        text = "".join(rng.choice(signs, size))
+        head, later = cutter.parts(text)
+        assert cutter.find(head) + [word for part in later for word in cutter.matches(part)] == cutter.find(text)
+    other = bpe.Cutter(r"\S+ \S+|\s+|\S+")
+    assert other.parts("a b c d") == ("a b c d", [])
+
+
+def test_bpe_fold_and_long_words(spark):
+    vocabulary = bpe.Vocabulary.load()
+    plain_bpe = tiktoken.Encoding("plain", pat_str=vocabulary.pattern, mergeable_ranks=vocabulary.ranks, special_tokens={})
+    rng = np.random.default_rng(8)
+    words = ["a", "é", "aa", "東京", "\U0001f600\U0001f600"]
+    words += ["".join(rng.choice(list(letters), n)) for letters in ("a", "ab", "etaoinshrdluéß東") for n in (2, 5, 17, 80, 240, 300)]
+    docs = spark.createDataFrame(list(enumerate(words + [" ".join(words)])), "doc_id long, text string")
+    for few in (bpe.Settings(dictionary_words=0), bpe.Settings(fold_bytes=8), bpe.Settings(remembered_parts=2)):
+        for row in bpe.encode(docs, vocabulary, few).join(docs, "doc_id").collect():
+            assert row["ids"] == plain_bpe.encode_ordinary(row["text"])
+
+
 def test_bpe_long_matches():
     vocabulary = bpe.Vocabulary.load()
     plain_bpe = tiktoken.Encoding("plain", pat_str=vocabulary.pattern, mergeable_ranks=vocabulary.ranks, special_tokens={})

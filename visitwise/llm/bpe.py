@@ -1,9 +1,13 @@
 """Byte-level BPE: encoding by ranked merges, decoding by joining the pieces.
 
 A text is cut by the pattern; a match that is itself a token is ready. Others are folded:
-a higher-order function walks an array of token numbers, each step merging the first pair
-with the lowest rank, which it finds in a literal map from pairs to ranks (kept as an array
-of small maps, as a lookup in one large map compares its keys one by one).
+a higher-order function walks an array of token numbers and one of the ranks of neighbours,
+each step merging the first pair with the lowest rank and looking up the two pairs that this
+makes in a literal map from pairs to ranks (kept as an array of small maps, as a lookup in one
+large map compares its keys one by one).
+
+The public pattern never looks across a single space between two other characters, so a text is
+first split there, and what a split part is cut into is remembered. Other patterns cut whole texts.
 
 Folding happens once per distinct word: for the words that occur often in the corpus, found
 by counting them all, once for all documents (at most ``dictionary_words``, shipped to the
@@ -23,6 +27,7 @@ import hashlib
 import heapq
 import json
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -43,13 +48,16 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 NONE = 2**31 - 1
 # Placeholder of a word that is folded later; never a token number.
 LATER = np.uint32(2**32 - 1)
+# A space without white space beside it; what Python calls white space includes what the pattern does.
+LONE_SPACE = re.compile(r" (?!\s)(?<!\s )")
 
 
 @dataclass(frozen=True)
 class Settings:
     dictionary_words: int = 400_000
-    fold_bytes: int = 64
+    fold_bytes: int = 256
     counted_words: int = 100_000
+    remembered_parts: int = 100_000
     map_buckets: int = 1 << 15
 
 
@@ -117,6 +125,27 @@ class Vocabulary:
         return out
 
 
+class Cutter:
+    """Cuts texts into the pattern's matches, by way of parts that repeat."""
+
+    def __init__(self, pattern: str):
+        self.find = regex.compile(pattern).findall
+        self.by_spaces = pattern == public_tokenizers.PATTERN
+
+    def parts(self, text: str) -> tuple[str, list[str]]:
+        """The head, and the later parts without the space that each begins with.
+
+        Head and parts are cut independently: their matches, in order, are those of the text.
+        """
+        if not self.by_spaces:
+            return text, []
+        head, *later = LONE_SPACE.split(text)
+        return head, later
+
+    def matches(self, part: str) -> list[str]:
+        return self.find(" " + part)
+
+
 def _let(value: Column, body) -> Column:
     """``body`` of a value that is computed once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -138,45 +167,67 @@ def fold(word: Column, vocabulary: Vocabulary, settings: Settings = Settings())
         place = (place - (1 << 64) if place >> 63 else place) % buckets
         maps[place]["k"].append(key)
         maps[place]["r"].append(rank)
-    rank_map = _literal(maps, "array<struct<k:array<bigint>,r:array<int>>>")
-    single = _literal([vocabulary.ranks[bytes([b])] for b in range(256)], "array<int>")
+    rank_literal = _literal(maps, "array<struct<k:array<bigint>,r:array<int>>>")
+    ranks = vocabulary.ranks
+    single = _literal([ranks[bytes([b])] for b in range(256)], "array<int>")
     data = F.encode(word, "UTF-8")
-    start = F.transform(
-        F.sequence(F.lit(1), F.octet_length(word)),
-        lambda i: F.get(single, F.conv(F.hex(data.substr(i, F.lit(1))), 16, 10).cast("int")),
-    )
 
-    def rank_of(left: Column, right: Column) -> Column:
-        def found(key: Column) -> Column:
-            def ranked(part: Column) -> Column:
-                return F.coalesce(F.get(part["r"], F.array_position(part["k"], key).cast("int") - 1), F.lit(NONE))
+    def number(at: Column) -> Column:
+        return F.get(single, F.conv(F.hex(data.substr(at, F.lit(1))), 16, 10).cast("int"))
+
+    # Bound once, as each mention of a literal of this size adds to the planning.
+    def folded(rank_map: Column) -> Column:
+        def rank_of(left: Column, right: Column) -> Column:
+            """Null numbers, which lie beyond the word's ends, have no rank."""
 
-            return _let(F.get(rank_map, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")), ranked)
+            def found(key: Column) -> Column:
+                def ranked(part: Column) -> Column:
+                    return F.coalesce(F.get(part["r"], F.array_position(part["k"], key).cast("int") - 1), F.lit(NONE))
 
-        return _let(left.cast("long") * F.lit(width) + right.cast("long"), found)
+                return _let(F.get(rank_map, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")), ranked)
+
+            return _let(left.cast("long") * F.lit(width) + right.cast("long"), found)
+
+        # ids[i] and ids[i + 1] have the rank ranks[i + 1]; the first and the last rank stand for the word's ends.
+        def begin(ids: Column) -> Column:
+            shifted = F.concat(F.array(F.lit(None).cast("int")), ids)
+            # The longer array makes the last pair one with null.
+            return F.struct(ids.alias("ids"), F.zip_with(shifted, ids, rank_of).alias("ranks"))
+
+        start = _let(F.transform(F.sequence(F.lit(1), F.octet_length(word)), number), begin)
+
+        def step(state: Column, _: Column) -> Column:
+            ids, ranks = state["ids"], state["ranks"]
 
-    def step(ids: Column, _: Column) -> Column:
-        def merged(ranks: Column) -> Column:
             def at(lowest: Column) -> Column:
                 def joined(place: Column) -> Column:
-                    return F.concat(
-                        F.slice(ids, F.lit(1), place - 1), F.array(lowest), F.slice(ids, place + 2, F.size(ids))
+                    return F.struct(
+                        F.concat(
+                            F.slice(ids, F.lit(1), place - 2),
+                            F.array(lowest),
+                            F.slice(ids, place + 1, F.size(ids)),
+                        ).alias("ids"),
+                        F.concat(
+                            F.slice(ranks, F.lit(1), place - 2),
+                            F.zip_with(
+                                F.array(F.get(ids, place - 3), lowest), F.array(lowest, F.get(ids, place)), rank_of
+                            ),
+                            F.slice(ranks, place + 2, F.size(ranks)),
+                        ).alias("ranks"),
                     )
 
                 place = F.array_position(ranks, lowest).cast("int")
-                return F.when(lowest == NONE, ids).otherwise(_let(place, joined))
+                return F.when(lowest == NONE, state).otherwise(_let(place, joined))
 
             return _let(F.array_min(ranks), at)
 
-        rest = F.size(ids) - 1
-        ranks = F.zip_with(F.slice(ids, F.lit(1), rest), F.slice(ids, F.lit(2), rest), rank_of)
-        return F.when(rest < 1, ids).otherwise(_let(ranks, merged))
+        # A word of n bytes has at most n - 1 merges.
+        turns = F.when(F.octet_length(word) > 1, F.sequence(F.lit(2), F.octet_length(word))).otherwise(
+            F.array().cast("array<int>")
+        )
+        return F.aggregate(turns, start, step, lambda state: state["ids"])
 
-    # A word of n bytes has at most n - 1 merges.
-    turns = F.when(F.octet_length(word) > 1, F.sequence(F.lit(2), F.octet_length(word))).otherwise(
-        F.array().cast("array<int>")
-    )
-    return F.aggregate(turns, start, step)
+    return _let(rank_literal, folded)
 
 
 def word_counts(docs: DataFrame, vocabulary: Vocabulary, settings: Settings = Settings()) -> DataFrame:
@@ -186,23 +237,31 @@ def word_counts(docs: DataFrame, vocabulary: Vocabulary, settings: Settings = Se
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pattern, ready = known.value
-        find = regex.compile(pattern).findall
+        cutter = Cutter(pattern)
+        heads: Counter[str] = Counter()
         counts: Counter[str] = Counter()
 
         def flushed() -> pa.RecordBatch:
+            found = heads.copy()
+            for part, n in counts.items():
+                for word in cutter.matches(part):
+                    found[word] += n
             kept = []
-            for word, n in counts.items():
+            for word, n in found.items():
                 raw = word.encode("utf-8", "surrogatepass")
                 if len(raw) <= settings.fold_bytes and raw not in ready:
                     kept.append((word, n))
             words, ns = zip(*kept) if kept else ((), ())
             counts.clear()
+            heads.clear()
             return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(ns, pa.int64())], ["word", "n"])
 
         for batch in batches:
             for text in batch.column(0):
-                counts.update(find(text.as_py() or ""))
-                if len(counts) > settings.counted_words:
+                head, parts = cutter.parts(text.as_py() or "")
+                heads.update(cutter.find(head))
+                counts.update(parts)
+                if len(heads) + len(counts) > settings.counted_words:
                     yield flushed()
         yield flushed()
 
@@ -278,7 +337,7 @@ def encode(
         """doc_id, known, rare, at: numbers with placeholders, words still to fold, and which goes where."""
         ranks, pattern, folded = common.value
         whole = Vocabulary(ranks, pattern)
-        find = regex.compile(pattern).findall
+        cutter = Cutter(pattern)
         memo: dict[str, bytes] = {}
         gap = LATER.tobytes()
         for batch in batches:
@@ -286,18 +345,31 @@ def encode(
             for text in batch.column(1):
                 rare: dict[str, int] = {}
                 at: list[int] = []
-                parts = []
-                for word in find(text.as_py() or ""):
-                    part = folded.get(word) or memo.get(word)
+
+                def numbers(word: str) -> bytes:
+                    part = folded.get(word)
                     if part is None:
                         raw = word.encode("utf-8", "surrogatepass")
                         if raw in ranks:
-                            part = memo[word] = int(ranks[raw]).to_bytes(4, "little")
+                            part = int(ranks[raw]).to_bytes(4, "little")
                         elif len(raw) > settings.fold_bytes:
                             part = np.array(whole.merge_long(raw), dtype="<u4").tobytes()
                         else:
                             at.append(rare.setdefault(word, len(rare)))
                             part = gap
+                    return part
+
+                head, later = cutter.parts(text.as_py() or "")
+                parts = [numbers(word) for word in cutter.find(head)]
+                for unit in later:
+                    part = memo.get(unit)
+                    if part is None:
+                        gaps = len(at)
+                        part = b"".join(map(numbers, cutter.matches(unit)))
+                        if len(at) == gaps and len(unit) <= 64:
+                            if len(memo) >= settings.remembered_parts:
+                                memo.clear()
+                            memo[unit] = part
                     parts.append(part)
                 knowns.append(b"".join(parts))
                 rares.append(list(rare))
@@ -321,13 +393,17 @@ def encode(
                 ids = np.frombuffer(known.as_py(), dtype="<u4")
                 gaps = np.flatnonzero(ids == LATER)
                 if len(gaps):
-                    words = rare.as_py()
-                    which = np.frombuffer(at.as_py(), dtype=np.int32).tolist()
-                    extra = np.concatenate([words[i] for i in which]).astype(np.uint32)
+                    which = np.frombuffer(at.as_py(), dtype=np.int32)
+                    sizes = rare.values.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                    starts = (np.cumsum(sizes) - sizes)[which]
+                    sizes = sizes[which]
+                    ends = np.cumsum(sizes)
+                    taken = np.arange(ends[-1]) + np.repeat(starts - ends + sizes, sizes)
                     lengths = np.ones(len(ids), dtype=np.int64)
-                    lengths[gaps] = [len(words[i]) for i in which]
+                    lengths[gaps] = sizes
                     spread = np.repeat(ids, lengths)
-                    spread[np.repeat(ids == LATER, lengths)] = extra
+                    flat = rare.values.flatten().to_numpy(zero_copy_only=False)
+                    spread[np.repeat(ids == LATER, lengths)] = flat[taken].astype(np.uint32)
                     ids = spread
                 rows.append(returns.row(ids, piece))
             if rows:
