@@ -1,20 +1,20 @@
 """Byte-level BPE: encoding by ranked merges, decoding by joining the pieces.
 
-A text is cut by the pattern; a match that is itself a token is ready. Others are folded:
-a higher-order function walks an array of token numbers and one of the ranks of neighbours,
-each step merging the first pair with the lowest rank and looking up the two pairs that this
-makes in a literal map from pairs to ranks (kept as an array of small maps, as a lookup in one
-large map compares its keys one by one).
+A text is cut by the pattern; a match that is itself a token is ready. Others are folded: a
+higher-order function walks a string with one character per token and one of the ranks of
+neighbours, each step merging the first pair with the lowest rank and looking up the two pairs
+that this makes in a literal table. A rank's character is that of the token it makes, so both
+strings change by cutting and joining only.
 
 The public pattern never looks across a single space between two other characters, so a text is
-first split there, and what a split part is cut into is remembered. Other patterns cut whole texts.
+first split there, and the distinct parts of many texts are cut together. Other patterns cut whole texts.
 
 Folding happens once per distinct word: for the words that occur often in the corpus, found
 by counting them all, once for all documents (at most ``dictionary_words``, shipped to the
-tasks), and for the others once in each document that has them. Which words are in the
-dictionary changes the speed only, never a result. Matches above ``fold_bytes`` bytes, where
-the fold's cost per step would add up, are merged with a heap instead. Nothing but word counts
-is shuffled; texts stay where they are read.
+tasks), and for the others once in each run of texts (``run_bytes``) that has them. Which words
+are in the dictionary, and how long runs are, changes the speed only, never a result. Matches above
+``fold_bytes`` bytes, where the fold's cost per step would add up, are merged with a heap instead.
+Nothing but word counts is shuffled; texts stay where they are read.
 
 Defined results: null and empty texts have no tokens and decode to nothing; repeated rows are
 encoded once each; extra columns are ignored. Special tokens do not exist here.
@@ -29,14 +29,13 @@ import json
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,11 +44,14 @@ from visitwise.llm.registry import query
 from visitwise.sources.workspace import stage
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-NONE = 2**31 - 1
-# Placeholder of a word that is folded later; never a token number.
-LATER = np.uint32(2**32 - 1)
+# Character of a pair that makes no token; above those of all ranks.
+NONE = chr(0x10FFFF)
+# Numbers from here on are places in a run's list of words to fold; never token numbers.
+LATER = 1 << 31
 # A space without white space beside it; what Python calls white space includes what the pattern does.
 LONE_SPACE = re.compile(r" (?!\s)(?<!\s )")
+WHITE = [chr(i) for i in range(1 << 16) if chr(i).isspace()]
+BESIDE_SPACE = [pair for white in WHITE for pair in {white + " ", " " + white}]
 
 
 @dataclass(frozen=True)
@@ -58,7 +60,7 @@ class Settings:
     fold_bytes: int = 256
     counted_words: int = 100_000
     remembered_parts: int = 100_000
-    map_buckets: int = 1 << 15
+    run_bytes: int = 4 << 20
 
 
 class Vocabulary:
@@ -139,12 +141,32 @@ class Cutter:
         """
         if not self.by_spaces:
             return text, []
-        head, *later = LONE_SPACE.split(text)
+        if any(pair in text for pair in BESIDE_SPACE):
+            head, *later = LONE_SPACE.split(text)
+        else:
+            head, *later = text.split(" ")
         return head, later
 
     def matches(self, part: str) -> list[str]:
         return self.find(" " + part)
 
+    def cut(self, parts: Iterable[str]) -> Iterator[tuple[str, list[str]]]:
+        """Each part with its matches.
+
+        Parts without white space are cut together: the match that begins with a space begins a part.
+        """
+        plain = []
+        for part in parts:
+            if part.split() == [part]:
+                plain.append(part)
+            else:
+                yield part, self.matches(part)
+        if plain:
+            found = self.find(" " + " ".join(plain))
+            starts = [i for i, word in enumerate(found) if word[0] == " "] + [len(found)]
+            for part, start, end in zip(plain, starts[:-1], starts[1:], strict=True):
+                yield part, found[start:end]
+
 
 def _let(value: Column, body) -> Column:
     """``body`` of a value that is computed once."""
@@ -155,79 +177,100 @@ def _literal(rows: list, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(rows, separators=(",", ":"))), kind)
 
 
-def fold(word: Column, vocabulary: Vocabulary, settings: Settings = Settings()) -> Column:
+def merge_table(pairs: dict[tuple[int, int], int]) -> tuple[dict[int, int], dict[int, int], dict[int, int]]:
+    """offsets, owners, ranks: rows of one left token, shifted until they do not meet.
+
+    The pair's rank is ranks[offsets[left] + right] if left owns that place, else the pair makes no token.
+    """
+    rows: dict[int, list[tuple[int, int]]] = {}
+    for (left, right), rank in pairs.items():
+        rows.setdefault(left, []).append((right, rank))
+    span = 1 << max(8, (4 * len(pairs)).bit_length())
+    taken = np.zeros(span + max((right for _, right in pairs), default=0) + 1, dtype=bool)
+    offsets: dict[int, int] = {}
+    owners: dict[int, int] = {}
+    ranks: dict[int, int] = {}
+    for left, row in sorted(rows.items(), key=lambda item: (-len(item[1]), item[0])):
+        rights = np.array([right for right, _ in row])
+        offset = left * 40503 % span
+        while taken[offset + rights].any():
+            offset = (offset + 7919) % span
+        taken[offset + rights] = True
+        offsets[left] = offset
+        for right, rank in row:
+            owners[offset + right] = left
+            ranks[offset + right] = rank
+    return offsets, owners, ranks
+
+
+def fold(word: Column, vocabulary: Vocabulary) -> Column:
     """Token numbers of one non-empty word, as array<int>."""
-    width = 1 << max(1, max(vocabulary.pieces).bit_length())
-    buckets = settings.map_buckets
-    maps: list[dict[str, list[int]]] = [{"k": [], "r": []} for _ in range(buckets)]
-    for (left, right), rank in vocabulary.pairs().items():
-        key = left * width + right
-        # The hash that Spark's xxhash64 gives for a long.
-        place = xxhash.xxh64_intdigest(key.to_bytes(8, "little"), 42)
-        place = (place - (1 << 64) if place >> 63 else place) % buckets
-        maps[place]["k"].append(key)
-        maps[place]["r"].append(rank)
-    rank_literal = _literal(maps, "array<struct<k:array<bigint>,r:array<int>>>")
-    ranks = vocabulary.ranks
-    single = _literal([ranks[bytes([b])] for b in range(256)], "array<int>")
-    data = F.encode(word, "UTF-8")
-
-    def number(at: Column) -> Column:
-        return F.get(single, F.conv(F.hex(data.substr(at, F.lit(1))), 16, 10).cast("int"))
+    # Characters of the tokens: all below the surrogates, or all above.
+    first = 1 if max(vocabulary.pieces) < 0xD7FF else 0xE000
 
-    # Bound once, as each mention of a literal of this size adds to the planning.
-    def folded(rank_map: Column) -> Column:
-        def rank_of(left: Column, right: Column) -> Column:
-            """Null numbers, which lie beyond the word's ends, have no rank."""
+    def char(number: int) -> str:
+        return chr(first + number)
+
+    def number(of: Column) -> Column:
+        return F.ascii(of) - first
 
-            def found(key: Column) -> Column:
-                def ranked(part: Column) -> Column:
-                    return F.coalesce(F.get(part["r"], F.array_position(part["k"], key).cast("int") - 1), F.lit(NONE))
+    def listed(values: dict, kind: str) -> Column:
+        return _literal([values.get(i) for i in range(max(values, default=0) + 1)], f"array<{kind}>")
 
-                return _let(F.get(rank_map, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")), ranked)
+    offsets, owners, ranks = merge_table(vocabulary.pairs())
+    tables = F.struct(
+        listed(offsets, "int").alias("offsets"),
+        listed(owners, "int").alias("owners"),
+        listed({place: char(rank) for place, rank in ranks.items()}, "string").alias("ranks"),
+    )
+    # One character per byte, then per token of that byte.
+    data = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
+    single = "".join(char(vocabulary.ranks[bytes([b])]) for b in range(256))
+    begun = F.translate(data, "".join(map(chr, range(256))), single)
+    one, rest = F.lit(1), F.octet_length(word)
 
-            return _let(left.cast("long") * F.lit(width) + right.cast("long"), found)
+    # Bound once, as each mention of a literal of this size adds to the planning.
+    def folded(table: Column) -> Column:
+        def rank_of(left: Column, right: Column) -> Column:
+            """The rank's character; NONE where ``right`` is empty or null, beyond the word's end."""
+            place = F.get(table["offsets"], number(left)) + number(right)
+            return F.when(F.get(table["owners"], place) == number(left), F.get(table["ranks"], place)).otherwise(NONE)
 
-        # ids[i] and ids[i + 1] have the rank ranks[i + 1]; the first and the last rank stand for the word's ends.
+        # ranks[i] is that of ids[i] and ids[i + 1]; the last one is NONE.
         def begin(ids: Column) -> Column:
-            shifted = F.concat(F.array(F.lit(None).cast("int")), ids)
-            # The longer array makes the last pair one with null.
-            return F.struct(ids.alias("ids"), F.zip_with(shifted, ids, rank_of).alias("ranks"))
+            def ranked(chars: Column) -> Column:
+                return F.array_join(F.zip_with(chars, F.slice(chars, F.lit(2), F.size(chars)), rank_of), "")
 
-        start = _let(F.transform(F.sequence(F.lit(1), F.octet_length(word)), number), begin)
+            return F.struct(ids.alias("ids"), _let(F.split(ids, ""), ranked).alias("ranks"))
 
         def step(state: Column, _: Column) -> Column:
             ids, ranks = state["ids"], state["ranks"]
 
             def at(lowest: Column) -> Column:
                 def joined(place: Column) -> Column:
+                    before = F.concat(
+                        ranks.substr(one, place - 2), rank_of(ids.substr(place - 1, one), lowest)
+                    )
                     return F.struct(
+                        F.concat(ids.substr(one, place - 1), lowest, ids.substr(place + 2, rest)).alias("ids"),
                         F.concat(
-                            F.slice(ids, F.lit(1), place - 2),
-                            F.array(lowest),
-                            F.slice(ids, place + 1, F.size(ids)),
-                        ).alias("ids"),
-                        F.concat(
-                            F.slice(ranks, F.lit(1), place - 2),
-                            F.zip_with(
-                                F.array(F.get(ids, place - 3), lowest), F.array(lowest, F.get(ids, place)), rank_of
-                            ),
-                            F.slice(ranks, place + 2, F.size(ranks)),
+                            F.when(place > 1, before).otherwise(F.lit("")),
+                            rank_of(lowest, ids.substr(place + 2, one)),
+                            ranks.substr(place + 2, rest),
                         ).alias("ranks"),
                     )
 
-                place = F.array_position(ranks, lowest).cast("int")
-                return F.when(lowest == NONE, state).otherwise(_let(place, joined))
+                return F.when(lowest == NONE, state).otherwise(_let(F.instr(ranks, lowest), joined))
 
-            return _let(F.array_min(ranks), at)
+            return _let(F.array_min(F.split(ranks, "")), at)
 
         # A word of n bytes has at most n - 1 merges.
         turns = F.when(F.octet_length(word) > 1, F.sequence(F.lit(2), F.octet_length(word))).otherwise(
             F.array().cast("array<int>")
         )
-        return F.aggregate(turns, start, step, lambda state: state["ids"])
+        return F.aggregate(turns, _let(begun, begin), step, lambda state: F.transform(F.split(state["ids"], ""), number))
 
-    return _let(rank_literal, folded)
+    return _let(tables, folded)
 
 
 def word_counts(docs: DataFrame, vocabulary: Vocabulary, settings: Settings = Settings()) -> DataFrame:
@@ -243,9 +286,9 @@ def word_counts(docs: DataFrame, vocabulary: Vocabulary, settings: Settings = Se
 
         def flushed() -> pa.RecordBatch:
             found = heads.copy()
-            for part, n in counts.items():
-                for word in cutter.matches(part):
-                    found[word] += n
+            for part, words in cutter.cut(counts):
+                for word in words:
+                    found[word] += counts[part]
             kept = []
             for word, n in found.items():
                 raw = word.encode("utf-8", "surrogatepass")
@@ -283,7 +326,7 @@ def dictionary(docs: DataFrame, vocabulary: Vocabulary, settings: Settings = Set
     if least is math.inf:
         return {}
     chosen = counts.where(level >= int(least)).repartition("word")
-    folded = chosen.select("word", fold(F.col("word"), vocabulary, settings).alias("ids")).toArrow()
+    folded = chosen.select("word", fold(F.col("word"), vocabulary).alias("ids")).toArrow()
     ids = folded.column("ids").combine_chunks()
     flat = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4")
     cuts = np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))]).tolist()
@@ -333,88 +376,104 @@ def encode(
     common = spark.sparkContext.broadcast((vocabulary.ranks, vocabulary.pattern, dictionary(docs, vocabulary, settings)))
     pieces = spark.sparkContext.broadcast(vocabulary.pieces)
 
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int | None], list[tuple[str, list[str]]]]]:
+        """Identifiers and split texts of as many documents as ``run_bytes`` allows, at least one."""
+        cutter = Cutter(common.value[1])
+        ids: list[int | None] = []
+        split: list[tuple[str, list[str]]] = []
+        held = 0
+        for batch in batches:
+            for doc_id, text in zip(*batch.columns):
+                text = text.as_py() or ""
+                if ids and held + len(text) > settings.run_bytes:
+                    yield ids, split
+                    ids, split, held = [], [], 0
+                ids.append(doc_id.as_py())
+                split.append(cutter.parts(text))
+                held += len(text)
+        if ids:
+            yield ids, split
+
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """doc_id, known, rare, at: numbers with placeholders, words still to fold, and which goes where."""
+        """A run's doc_ids, how many numbers each has, the numbers, and the words whose places stand among them."""
         ranks, pattern, folded = common.value
         whole = Vocabulary(ranks, pattern)
         cutter = Cutter(pattern)
         memo: dict[str, bytes] = {}
-        gap = LATER.tobytes()
-        for batch in batches:
-            knowns, rares, places = [], [], []
-            for text in batch.column(1):
-                rare: dict[str, int] = {}
-                at: list[int] = []
-
-                def numbers(word: str) -> bytes:
-                    part = folded.get(word)
-                    if part is None:
-                        raw = word.encode("utf-8", "surrogatepass")
-                        if raw in ranks:
-                            part = int(ranks[raw]).to_bytes(4, "little")
-                        elif len(raw) > settings.fold_bytes:
-                            part = np.array(whole.merge_long(raw), dtype="<u4").tobytes()
-                        else:
-                            at.append(rare.setdefault(word, len(rare)))
-                            part = gap
-                    return part
-
-                head, later = cutter.parts(text.as_py() or "")
-                parts = [numbers(word) for word in cutter.find(head)]
-                for unit in later:
-                    part = memo.get(unit)
-                    if part is None:
-                        gaps = len(at)
-                        part = b"".join(map(numbers, cutter.matches(unit)))
-                        if len(at) == gaps and len(unit) <= 64:
-                            if len(memo) >= settings.remembered_parts:
-                                memo.clear()
-                            memo[unit] = part
-                    parts.append(part)
-                knowns.append(b"".join(parts))
-                rares.append(list(rare))
-                places.append(np.array(at, dtype=np.int32).tobytes())
+        for doc_ids, split in runs(batches):
+            rare: dict[str, int] = {}
+
+            def numbers(word: str) -> bytes:
+                part = folded.get(word)
+                if part is None:
+                    raw = word.encode("utf-8", "surrogatepass")
+                    if raw in ranks:
+                        part = ranks[raw].to_bytes(4, "little")
+                    elif len(raw) > settings.fold_bytes:
+                        part = np.array(whole.merge_long(raw), dtype="<u4").tobytes()
+                    else:
+                        part = (LATER + rare.setdefault(word, len(rare))).to_bytes(4, "little")
+                return part
+
+            codes: dict[str, bytes] = {}
+            unknown = set()
+            for part in set().union(*(later for _, later in split)):
+                known = memo.get(part)
+                if known is None:
+                    unknown.add(part)
+                else:
+                    codes[part] = known
+            for part, words in cutter.cut(unknown):
+                before = len(rare)
+                codes[part] = b"".join(map(numbers, words))
+                if len(rare) == before and len(part) <= 64 and not any(word in rare for word in words):
+                    if len(memo) >= settings.remembered_parts:
+                        memo.clear()
+                    memo[part] = codes[part]
+            texts = [
+                b"".join([*map(numbers, cutter.find(head)), *map(codes.__getitem__, later)]) for head, later in split
+            ]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0),
-                    pa.array(knowns, pa.binary()),
-                    pa.array(rares, pa.list_(pa.string())),
-                    pa.array(places, pa.binary()),
+                    pa.array([doc_ids], pa.list_(pa.int64())),
+                    pa.array([[len(text) // 4 for text in texts]], pa.list_(pa.int64())),
+                    pa.array([b"".join(texts)], pa.binary()),
+                    pa.array([list(rare)], pa.list_(pa.string())),
                 ],
-                ["doc_id", "known", "rare", "at"],
+                ["doc_ids", "sizes", "numbers", "rare"],
             )
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece = pieces.value.__getitem__
         names, _, kinds = zip(*returns.fields)
         for batch in batches:
-            rows = []
-            for known, rare, at in zip(*batch.columns[1:]):
-                ids = np.frombuffer(known.as_py(), dtype="<u4")
-                gaps = np.flatnonzero(ids == LATER)
-                if len(gaps):
-                    which = np.frombuffer(at.as_py(), dtype=np.int32)
-                    sizes = rare.values.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-                    starts = (np.cumsum(sizes) - sizes)[which]
-                    sizes = sizes[which]
-                    ends = np.cumsum(sizes)
-                    taken = np.arange(ends[-1]) + np.repeat(starts - ends + sizes, sizes)
-                    lengths = np.ones(len(ids), dtype=np.int64)
-                    lengths[gaps] = sizes
-                    spread = np.repeat(ids, lengths)
-                    flat = rare.values.flatten().to_numpy(zero_copy_only=False)
-                    spread[np.repeat(ids == LATER, lengths)] = flat[taken].astype(np.uint32)
-                    ids = spread
-                rows.append(returns.row(ids, piece))
-            if rows:
+            for doc_ids, sizes, numbers, rare in zip(*batch.columns):
+                ids = np.frombuffer(numbers.as_py(), dtype="<u4")
+                gaps = ids >= LATER
+                which = (ids[gaps] - np.uint32(LATER)).astype(np.int64)
+                widths = rare.values.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                starts = np.cumsum(widths) - widths
+                lengths = np.ones(len(ids), dtype=np.int64)
+                lengths[gaps] = widths[which]
+                # The numbers of the words in the places' order, one word after the other.
+                ends = np.cumsum(widths[which])
+                taken = np.arange(ends[-1] if len(ends) else 0) + np.repeat(
+                    starts[which] - ends + widths[which], widths[which]
+                )
+                spread = np.repeat(ids, lengths)
+                flat = rare.values.flatten().to_numpy(zero_copy_only=False)
+                spread[np.repeat(gaps, lengths)] = flat[taken].astype(np.uint32)
+                tokens = np.concatenate([[0], np.cumsum(lengths)])
+                cuts = tokens[np.concatenate([[0], np.cumsum(sizes.values.to_numpy(zero_copy_only=False))])]
+                rows = [returns.row(spread[a:b], piece) for a, b in zip(cuts[:-1], cuts[1:])]
                 columns = [pa.array(column, kind) for column, kind in zip(zip(*rows), kinds)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *names])
+                yield pa.RecordBatch.from_arrays([doc_ids.values, *columns], ["doc_id", *names])
 
     looked = docs.select("doc_id", "text").mapInArrow(
-        look_up, "doc_id bigint, known binary, rare array<string>, at binary"
+        look_up, "doc_ids array<bigint>, sizes array<bigint>, numbers binary, rare array<string>"
     )
-    folded = F.transform("rare", lambda word: fold(word, vocabulary, settings))
-    ready = looked.select("doc_id", "known", folded.alias("rare"), "at")
+    folded = F.transform("rare", lambda word: fold(word, vocabulary))
+    ready = looked.select("doc_ids", "sizes", "numbers", folded.alias("rare"))
     return ready.mapInArrow(fill, "doc_id bigint, " + ", ".join(f"{name} {kind}" for name, kind, _ in returns.fields))
 
 
