@@ -214,14 +214,16 @@ def fold(word: Column, vocabulary: Vocabulary) -> Column:
     def number(of: Column) -> Column:
         return F.ascii(of) - first
 
-    def listed(values: dict, kind: str) -> Column:
-        return _literal([values.get(i) for i in range(max(values, default=0) + 1)], f"array<{kind}>")
-
+    # A place holds its owner + 1 and the rank; 0 where there is none, which is the shortest to write.
+    bits = max(vocabulary.pieces).bit_length()
     offsets, owners, ranks = merge_table(vocabulary.pairs())
+    entries = [0] * (max(owners, default=0) + 1)
+    for place, left in owners.items():
+        entries[place] = (left + 1 << bits) + ranks[place]
     tables = F.struct(
-        listed(offsets, "int").alias("offsets"),
-        listed(owners, "int").alias("owners"),
-        listed({place: char(rank) for place, rank in ranks.items()}, "string").alias("ranks"),
+        _literal([offsets.get(i) for i in range(max(offsets, default=0) + 1)], "array<int>").alias("offsets"),
+        _literal(entries, "array<bigint>").alias("entries"),
+        _literal([char(i) for i in range(max(vocabulary.pieces) + 1)], "array<string>").alias("chars"),
     )
     # One character per byte, then per token of that byte.
     data = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
@@ -234,7 +236,9 @@ def fold(word: Column, vocabulary: Vocabulary) -> Column:
         def rank_of(left: Column, right: Column) -> Column:
             """The rank's character; NONE where ``right`` is empty or null, beyond the word's end."""
             place = F.get(table["offsets"], number(left)) + number(right)
-            return F.when(F.get(table["owners"], place) == number(left), F.get(table["ranks"], place)).otherwise(NONE)
+            entry = F.get(table["entries"], place)
+            rank = entry.bitwiseAND((1 << bits) - 1).cast("int")
+            return F.when(F.shiftright(entry, bits) == number(left) + 1, F.get(table["chars"], rank)).otherwise(NONE)
 
         # ranks[i] is that of ids[i] and ids[i + 1]; the last one is NONE.
         def begin(ids: Column) -> Column:
