@@ -132,3 +132,38 @@ def test_ranks_of_a_free_text_feature(spark):
     for feature, labels in itertools.groupby(sorted(counts.collect(), key=lambda r: (r["feature"], -r["n"], r["label"])), key=lambda r: r["feature"]):
         want |= {(feature, r["label"]): float(i) for i, r in enumerate(labels)}
     assert rows == want and len(rows) == 20_014
+
+
+def test_passes_add_in_batches_what_sql_adds(spark):
+    """Sums of a pass equal those of ``NEAREST`` in decimals, ties and all; a task emits one row per cluster, not per vector."""
+    rows = scattered(300) + [([1.0, 0.0, 4.0], 2.0), ([3.0, 0.0, 4.0], 0.5)]
+    table = C._distinct(vectors(spark, rows, 5))
+    lo, hi = table.select(F.min(F.array_min("x")), F.max(F.array_max("x"))).first()
+    units = M.Units.of(3, table.agg(F.max("w")).first()[0], lo, hi)
+    centers = {2: [[0.0, 0.0, 0.0], [2.0, 0.0, 4.0]], 4: [[2.0, 0.0, 4.0], [2.0, 0.0, 4.0], [7.0, 0.0, 1000.0], [1e9, 0.0, 0.0]]}
+
+    def exact(value, unit):
+        return F.expr(f"sum(cast(rint({value} / {unit!r}D) AS decimal(20, 0)))")
+
+    near = M.keyed(table, centers).select("k", "x", "w", F.expr(M.NEAREST).alias("near"))
+    terms = [("w", units.weight), *[(f"w * x[{j}]", units.part) for j in range(3)], ("w * near.distance", units.cost)]
+    want = {}
+    for k, i, *sums in near.groupBy("k", "near.cluster").agg(*[exact(*t) for t in terms]).collect():
+        weight, *parts, cost = [float(v) * unit for v, (_, unit) in zip(sums, terms)]
+        want.setdefault(k, {})[i] = (weight, parts, cost)
+    assert M.totals(table, centers, units) == want
+
+
+def test_vectors_are_dealt_over_the_cores(spark, monkeypatch):
+    seen = []
+    old = M.totals
+    monkeypatch.setattr(M, "totals", lambda v, c, u: seen.append(v.rdd.getNumPartitions()) or old(v, c, u))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    try:
+        C.fit(vectors(spark, scattered(100), 2), 2, 2)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert max(seen) <= spark.sparkContext.defaultParallelism

@@ -4,7 +4,7 @@ A fit depends on the seed and the set of (vector, weight) only, bit for bit: not
 cores or the order in which tasks end. Three things make it so. Random choices are races between hashes
 of (seed, k, round, vector). Distances and nearest centers are taken per row. Sums over rows
 are exact: each term is rounded to a multiple of a power of two 53 binary digits below the largest
-possible term, and the multiples are added as decimals, which is the same in any order.
+possible term, and the multiples are added as whole numbers, which is the same in any order.
 
 All fits share each pass: centers are keyed by (k, cluster), and one aggregate over the vectors gives
 the sums of every fit that has not settled. What reaches the driver is one row per center.
@@ -22,12 +22,13 @@ import hashlib
 import json
 import math
 import struct
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from visitwise.operators.names import fresh
@@ -35,6 +36,10 @@ from visitwise.operators.names import fresh
 Centers = list[list[float]]
 # Vectors that a round of the start adds for each center asked for.
 PICKS = 20
+# Sums of whole numbers are kept in halves of this base.
+HALF = 1 << 26
+# Distances that a task holds at a time.
+BLOCK = 1 << 15
 
 
 @dataclass(frozen=True)
@@ -96,19 +101,6 @@ class Units:
         part = quantum(weight * max(abs(lowest), abs(highest)))
         return cls(quantum(weight), part, quantum(weight * dim * (highest - lowest) ** 2), dim)
 
-    def sums(self) -> list[Column]:
-        """Sums in multiples of the units; decimals add up alike in any order."""
-
-        def exact(value: str, unit: float) -> str:
-            return f"sum(cast(rint({value} / {unit!r}D) AS decimal(20, 0)))"
-
-        parts = ", ".join(exact(f"w * x[{j}]", self.part) for j in range(self.dim))
-        return [
-            F.expr(exact("w", self.weight)).alias("weight"),
-            F.expr(f"array({parts})").alias("parts"),
-            F.expr(exact("w * nearest.distance", self.cost)).alias("cost"),
-        ]
-
 
 # -- passes over the vectors -----------------------------------------------
 
@@ -194,13 +186,60 @@ def start(vectors: DataFrame, first: dict[int, Centers], seed: int, steps: int,
     return out
 
 
+def _halves(values: np.ndarray) -> list[np.ndarray]:
+    """Whole numbers of up to 53 binary digits as two numbers whose sums over many rows stay exact."""
+    high = np.floor(values / HALF)
+    return [high, values - high * HALF]
+
+
+def nearest(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``NEAREST`` of many vectors: cluster and distance, with the components added in the same order."""
+    cluster, distance = np.empty(len(x), dtype=np.int64), np.empty(len(x))
+    rows = max(1, BLOCK // len(centers))
+    for at in range(0, len(x), rows):
+        away = np.zeros((len(x[at : at + rows]), len(centers)))
+        for j in range(x.shape[1]):
+            apart = x[at : at + rows, j, None] - centers[None, :, j]
+            apart *= apart
+            away += apart
+        own = away.argmin(axis=1)
+        cluster[at : at + rows], distance[at : at + rows] = own, away[np.arange(len(own)), own]
+    return cluster, distance
+
+
 def totals(vectors: DataFrame, centers: dict[int, Centers], units: Units) -> dict[int, dict[int, tuple]]:
-    """Per fit and cluster with members: weight, weighted component sums and cost. One pass for all fits."""
-    rows = keyed(vectors, centers).select("k", "x", "w", F.expr(NEAREST).alias("nearest"))
+    """Per fit and cluster with members: weight, weighted component sums and cost. One pass for all fits.
+
+    A task adds its vectors up in Arrow batches and emits one row for each cluster it met; sums are in
+    multiples of the units, as two halves of whole numbers, so they are exact in any order.
+    """
+    points = {k: np.array(c, dtype=np.float64) for k, c in centers.items()}
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = {k: np.zeros((len(c), 2 * units.dim + 5), dtype=np.int64) for k, c in points.items()}
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, units.dim)
+            w = batch.column(1).to_numpy(zero_copy_only=False)
+            own = _halves(np.rint(w / units.weight))
+            for j in range(units.dim):
+                own += _halves(np.rint(w * x[:, j] / units.part))
+            for k, c in points.items():
+                cluster, distance = nearest(x, c)
+                found = [*own, *_halves(np.rint(w * distance / units.cost))]
+                held[k][:, 0] += np.bincount(cluster, minlength=len(c))
+                for place, part in enumerate(found, 1):
+                    held[k][:, place] += np.bincount(cluster, part, len(c)).astype(np.int64)
+        rows = [(k, i, own.tolist()) for k, sums in held.items() for i, own in enumerate(sums) if own[0]]
+        columns = [list(column) for column in zip(*rows)] or [[], [], []]
+        kinds = [pa.int32(), pa.int32(), pa.list_(pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], ["k", "cluster", "s"])
+
+    summed = vectors.select("x", "w").mapInArrow(add, "k int, cluster int, s array<bigint>")
+    sums = [F.sum(F.get("s", F.lit(i))).alias(f"s{i}") for i in range(1, 2 * units.dim + 5)]
     out: dict[int, dict[int, tuple]] = {k: {} for k in centers}
-    for row in rows.groupBy("k", "nearest.cluster").agg(*units.sums()).collect():
-        parts = [float(p) * units.part for p in row["parts"]]
-        out[row["k"]][row["cluster"]] = (float(row["weight"]) * units.weight, parts, float(row["cost"]) * units.cost)
+    for k, cluster, *halves in summed.groupBy("k", "cluster").agg(*sums).collect():
+        weight, *parts, cost = [float(high * HALF + low) for high, low in zip(halves[::2], halves[1::2])]
+        out[k][cluster] = (weight * units.weight, [p * units.part for p in parts], cost * units.cost)
     return out
 
 
@@ -223,7 +262,9 @@ def fit_all(
     ks = sorted(set(ks))
     if not ks or ks[0] < 1:
         raise ValueError("the number of clusters must be 1 or more")
-    vectors = vectors.select("x", "w").persist(StorageLevel.MEMORY_AND_DISK)
+    # As many tasks as cores: a pass takes a task little more than its start.
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    vectors = vectors.select("x", "w").coalesce(cores).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         # One pass: size, dimension, ranges, and the winner of each fit's first race.
         firsts = [F.expr(f"min(named_struct('time', {time_of('w', seed, 0, str(k))}, 'x', x)).x") for k in ks]
