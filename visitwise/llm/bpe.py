@@ -39,7 +39,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitwise.llm.common import table
+from visitwise.llm.common import map_batches, table
 from visitwise.llm.registry import query
 from visitwise.sources.workspace import stage
 
@@ -312,7 +312,7 @@ def word_counts(docs: DataFrame, vocabulary: Vocabulary, settings: Settings = Se
                     yield flushed()
         yield flushed()
 
-    found = docs.select("text").mapInArrow(count, "word string, n bigint")
+    found = map_batches(docs.select("text"), count, "word string, n bigint")
     return found.groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -473,12 +473,13 @@ def encode(
                 columns = [pa.array(column, kind) for column, kind in zip(zip(*rows), kinds)]
                 yield pa.RecordBatch.from_arrays([doc_ids.values, *columns], ["doc_id", *names])
 
-    looked = docs.select("doc_id", "text").mapInArrow(
+    looked = map_batches(
+        docs.select("doc_id", "text"),
         look_up, "doc_ids array<bigint>, sizes array<bigint>, numbers binary, rare array<string>"
     )
     folded = F.transform("rare", lambda word: fold(word, vocabulary))
     ready = looked.select("doc_ids", "sizes", "numbers", folded.alias("rare"))
-    return ready.mapInArrow(fill, "doc_id bigint, " + ", ".join(f"{name} {kind}" for name, kind, _ in returns.fields))
+    return map_batches(ready, fill, "doc_id bigint, " + ", ".join(f"{name} {kind}" for name, kind, _ in returns.fields))
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -493,7 +494,7 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                 [batch.column(0), batch.column(1), pa.array(data, pa.binary())], ["doc_id", "ids", "data"]
             )
 
-    return encoded.select("doc_id", "ids").mapInArrow(join, "doc_id bigint, ids array<int>, data binary")
+    return map_batches(encoded.select("doc_id", "ids"), join, "doc_id bigint, ids array<int>, data binary")
 
 
 @query("op7_bpe")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,9 @@ from pyspark.sql import functions as F
 # without arguments splits UTF-8 by exactly this rule.
 WORD = r"[^\x20\x09-\x0D]+"
 HELD_OUT_REMAINDER = 2
+# Bytes of one Arrow batch between a task and its Python worker.
+BATCH_BYTES = 4 << 20
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,3 +34,16 @@ def word_count(text: str = "text") -> Column:
 def hash_order(*columns: str, seed: int) -> Column:
     """A repeatable pseudo-random order of rows."""
     return F.xxhash64(F.lit(seed), *columns)
+
+
+def map_batches(df: DataFrame, apply: Callable, schema: object) -> DataFrame:
+    """``mapInArrow`` in batches of about ``BATCH_BYTES``, where 10,000 long texts would fill hundreds of MB.
+
+    The session's limit is lowered if it is above that, and stays so, as the plan runs later.
+    """
+    spark = df.sparkSession
+    # In any of the ways that Spark writes sizes.
+    limit = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(BATCH_CONF))
+    if limit > BATCH_BYTES:
+        spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
+    return df.mapInArrow(apply, schema)

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitwise.llm.common import table
+from visitwise.llm.common import map_batches, table
 from visitwise.llm.components import components
 from visitwise.llm.paragraphs import bit_filter, cut_words, similar
 from visitwise.llm.registry import query
@@ -176,7 +176,7 @@ def band_rows(docs: DataFrame, settings: Settings) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, ["key", "h", "n"])
 
     # A repeated row is one document, so its paragraphs are no repeats; later steps see to that.
-    return _keyed(docs).select("text").mapInArrow(apply, "key bigint, h bigint, n bigint")
+    return map_batches(_keyed(docs).select("text"), apply, "key bigint, h bigint, n bigint")
 
 
 def shared_keys(docs: DataFrame, settings: Settings) -> DataFrame:
@@ -221,7 +221,7 @@ def repeated_units(docs: DataFrame, shared: DataFrame, settings: Settings) -> Da
                     columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
                     yield pa.RecordBatch.from_arrays(columns, names)
 
-    return _keyed(docs).mapInArrow(apply, PLACES)
+    return map_batches(_keyed(docs), apply, PLACES)
 
 
 def candidate_groups(sets: DataFrame, settings: Settings) -> DataFrame:
@@ -273,7 +273,7 @@ def unit_links(units: DataFrame, settings: Settings) -> DataFrame:
         a, b = [pids[i] for i, _, _ in found], [pids[j] for _, j, _ in found]
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
-    return laid.mapInArrow(compared, "a binary, b binary")
+    return map_batches(laid, compared, "a binary, b binary")
 
 
 def repeated_spans(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:

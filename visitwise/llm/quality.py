@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitwise.llm.common import hash_order, held_out, table
+from visitwise.llm.common import hash_order, held_out, map_batches, table
 from visitwise.llm.registry import query
 
 
@@ -195,7 +195,7 @@ def score(docs: DataFrame, net: Network | None) -> DataFrame:
                 ["doc_id", "held_out", "score", "predicted"],
             )
 
-    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(apply, schema)
+    return map_batches(docs.select("doc_id", held_out().alias("held_out"), "text"), apply, schema)
 
 
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Network | None:
@@ -217,7 +217,7 @@ def keep_accepted(docs: DataFrame, net: Network | None) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array([net.score(t.as_py()) >= threshold for t in batch.column(place)], pa.bool_()))
 
-    return docs.mapInArrow(accepted, docs.schema)
+    return map_batches(docs, accepted, docs.schema)
 
 
 @query("op8_quality")

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitwise.llm.common import table
+from visitwise.llm.common import map_batches, table
 from visitwise.llm.components import components
 from visitwise.llm.registry import query
 from visitwise.operators.names import fresh
@@ -74,7 +74,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, mark
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "print", *names])
 
     marked = docs.select("doc_id", "text", *[mark.alias(name) for mark, name in zip(marks, names)])
-    return marked.mapInArrow(apply, ", ".join(f"{name} bigint" for name in ["doc_id", "print", *names]))
+    return map_batches(marked, apply, ", ".join(f"{name} bigint" for name in ["doc_id", "print", *names]))
 
 
 def with_class(prints: DataFrame, radius: int) -> DataFrame:
