@@ -52,6 +52,18 @@ LATER = 1 << 31
 LONE_SPACE = re.compile(r" (?!\s)(?<!\s )")
 WHITE = [chr(i) for i in range(1 << 16) if chr(i).isspace()]
 BESIDE_SPACE = [pair for white in WHITE for pair in {white + " ", " " + white}]
+# A part of letters below this, alone or before one of the marks, is cut without the pattern's help.
+PLAIN_BELOW = chr(0x250)
+MARKS = frozenset(".,;:!?")
+# A row is a run of some MB, so sizes are looked at after each row; readers hold one row group at a time.
+RUN_FILES = {
+    "compression": "zstd",
+    "parquet.block.size": str(8 << 20),
+    "parquet.block.size.row.check.min": "1",
+    "parquet.block.size.row.check.max": "1",
+    "parquet.page.size.row.check.min": "1",
+    "parquet.page.size.row.check.max": "1",
+}
 
 
 @dataclass(frozen=True)
@@ -61,6 +73,9 @@ class Settings:
     counted_words: int = 100_000
     remembered_parts: int = 100_000
     run_bytes: int = 4 << 20
+    # A run's texts are split and looked up in blocks, and filled in blocks of tokens.
+    block_bytes: int = 512 << 10
+    block_tokens: int = 128 << 10
 
 
 class Vocabulary:
@@ -157,7 +172,10 @@ class Cutter:
         """
         plain = []
         for part in parts:
-            if part.split() == [part]:
+            word, mark = (part[:-1], part[-1:]) if part[-1:] in MARKS else (part, "")
+            if self.by_spaces and word.isalpha() and (word.isascii() or max(word) < PLAIN_BELOW):
+                yield part, [" " + word, mark] if mark else [" " + word]
+            elif part.split() == [part]:
                 plain.append(part)
             else:
                 yield part, self.matches(part)
@@ -369,116 +387,159 @@ class Encoded:
         return tuple(found)
 
 
+def halves(ids: np.ndarray) -> bytes:
+    """The low halves of all numbers, then the high ones, which are nearly all zero and so take no room on disk."""
+    return ids.astype("<u2").tobytes() + (ids >> np.uint32(16)).astype("<u2").tobytes()
+
+
+def whole(data: pa.Buffer) -> np.ndarray:
+    """The numbers that ``halves`` wrote."""
+    low, high = np.frombuffer(data, dtype="<u2").reshape(2, -1).astype(np.uint32)
+    return low | high << np.uint32(16)
+
+
+def filled(
+    ids: np.ndarray, widths: np.ndarray, starts: np.ndarray, flat: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """``ids`` with the numbers of the folded words in their places, and where each of ``ids`` begins among them."""
+    gaps = ids >= LATER
+    which = (ids[gaps] - np.uint32(LATER)).astype(np.int64)
+    lengths = np.ones(len(ids), dtype=np.int64)
+    lengths[gaps] = widths[which]
+    # The numbers of the words in the places' order, one word after the other.
+    ends = np.cumsum(widths[which])
+    taken = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[which] - ends + widths[which], widths[which])
+    spread = np.repeat(ids, lengths)
+    spread[np.repeat(gaps, lengths)] = flat[taken].astype(np.uint32)
+    return spread, np.concatenate([[0], np.cumsum(lengths)])
+
+
 def encode(
     docs: DataFrame, vocabulary: Vocabulary, settings: Settings = Settings(), returns: Encoded = Encoded()
 ) -> DataFrame:
     """doc_id, n_tokens and what ``returns`` names for each whole text.
 
-    Decoding joins the pieces of the numbers just found, in the task that found them.
+    Runs of texts are looked up and folded first, and written to the shared folder as numbers; decoding joins the
+    pieces of the numbers just found, in the task that fills the folded words in.
     """
     spark = docs.sparkSession
     common = spark.sparkContext.broadcast((vocabulary.ranks, vocabulary.pattern, dictionary(docs, vocabulary, settings)))
     pieces = spark.sparkContext.broadcast(vocabulary.pieces)
 
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int | None], list[tuple[str, list[str]]]]]:
-        """Identifiers and split texts of as many documents as ``run_bytes`` allows, at least one."""
-        cutter = Cutter(common.value[1])
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[int | None], list[str]]]:
+        """Characters, identifiers and texts of as many documents as ``block_bytes`` allows, at least one."""
         ids: list[int | None] = []
-        split: list[tuple[str, list[str]]] = []
+        texts: list[str] = []
         held = 0
         for batch in batches:
             for doc_id, text in zip(*batch.columns):
                 text = text.as_py() or ""
-                if ids and held + len(text) > settings.run_bytes:
-                    yield ids, split
-                    ids, split, held = [], [], 0
+                if ids and held + len(text) > settings.block_bytes:
+                    yield held, ids, texts
+                    ids, texts, held = [], [], 0
                 ids.append(doc_id.as_py())
-                split.append(cutter.parts(text))
+                texts.append(text)
                 held += len(text)
         if ids:
-            yield ids, split
+            yield held, ids, texts
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A run's doc_ids, how many numbers each has, the numbers, and the words whose places stand among them."""
         ranks, pattern, folded = common.value
-        whole = Vocabulary(ranks, pattern)
+        vocabulary = Vocabulary(ranks, pattern)
         cutter = Cutter(pattern)
         memo: dict[str, bytes] = {}
-        for doc_ids, split in runs(batches):
-            rare: dict[str, int] = {}
-
-            def numbers(word: str) -> bytes:
-                part = folded.get(word)
-                if part is None:
-                    raw = word.encode("utf-8", "surrogatepass")
-                    if raw in ranks:
-                        part = ranks[raw].to_bytes(4, "little")
-                    elif len(raw) > settings.fold_bytes:
-                        part = np.array(whole.merge_long(raw), dtype="<u4").tobytes()
-                    else:
-                        part = (LATER + rare.setdefault(word, len(rare))).to_bytes(4, "little")
-                return part
-
-            codes: dict[str, bytes] = {}
-            unknown = set()
-            for part in set().union(*(later for _, later in split)):
+        # Of the run: words to fold, the codes of its parts, identifiers and codes of its texts.
+        rare: dict[str, int] = {}
+        codes: dict[str, bytes] = {}
+        doc_ids: list[int | None] = []
+        coded: list[bytes] = []
+        held = 0
+
+        def numbers(word: str) -> bytes:
+            part = folded.get(word)
+            if part is None:
+                raw = word.encode("utf-8", "surrogatepass")
+                if raw in ranks:
+                    part = ranks[raw].to_bytes(4, "little")
+                elif len(raw) > settings.fold_bytes:
+                    part = np.array(vocabulary.merge_long(raw), dtype="<u4").tobytes()
+                else:
+                    part = (LATER + rare.setdefault(word, len(rare))).to_bytes(4, "little")
+            return part
+
+        def learn(parts: set[str]) -> None:
+            unknown = []
+            for part in parts:
                 known = memo.get(part)
                 if known is None:
-                    unknown.add(part)
+                    unknown.append(part)
                 else:
                     codes[part] = known
             for part, words in cutter.cut(unknown):
-                before = len(rare)
                 codes[part] = b"".join(map(numbers, words))
-                if len(rare) == before and len(part) <= 64 and not any(word in rare for word in words):
+                if len(part) <= 64 and not any(word in rare for word in words):
                     if len(memo) >= settings.remembered_parts:
                         memo.clear()
                     memo[part] = codes[part]
-            texts = [
-                b"".join([*map(numbers, cutter.find(head)), *map(codes.__getitem__, later)]) for head, later in split
-            ]
-            yield pa.RecordBatch.from_arrays(
+
+        def flushed() -> pa.RecordBatch:
+            run = pa.RecordBatch.from_arrays(
                 [
                     pa.array([doc_ids], pa.list_(pa.int64())),
-                    pa.array([[len(text) // 4 for text in texts]], pa.list_(pa.int64())),
-                    pa.array([b"".join(texts)], pa.binary()),
+                    pa.array([[len(text) // 4 for text in coded]], pa.list_(pa.int64())),
+                    pa.array([halves(np.frombuffer(b"".join(coded), dtype="<u4"))], pa.binary()),
                     pa.array([list(rare)], pa.list_(pa.string())),
                 ],
                 ["doc_ids", "sizes", "numbers", "rare"],
             )
+            for held_by_run in (rare, codes, doc_ids, coded):
+                held_by_run.clear()
+            return run
+
+        for size, ids, texts in blocks(batches):
+            if doc_ids and held + size > settings.run_bytes:
+                yield flushed()
+                held = 0
+            split = [cutter.parts(text) for text in texts]
+            learn({part for _, later in split for part in later if part not in codes})
+            for head, later in split:
+                coded.append(b"".join([*map(numbers, cutter.find(head)), *map(codes.__getitem__, later)]))
+            doc_ids += ids
+            held += size
+        if doc_ids:
+            yield flushed()
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece = pieces.value.__getitem__
         names, _, kinds = zip(*returns.fields)
         for batch in batches:
             for doc_ids, sizes, numbers, rare in zip(*batch.columns):
-                ids = np.frombuffer(numbers.as_py(), dtype="<u4")
-                gaps = ids >= LATER
-                which = (ids[gaps] - np.uint32(LATER)).astype(np.int64)
+                ids = whole(numbers.as_buffer())
                 widths = rare.values.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
                 starts = np.cumsum(widths) - widths
-                lengths = np.ones(len(ids), dtype=np.int64)
-                lengths[gaps] = widths[which]
-                # The numbers of the words in the places' order, one word after the other.
-                ends = np.cumsum(widths[which])
-                taken = np.arange(ends[-1] if len(ends) else 0) + np.repeat(
-                    starts[which] - ends + widths[which], widths[which]
-                )
-                spread = np.repeat(ids, lengths)
                 flat = rare.values.flatten().to_numpy(zero_copy_only=False)
-                spread[np.repeat(gaps, lengths)] = flat[taken].astype(np.uint32)
-                tokens = np.concatenate([[0], np.cumsum(lengths)])
-                cuts = tokens[np.concatenate([[0], np.cumsum(sizes.values.to_numpy(zero_copy_only=False))])]
-                rows = [returns.row(spread[a:b], piece) for a, b in zip(cuts[:-1], cuts[1:])]
-                columns = [pa.array(column, kind) for column, kind in zip(zip(*rows), kinds)]
-                yield pa.RecordBatch.from_arrays([doc_ids.values, *columns], ["doc_id", *names])
+                ends = np.cumsum(sizes.values.to_numpy(zero_copy_only=False))
+                first, begin = 0, 0
+                while first < len(ends):
+                    # As many documents as ``block_tokens`` allows, at least one.
+                    last = max(first + 1, int(np.searchsorted(ends, begin + settings.block_tokens, side="right")))
+                    spread, tokens = filled(ids[begin : ends[last - 1]], widths, starts, flat)
+                    cuts = tokens[np.concatenate([[0], ends[first:last] - begin])]
+                    rows = [returns.row(spread[a:b], piece) for a, b in zip(cuts[:-1], cuts[1:])]
+                    columns = [pa.array(column, kind) for column, kind in zip(zip(*rows), kinds)]
+                    yield pa.RecordBatch.from_arrays(
+                        [doc_ids.values.slice(first, last - first), *columns], ["doc_id", *names]
+                    )
+                    first, begin = last, int(ends[last - 1])
 
     looked = map_batches(
         docs.select("doc_id", "text"),
         look_up, "doc_ids array<bigint>, sizes array<bigint>, numbers binary, rare array<string>"
     )
     folded = F.transform("rare", lambda word: fold(word, vocabulary))
-    ready = looked.select("doc_ids", "sizes", "numbers", folded.alias("rare"))
+    # Written here, so that no task holds two Python workers; they are kept and would add up over a pipeline.
+    ready = stage(looked.select("doc_ids", "sizes", "numbers", folded.alias("rare")), "bpe-runs", options=RUN_FILES)
     return map_batches(ready, fill, "doc_id bigint, " + ", ".join(f"{name} {kind}" for name, kind, _ in returns.fields))
 
 

@@ -39,17 +39,21 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def stage(
-    df: DataFrame, name: str = "staged", row_id: str | None = None, one_file_a_task: bool = False
+    df: DataFrame,
+    name: str = "staged",
+    row_id: str | None = None,
+    one_file_a_task: bool = False,
+    options: dict[str, str] | None = None,
 ) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage, survives lost executors.
 
     ``row_id`` adds a column that is unique per row and the same on every scan. ``one_file_a_task`` holds
-    even where the session limits the rows of a file.
+    even where the session limits the rows of a file. ``options`` are the writer's.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
     writer = df.write.option("maxRecordsPerFile", 0) if one_file_a_task else df.write
-    writer.parquet(path)
+    writer.options(**(options or {})).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     if row_id:
         back = back.withColumn(row_id, F.struct("_metadata.file_path", "_metadata.row_index"))
