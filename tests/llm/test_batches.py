@@ -1,5 +1,7 @@
 """Batches of texts between tasks and their Python workers are bounded by bytes, not by rows."""
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -71,3 +73,12 @@ def test_bpe_plain_parts_are_cut_as_the_pattern_does():
     letters = [chr(i) for i in range(33, 0x260) if not chr(i).isspace()]
     parts = letters + [a + b for a in letters for b in "aé.,;:!?'1"] + ["", ".", "..", "ab..", "a.b", "'s", "I'm.", "東京."]
     assert dict(cutter.cut(parts)) == {part: cutter.matches(part) for part in parts}
+
+
+def test_bpe_dictionary_stays_packed_until_it_is_looked_up(spark):
+    docs = spark.createDataFrame([(1, "xyx xyx q")], "doc_id long, text string")
+    vocabulary = bpe.Vocabulary({bytes([b]): b for b in range(256)} | {b"xy": 256}, r"\w+|\W+")
+    found = bpe.dictionary(docs, vocabulary)
+    assert found.words.nbytes + found.ids.nbytes < 200 and "numbers" not in vars(pickle.loads(pickle.dumps(found)))
+    assert found.numbers == {"xyx": np.array([256, 120], dtype="<u4").tobytes()}
+    assert bpe.dictionary(docs, vocabulary, bpe.Settings(dictionary_words=0)).numbers == {}

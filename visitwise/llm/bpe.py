@@ -31,6 +31,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import public_tokenizers
@@ -103,6 +104,24 @@ class Vocabulary:
             if piece[:cut] in ranks and piece[cut:] in ranks
         }
 
+    @property
+    def first(self) -> int:
+        """Where the characters of the tokens begin: all are below the surrogates, or all above."""
+        return 1 if max(self.pieces) < 0xD7FF else 0xE000
+
+    @cached_property
+    def merges(self) -> tuple[int, str, str]:
+        """Bits of a rank, offsets and entries of the merge table as JSON, made once for all folds.
+
+        An entry holds its owner + 1 and the rank; 0 where there is none, which is the shortest to write.
+        """
+        bits = max(self.pieces).bit_length()
+        offsets, owners, ranks = merge_table(self.pairs())
+        entries = [0] * (max(owners, default=0) + 1)
+        for place, left in owners.items():
+            entries[place] = (left + 1 << bits) + ranks[place]
+        return bits, _json([offsets.get(i) for i in range(max(offsets, default=0) + 1)]), _json(entries)
+
     def merge_long(self, word: bytes) -> list[int]:
         """Ranked merges with a heap and linked neighbours; for long matches."""
         ranks = self.ranks
@@ -191,8 +210,12 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _json(rows: list) -> str:
+    return json.dumps(rows, separators=(",", ":"))
+
+
 def _literal(rows: list, kind: str) -> Column:
-    return F.from_json(F.lit(json.dumps(rows, separators=(",", ":"))), kind)
+    return F.from_json(F.lit(_json(rows)), kind)
 
 
 def merge_table(pairs: dict[tuple[int, int], int]) -> tuple[dict[int, int], dict[int, int], dict[int, int]]:
@@ -223,8 +246,7 @@ def merge_table(pairs: dict[tuple[int, int], int]) -> tuple[dict[int, int], dict
 
 def fold(word: Column, vocabulary: Vocabulary) -> Column:
     """Token numbers of one non-empty word, as array<int>."""
-    # Characters of the tokens: all below the surrogates, or all above.
-    first = 1 if max(vocabulary.pieces) < 0xD7FF else 0xE000
+    first = vocabulary.first
 
     def char(number: int) -> str:
         return chr(first + number)
@@ -232,15 +254,10 @@ def fold(word: Column, vocabulary: Vocabulary) -> Column:
     def number(of: Column) -> Column:
         return F.ascii(of) - first
 
-    # A place holds its owner + 1 and the rank; 0 where there is none, which is the shortest to write.
-    bits = max(vocabulary.pieces).bit_length()
-    offsets, owners, ranks = merge_table(vocabulary.pairs())
-    entries = [0] * (max(owners, default=0) + 1)
-    for place, left in owners.items():
-        entries[place] = (left + 1 << bits) + ranks[place]
+    bits, offsets, entries = vocabulary.merges
     tables = F.struct(
-        _literal([offsets.get(i) for i in range(max(offsets, default=0) + 1)], "array<int>").alias("offsets"),
-        _literal(entries, "array<bigint>").alias("entries"),
+        F.from_json(F.lit(offsets), "array<int>").alias("offsets"),
+        F.from_json(F.lit(entries), "array<bigint>").alias("entries"),
         _literal([char(i) for i in range(max(vocabulary.pieces) + 1)], "array<string>").alias("chars"),
     )
     # One character per byte, then per token of that byte.
@@ -334,7 +351,26 @@ def word_counts(docs: DataFrame, vocabulary: Vocabulary, settings: Settings = Se
     return found.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def dictionary(docs: DataFrame, vocabulary: Vocabulary, settings: Settings = Settings()) -> dict[str, bytes]:
+class Folded:
+    """Words and their token numbers; Arrow buffers on the driver and on the way, a dict where they are looked up."""
+
+    def __init__(self, words: pa.Array, ids: pa.Array):
+        self.words = words
+        self.ids = ids
+
+    @cached_property
+    def numbers(self) -> dict[str, bytes]:
+        """Numbers in four bytes each, lowest first."""
+        data = self.ids.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
+        ends = 4 * np.cumsum(self.ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+        found, start = {}, 0
+        for word, end in zip(self.words, ends):
+            found[word.as_py()] = data[start:end]
+            start = end
+        return found
+
+
+def dictionary(docs: DataFrame, vocabulary: Vocabulary, settings: Settings = Settings()) -> Folded:
     """Folded words by descending count, as many as ``dictionary_words`` allows."""
     counts = stage(word_counts(docs, vocabulary, settings), "bpe-words")
     level = F.floor(F.log2("n") * 16).cast("int")
@@ -346,14 +382,10 @@ def dictionary(docs: DataFrame, vocabulary: Vocabulary, settings: Settings = Set
             break
         least = row["level"]
     if least is math.inf:
-        return {}
+        return Folded(pa.array([], pa.string()), pa.array([], pa.list_(pa.int32())))
     chosen = counts.where(level >= int(least)).repartition("word")
     folded = chosen.select("word", fold(F.col("word"), vocabulary).alias("ids")).toArrow()
-    ids = folded.column("ids").combine_chunks()
-    flat = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4")
-    cuts = np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))]).tolist()
-    words = folded.column("word").to_pylist()
-    return {w: flat[a:b].tobytes() for w, a, b in zip(words, cuts, cuts[1:])}
+    return Folded(folded.column("word").combine_chunks(), folded.column("ids").combine_chunks())
 
 
 @dataclass(frozen=True)
@@ -446,6 +478,7 @@ def encode(
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A run's doc_ids, how many numbers each has, the numbers, and the words whose places stand among them."""
         ranks, pattern, folded = common.value
+        ready = folded.numbers
         vocabulary = Vocabulary(ranks, pattern)
         cutter = Cutter(pattern)
         memo: dict[str, bytes] = {}
@@ -457,7 +490,7 @@ def encode(
         held = 0
 
         def numbers(word: str) -> bytes:
-            part = folded.get(word)
+            part = ready.get(word)
             if part is None:
                 raw = word.encode("utf-8", "surrogatepass")
                 if raw in ranks:
