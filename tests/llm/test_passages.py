@@ -5,10 +5,12 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 
 from tests.llm import data, plain
 from tests.llm.data import frame
 from visitwise.llm import passages as P
+from visitwise.llm import words
 
 
 def runs_of(text, cutter):
@@ -115,3 +117,70 @@ def test_empty_null_repeated_and_awkward_rows(spark):
     again = left.collect()
     assert len([r for r in again if r["doc_id"] == 7]) == 2 and len({r["text"] for r in again if r["doc_id"] == 7}) == 1
     assert P.remove_repeated(docs.limit(0)).count() == 0
+
+
+def test_word_hashes_are_those_of_single_words():
+    rng = random.Random(8)
+    texts = [None, "", " \t", "a", "no end", "\x0bÀÉ Zz\x0c@[`{\x1c字", *(" ".join("Q" * rng.randrange(1, 70) for _ in range(80)) for _ in range(20))]
+    texts += ["".join(rng.choice("aBz9é字\t\n @[Z`\x85") for _ in range(rng.randrange(200))) for _ in range(100)]
+    for array in (pa.array(texts, pa.string()), pa.array(["x", *texts, "y"], pa.large_string())[1:-1]):
+        raw, ends = words.utf8(array)
+        first, lengths, sizes = words.places(raw, ends)
+        got = words.xxh64(words.lowered(raw), first, lengths, xxhash.xxh64_intdigest)
+        want = [(t or "").encode("utf-8").lower().split() for t in texts]
+        assert sizes.tolist() == [len(w) for w in want]
+        assert got.tolist() == [xxhash.xxh64_intdigest(w) for ws in want for w in ws]
+
+
+def common_phrases(n):
+    """Texts of a few phrases, each between words of the text's own."""
+    rng = random.Random(9)
+    phrases = [data.prose(rng, 7) for _ in range(3)]
+    own = lambda: " ".join(f"{rng.getrandbits(40):x}" for _ in range(rng.randrange(4, 12)))
+    return [(i, f"{own()} {rng.choice(phrases)} {own()} {rng.choice(phrases)} {own()}") for i in range(n)]
+
+
+def test_paragraphs_around_a_common_phrase_do_not_all_meet(spark):
+    """Paragraphs that share a phrase and little else were compared each with each."""
+    rows = common_phrases(400)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    settings = P.Settings()
+    units = P.repeated_units(docs, P.shared_keys(docs, settings), settings)
+    sets = units.where("keys is not null").groupBy("pid").agg({"keys": "first", "shingles": "first"}).toDF("pid", "keys", "shingles")
+    largest = lambda groups, *by: groups.groupBy(*by).count().selectExpr("coalesce(max(count), 0)").first()[0]
+    by_key = largest(sets.selectExpr("explode(keys) key"), "key")
+    met = largest(P.candidate_groups(sets, settings), "key", "i", "j")
+    assert by_key > 40 and met < by_key / 4, (by_key, met)
+    found, classes = plain_spans(rows, settings)
+    firsts = {}
+    for unit, c in sorted(zip(found, classes), key=lambda x: (x[0][0], x[0][2])):
+        firsts.setdefault(c, unit)
+    want = {(u[0], u[2], u[3]) for u, c in zip(found, classes) if firsts[c] is not u}
+    got = {(r["doc_id"], s["word"], s["words"]) for r in P.repeated_spans(docs, settings).collect() for s in r["spans"]}
+    assert got == want
+
+
+def test_few_and_many_members_are_connected_alike():
+    rng = np.random.default_rng(4)
+    for count in (2, 9, P.FEW, P.FEW + 1, 150):
+        pool = [np.unique(rng.integers(0, 60, 12).astype(np.uint64)) for _ in range(count // 4 + 1)]
+        sets = [np.unique(np.append(pool[rng.integers(len(pool))][: rng.integers(8, 13)], np.uint64(rng.integers(60)))) for _ in range(count)]
+        links = P.connected([s.tobytes() for s in sets], 0.8)
+        got, want = plain.Sets(count), plain.Sets(count)
+        for i, j in links:
+            got.join(i, j)
+        for i in range(count):
+            for j in range(i):
+                if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j])):
+                    want.join(i, j)
+        same = [[x.find(i) == x.find(j) for i in range(count) for j in range(i)] for x in (got, want)]
+        assert same[0] == same[1] and len(links) == count - len({want.find(i) for i in range(count)})
+
+
+def test_filter_grows_with_its_values(spark):
+    """Every value is found, and few others, however many there are."""
+    marks = P.Marks(spark.range(20_000).selectExpr("xxhash64(id) v"), "v", 20_000, 10)
+    held = spark.range(20_000).selectExpr("xxhash64(id) v").toArrow()["v"].to_numpy().view(np.uint64)
+    other = spark.range(50_000, 90_000).selectExpr("xxhash64(id) v").toArrow()["v"].to_numpy().view(np.uint64)
+    assert marks.has(held).all() and marks.has(other).mean() < 0.03
+    assert marks.has(held.reshape(-1, 4)).shape == (5000, 4)

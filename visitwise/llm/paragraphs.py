@@ -277,15 +277,22 @@ def similar(sets: list[np.ndarray], least: float) -> list[tuple[int, int, float]
     count = len(sets)
     sizes = np.array([len(s) for s in sets])
     values = np.concatenate(sets)
-    owner = np.repeat(np.arange(count), sizes)
+    order = np.argsort(values, kind="stable")
+    owner = np.repeat(np.arange(count), sizes)[order]
+    # Of each element: where its owners begin and end.
+    first = np.flatnonzero(np.append(True, np.diff(values[order]) != 0)) if len(values) else order
+    bounds = np.append(first, len(values))
+    number = np.empty(len(values), dtype=np.int64)
+    number[order] = np.repeat(np.arange(len(first)), np.diff(bounds))
+    starts = np.cumsum(sizes) - sizes
     group = np.arange(count)
     links = []
     for i in range(count - 1):
         others = np.flatnonzero(group[i + 1 :] != group[i]) + i + 1
         if not len(others):
             continue
-        place = np.minimum(np.searchsorted(sets[i], values), sizes[i] - 1)
-        common = np.bincount(owner[sets[i][place] == values], minlength=count)[others]
+        own = number[starts[i] : starts[i] + sizes[i]].tolist()
+        common = np.bincount(np.concatenate([owner[bounds[e] : bounds[e + 1]] for e in own]), minlength=count)[others]
         score = common / (sizes[i] + sizes[others] - common)
         for j, s in zip(others[score >= least].tolist(), score[score >= least].tolist()):
             if group[j] != group[i]:
@@ -413,17 +420,24 @@ def cut_words(text: str, spans: list[tuple[int, int]], least: int) -> tuple[str,
             runs[-1][1] += words
         else:
             runs.append([word, word + words])
-    gone = {w for a, b in runs if b - a >= least for w in range(a, b)}
-    if not gone:
+    gone = bytearray(max((b for _, b in runs), default=0))
+    for a, b in runs:
+        if b - a >= least:
+            gone[a:b] = b"\x01" * (b - a)
+    count = gone.count(1)
+    if not count:
         return text, 0
     lines, at = [], 0
     for line in text.encode("utf-8", "surrogatepass").split(b"\n"):
-        places = [m.span() for m in WORD.finditer(line)]
-        dead = [at + i in gone for i in range(len(places))]
-        at += len(places)
-        if not any(dead):
+        words = len(line.split())
+        dead = gone[at : at + words]
+        at += words
+        n = dead.count(1)
+        if not n:
             lines.append(line)
-        elif not all(dead):
+        elif n < words:
+            places = [m.span() for m in WORD.finditer(line)]
+            dead += bytes(words - len(dead))
             kept, begin = b"", 0
             for i, (_, end) in enumerate(places):
                 if not dead[i]:
@@ -431,7 +445,7 @@ def cut_words(text: str, spans: list[tuple[int, int]], least: int) -> tuple[str,
                 # A word goes with the white space before it, or after it at the start of a line.
                 begin = end if kept or i + 1 == len(places) else places[i + 1][0]
             lines.append(kept + line[places[-1][1] :])
-    return b"\n".join(lines).decode("utf-8", "surrogatepass"), len(gone)
+    return b"\n".join(lines).decode("utf-8", "surrogatepass"), count
 
 
 def cut_repeated_passages(docs: DataFrame, settings: Settings = WHOLE) -> DataFrame:

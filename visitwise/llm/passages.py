@@ -9,10 +9,12 @@ the same paragraphs wherever it stands, but for its two ends. A-Z are compared i
    array operations over many texts. Two paragraphs of similarity 0.8 miss each other with a chance of 0.2 ** bands. Rows
    are added up per key with a map-side combine: how many paragraphs, and the least and greatest digest.
 2. Keys with one digest and several paragraphs are exact repeats; those with several digests are candidates to verify.
-   Both go to the second pass as bit filters of fixed size, and the second pass emits those paragraphs only:
+   Both go to the second pass as bit filters that grow with them, and the second pass emits those paragraphs only:
    their places, and for candidates the keys and shingles.
-3. Candidates meet by key and the exact Jaccard similarity decides. Pairs that are connected already are skipped, so a
-   key of m similar ones costs about m comparisons. Keys above ``block`` members are cut into blocks, every
+3. Candidates meet by key and one of their rarest shingles, of which similar ones share one (``prefix_keys``), and the
+   exact Jaccard similarity decides. By the key alone all would meet in which one common phrase stands next to other
+   words, and the comparisons would grow with the square of the texts. Pairs that are connected already are skipped, so
+   m similar ones cost about m comparisons. Groups above ``block`` members are cut into blocks, every
    pair of which is one task, so no group is gathered whole and none is capped.
 4. Components of the links, with equal paragraphs as one node, are the classes. Of each class the first paragraph by
    (doc_id, place) stays, and the others leave their texts.
@@ -35,6 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from visitwise.llm import words
 from visitwise.llm.common import map_batches, table
 from visitwise.llm.components import components
 from visitwise.llm.paragraphs import bit_filter, cut_words, similar
@@ -57,7 +60,7 @@ class Settings:
     memo_words: int = 300_000
     # Texts are taken together until they have so many words.
     block_words: int = 200_000
-    # Filters of 2 ** filter_bits bits (16 MB each) are sent to the tasks.
+    # Filters of at least 2 ** filter_bits bits (16 MB each) are sent to the tasks.
     filter_bits: int = 27
 
 
@@ -95,31 +98,37 @@ class Cutter:
 
     def blocks(self, texts: pa.Array) -> Iterator[tuple[int, Units]]:
         """(number of the first text, paragraphs) of runs of texts."""
-        first, codes, sizes = 0, [], []
-        for i, text in enumerate(texts):
-            words = (text.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
-            codes.append(np.fromiter(map(self.known.__getitem__, words), dtype=np.uint64, count=len(words)))
-            sizes.append(len(words))
-            if len(self.known) > self.settings.memo_words:
-                self.known.clear()
-            if sum(sizes) >= self.settings.block_words or i + 1 == len(texts):
-                yield first, self.units(np.concatenate(codes), np.array(sizes))
-                first, codes, sizes = i + 1, [], []
+        raw, ends = words.utf8(texts)
+        first = begin = 0
+        while first < len(ends):
+            # Some six bytes a word.
+            last = int(np.searchsorted(ends, begin + 6 * self.settings.block_words)) + 1
+            held = ends[first:last]
+            yield first, self.units(*self.codes(raw[begin : held[-1]], held - begin))
+            first, begin = last, held[-1]
+
+    def codes(self, raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all words, and the number of words of each text."""
+        if len(self.known) > self.settings.memo_words:
+            self.known.clear()
+        first, lengths, sizes = words.places(raw, ends)
+        return words.xxh64(words.lowered(raw), first, lengths, self.known.__getitem__), sizes
 
     def bounds(self, codes: np.ndarray, sizes: np.ndarray) -> list[int]:
         """Ends of the runs that every text is cut into."""
         s = self.settings
-        pairs = mix(codes[1:] ^ mix(codes[:-1]))
-        marks = iter((np.flatnonzero(pairs % np.uint64(s.cut) == 0) + 2).tolist())
-        out: list[int] = []
-        begin, end = 0, next(marks, None)
-        for stop in np.cumsum(sizes).tolist():
-            while begin < stop:
-                while end is not None and end < begin + s.least:
-                    end = next(marks, None)
-                here = stop if end is None or end > stop else end
-                begin = min(here, begin + s.most)
-                out.append(begin)
+        total = len(codes)
+        marks = np.flatnonzero(mix(codes[1:] ^ mix(codes[:-1])) % np.uint64(s.cut) == 0) + 2
+        # Where a run ends that begins at a word: at the first mark that leaves it long enough, but within its text.
+        marked = np.repeat(np.append(marks, total), np.diff(marks, prepend=-1, append=total))
+        ends = np.repeat(np.cumsum(sizes), sizes)
+        early = ends[: max(0, total + 1 - s.least)]
+        np.minimum(early, marked[s.least :], out=early)
+        following = memoryview(np.minimum(ends, np.arange(s.most, total + s.most)))
+        out, begin = [], 0
+        while begin < total:
+            begin = following[begin]
+            out.append(begin)
         return out
 
     def units(self, codes: np.ndarray, sizes: np.ndarray) -> Units:
@@ -132,8 +141,9 @@ class Cutter:
         text = np.searchsorted(ends, starts, side="right")
         halves = []
         place = np.arange(len(codes)) - np.repeat(starts, lengths)
+        mixed = mix(codes)
         for weights in self.weights:
-            sums = np.add.reduceat(mix(codes) * weights[place], starts) if len(starts) else codes
+            sums = np.add.reduceat(mixed * weights[place], starts) if len(starts) else codes
             halves.append(mix(sums + lengths.astype(np.uint64)))
         whole = np.flatnonzero(lengths >= s.least)
         text, starts, lengths = text[whole], starts[whole], lengths[whole]
@@ -146,11 +156,22 @@ class Cutter:
         if len(whole):
             # A paragraph's shingles lie between its start and the last place where one fits.
             spans = np.stack([starts, starts + lengths - s.shingle + 1], axis=1).ravel()
+            order = np.zeros(count + 1, dtype=np.uint64)
             for k, (factor, shift) in enumerate(zip(self.factors, self.shifts)):
-                order = np.append(shingles * factor + shift, np.uint64(0))
+                np.multiply(shingles, factor, out=order[:-1])
+                order[:-1] += shift
                 keys[:, k] = mix(np.minimum.reduceat(order, spans)[::2] ^ mix(np.array([k + 1], dtype=np.uint64)))
         return Units(text, starts - (ends - sizes)[text], lengths, h, g, keys, shingles, starts)
 
+    def shingle_sets(self, units: Units, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct shingles of some paragraphs, sorted in each, and their numbers."""
+        owner, at = _spread(units.starts[which], units.words[which] - self.settings.shingle + 1)
+        values = units.shingles[at]
+        values = values[np.lexsort((values, owner))]
+        new = np.ones(len(values), dtype=bool)
+        new[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
+        return values[new], np.bincount(owner[new], minlength=len(which))
+
     def shingle_set(self, units: Units, i: int) -> np.ndarray:
         return np.unique(units.shingles[units.starts[i] : units.starts[i] + units.words[i] - self.settings.shingle + 1])
 
@@ -190,46 +211,164 @@ def shared_keys(docs: DataFrame, settings: Settings) -> DataFrame:
 PLACES = "doc_id bigint, th bigint, word int, words int, pid binary, keys array<bigint>, shingles binary"
 
 
+class Marks:
+    """A bit filter of 64-bit values that looks at two bits of each.
+
+    It has 16 bits a value, 2 ** ``least_bits`` at least and 2 ** 30 (128 MB) at most, so that few others are let through.
+    """
+
+    def __init__(self, wanted: DataFrame, column: str, count: int, least_bits: int):
+        self.bits = min(30, max(least_bits, (16 * count).bit_length()))
+        both = F.explode(F.array(F.col(column), F.shiftrightunsigned(F.col(column), 34)))
+        self.map = bit_filter(wanted.select(both.alias(column)), column, self.bits)
+
+    def has(self, values: np.ndarray) -> np.ndarray:
+        low = np.uint64((1 << self.bits) - 1)
+        found = self._bit(values & low)
+        some = np.nonzero(found)
+        found[some] = self._bit((values[some] >> np.uint64(34)) & low)
+        return found
+
+    def _bit(self, slots: np.ndarray) -> np.ndarray:
+        return (self.map[slots >> np.uint64(3)] >> (slots & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def _binary(values: np.ndarray, sizes: np.ndarray, none: np.ndarray | None = None) -> pa.Array:
+    """Runs of ``sizes`` bytes of the values as binary cells; null where ``none`` says so (of size 0)."""
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    valid = None if none is None else pa.array(~none).buffers()[1]
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [valid, pa.py_buffer(offsets), pa.py_buffer(values)])
+
+
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of the run, and the places, of all members of runs that have a first place and a size."""
+    run = np.repeat(np.arange(len(sizes)), sizes)
+    return run, np.arange(len(run)) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+
+
 def repeated_units(docs: DataFrame, shared: DataFrame, settings: Settings) -> DataFrame:
-    """Places of the paragraphs that share a key; keys and shingles of those that share it with another digest."""
-    context = docs.sparkSession.sparkContext
-    equal = context.broadcast(bit_filter(shared.where("low = high").select("low"), "low", settings.filter_bits))
-    mixed = context.broadcast(bit_filter(shared.where("low <> high").select("key"), "key", settings.filter_bits))
-    low = np.uint64((1 << settings.filter_bits) - 1)
+    """Places of the paragraphs that share a key; keys and shingles of those that share it with another digest.
 
-    def marked(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
-        slots = values & low
-        return (bits[slots >> np.uint64(3)] >> (slots & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    A task gives keys and shingles with the first of equal paragraphs, and again when it has met very many others.
+    """
+    context = docs.sparkSession.sparkContext
+    alike = F.col("low") == F.col("high")
+    n_equal, n_mixed = shared.agg(F.count_if(alike), F.count_if(~alike)).first()
+    # An equal paragraph's keys mostly all have its digest.
+    equal = shared.where(alike).select("low")
+    equal = context.broadcast(Marks(equal, "low", -(-n_equal // settings.bands), settings.filter_bits))
+    mixed = context.broadcast(Marks(shared.where(~alike).select("key"), "key", n_mixed, settings.filter_bits))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = Cutter(settings)
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.binary()]
         names = [field.split()[0] for field in PLACES.split(", ")]
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
             ids, hashes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for first, units in cutter.blocks(batch.column(2)):
-                in_mixed = marked(mixed.value, units.keys)
+                in_mixed = mixed.value.has(units.keys)
                 some = in_mixed.any(axis=1)
-                rows = []
-                for i in np.flatnonzero(some | marked(equal.value, units.h)).tolist():
-                    pid = int(units.h[i]).to_bytes(8, "big") + int(units.g[i]).to_bytes(8, "big")
-                    keys = units.keys[i][in_mixed[i]].view(np.int64).tolist() if some[i] else None
-                    shingles = cutter.shingle_set(units, i).tobytes() if some[i] else None
-                    at = first + int(units.text[i])
-                    rows.append((ids[at], hashes[at], units.word[i], units.words[i], pid, keys, shingles))
-                if rows:
-                    columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
-                    yield pa.RecordBatch.from_arrays(columns, names)
+                out = np.flatnonzero(some | equal.value.has(units.h))
+                if not len(out):
+                    continue
+                pids = np.stack([units.h[out], units.g[out]], axis=1).byteswap()
+                if len(seen) > settings.memo_words:
+                    seen.clear()
+                full = some[out]
+                for i in np.flatnonzero(full).tolist():
+                    pid = (int(units.h[out[i]]), int(units.g[out[i]]))
+                    full[i] = pid not in seen
+                    seen.add(pid)
+                sizes = np.where(full, in_mixed[out].sum(axis=1), 0)
+                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+                keys = pa.array(units.keys[out][in_mixed[out] & full[:, None]].view(np.int64))
+                values, counts = cutter.shingle_sets(units, out[full])
+                bytes_of = np.zeros(len(out), dtype=np.int64)
+                bytes_of[full] = 8 * counts
+                at = first + units.text[out]
+                columns = [
+                    pa.array(ids[at]),
+                    pa.array(hashes[at]),
+                    pa.array(units.word[out].astype(np.int32)),
+                    pa.array(units.words[out].astype(np.int32)),
+                    _binary(pids, np.full(len(out), 16)),
+                    pa.ListArray.from_arrays(offsets, keys, mask=pa.array(~full)),
+                    _binary(values, bytes_of, ~full),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return map_batches(_keyed(docs), apply, PLACES)
 
 
+# Slots in which shingles are counted. They are in the order of their counts, so more slots would order them better.
+SLOTS = 1 << 20
+# Counts below this in one task are left out.
+RARE = 16
+
+
+def _flat(shingles: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All shingles of binary cells, and their number in each."""
+    _, offsets, values = shingles.cast(pa.binary()).buffers()
+    bounds = np.frombuffer(offsets, dtype=np.int32)[shingles.offset :][: len(shingles) + 1]
+    return np.frombuffer(values, dtype=np.uint64, offset=bounds[0], count=(bounds[-1] - bounds[0]) // 8), np.diff(bounds) // 8
+
+
+def shingle_weights(sets: DataFrame) -> np.ndarray:
+    """The logarithm of the number of sets that have a shingle, by its slot; 0 for rare ones. It only sets an order."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(SLOTS, dtype=np.int64)
+        for batch in batches:
+            if len(batch):
+                table += np.bincount((_flat(batch.column(0))[0] & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+        often = np.flatnonzero(table >= RARE)
+        yield pa.RecordBatch.from_arrays([pa.array(often), pa.array(table[often])], ["slot", "n"])
+
+    found = map_batches(sets.select("shingles"), counted, "slot bigint, n bigint")
+    sums = found.groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(SLOTS, dtype=np.uint8)
+    out[sums["slot"].to_numpy()] = np.frexp(sums["n"].to_numpy().astype(np.float64))[1]
+    return out
+
+
+def prefix_keys(sets: DataFrame, settings: Settings) -> DataFrame:
+    """key, pid: each key of a set with each of its rarest shingles, as many as two similar sets can't both miss.
+
+    Of two sets of similarity s or more either has at least the share s of its n shingles in common with the other. So
+    in any fixed order of all shingles they share one of the first n - ceil(s n) + 1. With the rarest ones first, sets
+    that share a key through words that stand in very many texts meet only if they share a rarer shingle too.
+    """
+    weights = sets.sparkSession.sparkContext.broadcast(shingle_weights(sets))
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            held = batch.column(1)
+            keys = held.flatten().to_numpy().view(np.uint64)
+            n_keys = held.value_lengths().to_numpy().astype(np.int64)
+            values, sizes = _flat(batch.column(2))
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            values = values[np.lexsort((values, weights.value[values & np.uint64(SLOTS - 1)], owner))]
+            least = np.ceil(settings.similarity * sizes - 1e-6).astype(np.int64)
+            prefix = sizes - least + 1
+            # Row by row: which key of the set with which of its first shingles.
+            row = np.repeat(np.arange(len(sizes)), n_keys * prefix)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(n_keys * prefix) - n_keys * prefix, n_keys * prefix)
+            key = keys[(np.cumsum(n_keys) - n_keys)[row] + place // prefix[row]]
+            shingle = values[(np.cumsum(sizes) - sizes)[row] + place % prefix[row]]
+            both = mix(key ^ mix(shingle)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(both), batch.column(0).take(pa.array(row))], ["key", "pid"])
+
+    return map_batches(sets.select("pid", "keys", "shingles"), apply, "key bigint, pid binary")
+
+
 def candidate_groups(sets: DataFrame, settings: Settings) -> DataFrame:
     """key, i, j, pid: the members of each key of two or more, keys with the same members once.
 
     Members of a key above ``block`` are dealt over blocks; i and j name the two blocks that meet.
     """
-    members = sets.select(F.explode("keys").alias("key"), "pid")
+    members = prefix_keys(sets, settings)
     sizes = members.groupBy(F.col("key").alias("_key")).agg(
         F.count(F.lit(1)).alias("_n"),
         F.bit_xor(F.xxhash64("pid")).alias("_x"),
@@ -257,25 +396,50 @@ def unit_links(units: DataFrame, settings: Settings) -> DataFrame:
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, pids, held = None, [], []
+
+        def links() -> Iterator[tuple[bytes, bytes]]:
+            if len(held) > 1:
+                yield from ((pids[i], pids[j]) for i, j in connected(held, settings.similarity))
+
+        def laid_out(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in (zip(*found) if found else ([], []))], ["a", "b"])
+
         for batch in batches:
-            a, b = [], []
-            names = list(zip(*(batch.column(c).to_pylist() for c in range(4))))
-            for (*place, pid), shingles in zip(names, batch.column(4)):
+            found = []
+            for *place, pid, shingles in zip(*(c.to_pylist() for c in batch.columns)):
                 if place != group:
-                    for i, j, _ in similar(held, settings.similarity) if len(held) > 1 else ():
-                        a.append(pids[i])
-                        b.append(pids[j])
+                    found += links()
                     group, pids, held = place, [], []
                 pids.append(pid)
-                held.append(np.frombuffer(shingles.as_py(), dtype=np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
-        found = similar(held, settings.similarity) if len(held) > 1 else ()
-        a, b = [pids[i] for i, _, _ in found], [pids[j] for _, j, _ in found]
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+                held.append(shingles)
+            yield laid_out(found)
+        yield laid_out(list(links()))
 
     return map_batches(laid, compared, "a binary, b binary")
 
 
+# Groups of so many members are compared set by set, larger ones by arrays.
+FEW = 40
+
+
+def connected(sets: list[bytes], least: float) -> list[tuple[int, int]]:
+    """Links (i, j) that connect all members connected by pairs of at least ``least``; sets of eight bytes an element."""
+    if len(sets) > FEW:
+        return [(i, j) for i, j, _ in similar([np.frombuffer(s, dtype=np.uint64) for s in sets], least)]
+    held = [frozenset(memoryview(s).cast("Q")) for s in sets]
+    group = list(range(len(held)))
+    out = []
+    for i, a in enumerate(held):
+        for j in range(i + 1, len(held)):
+            if group[i] != group[j]:
+                common = len(a & held[j])
+                if common / (len(a) + len(held[j]) - common) >= least:
+                    out.append((i, j))
+                    old, new = group[j], group[i]
+                    group = [new if x == old else x for x in group]
+    return out
+
+
 def repeated_spans(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, th (hash of the text), spans (word, words, first_doc): the paragraphs to take out of each document."""
     shared = stage(shared_keys(docs, settings), "shared-keys")
@@ -301,10 +465,14 @@ def cut_spans(docs: DataFrame, settings: Settings = Settings(), cut: str = "_cut
     @F.arrow_udf("struct<text: string, cut: bigint>")
     def without(texts: pa.Array, spans_of: pa.Array) -> pa.Array:
         out = []
-        for text, held in zip(texts, spans_of):
-            if held.is_valid:
-                left, n = cut_words(text.as_py(), [(p["word"], p["words"]) for p in held.as_py()], 1)
+        held = spans_of.flatten()
+        places = list(zip(held.field("word").to_pylist(), held.field("words").to_pylist()))
+        begin = 0
+        for text, count in zip(texts, spans_of.value_lengths().to_pylist()):
+            if count is not None:
+                left, n = cut_words(text.as_py(), places[begin : begin + count], 1)
                 out.append({"text": left, "cut": n})
+                begin += count
             else:
                 out.append(None)
         return pa.array(out, pa.struct([("text", pa.string()), ("cut", pa.int64())]))
